@@ -21,7 +21,7 @@ def space_chunks(text: str) -> list[str]:
 class ChunkCache(dict):
     """chunk -> encode(" " + chunk), bounded: trim() empties it when it holds more than max_chunks."""
 
-    def __init__(self, encode: Callable[[str], bytes], max_chunks: int = 400_000):
+    def __init__(self, encode: Callable[[str], bytes], max_chunks: int = 700_000):
         super().__init__()
         self.encode, self.max_chunks = encode, max_chunks
 

@@ -60,7 +60,12 @@ class Shingler:
     def __init__(self, words: int):
         import xxhash
 
-        self.words, self.digest, self.cache = words, xxhash.xxh3_64_intdigest, {}
+        class Digests(dict):
+            def __missing__(self, word: bytes) -> int:
+                found = self[word] = xxhash.xxh3_64_intdigest(word)
+                return found
+
+        self.words, self.cache = words, Digests()
 
     def hashes(self, text: str) -> np.ndarray:
         found = text.encode().lower().split()  # bytes: only A-Z change, only the six ASCII characters split
@@ -69,8 +74,6 @@ class Shingler:
         cache = self.cache
         if len(cache) > 500_000:
             cache.clear()
-        for w in set(found) - cache.keys():
-            cache[w] = self.digest(w)
         h = np.fromiter(map(cache.__getitem__, found), np.uint64, len(found))
         k = min(self.words, len(h))
         out = np.full(len(h) - k + 1, k, np.uint64)
@@ -138,6 +141,7 @@ def _work_lists(rows: DataFrame, link: int, cover: int, n: int) -> DataFrame:
             sizes = np.diff(np.append(starts, m))
             group = np.repeat(np.arange(len(starts)), sizes)
             free = np.ones(m, bool)
+            label = np.arange(m)  # what hangs together already, so that each list writes a forest only
             a, b, lead = [], [], []
             rows_ = np.flatnonzero(np.repeat(sizes > 1, sizes))
             lead.append(np.flatnonzero(np.repeat(sizes == 1, sizes)))
@@ -149,9 +153,15 @@ def _work_lists(rows: DataFrame, link: int, cover: int, n: int) -> DataFrame:
                 rows_ = rows_[leader_of[group[rows_]] >= 0]
                 leader = leader_of[group[rows_]]
                 hits = (sig[rows_] == sig[leader]).sum(axis=1)
-                near = (hits >= link) & (rows_ != leader)
-                a.append(node[leader[near]])
-                b.append(node[rows_[near]])
+                near = hits >= link
+                fresh = near & (label[rows_] != label[leader])
+                _, one = np.unique(label[rows_[fresh]], return_index=True)
+                a.append(node[leader[fresh][one]])
+                b.append(node[rows_[fresh][one]])
+                joins = np.zeros(m, bool)
+                joins[label[rows_[fresh]]] = True
+                moved = joins[label[rows_]]
+                label[rows_[moved]] = label[leader[moved]]
                 free[rows_[hits >= cover]] = False
                 lead.append(open_[first])
             leads = np.concatenate(lead)

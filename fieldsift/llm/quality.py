@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import as_table
+
 #: Fixed value: the symbols that count as n_symbols.
 SYMBOLS = "#*$%&|<>"
 #: Metric -> the least spread that the outlier rule assumes.
@@ -69,24 +71,26 @@ def measure_text(text: str) -> tuple:
     return (n, word_chars, n_symbols, dup_lines, repeats, *shares)
 
 
-def metrics(docs: DataFrame) -> DataFrame:
-    """The word metrics of every row's whole text."""
+def metrics(docs: DataFrame, keep_row: bool = False) -> DataFrame:
+    """The word metrics of every row's whole text; keep_row adds the whole row as the struct "row"."""
+    kept = ["row"] if keep_row else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in METRICS.split(", ")]
         for batch in batches:
             rows = [measure_text(t) for t in batch.column("text").to_pylist()]
-            columns = list(zip(*rows)) if rows else [[]] * (len(names) - 3)
+            columns = list(zip(*rows)) if rows else [[]] * (len(names) - 3)  # after doc_id, lang and source
             arrays = [pa.array(c, pa.int64() if i < 5 else pa.float64()) for i, c in enumerate(columns)]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "lang", "source")] + arrays, names)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "lang", "source")] + arrays + [batch.column(c) for c in kept], names + kept)
 
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         F.col("lang").cast("string").alias("lang"),
         F.col("source").cast("string").alias("source"),
+        *([F.struct(*(docs[c] for c in docs.columns)).alias("row")] if keep_row else []),
     )
-    return rows.mapInArrow(run, METRICS)
+    return rows.mapInArrow(run, METRICS + (f", row {dict(rows.dtypes)['row']}" if keep_row else ""))
 
 
 def _cutoff(sketch, metric: str):
@@ -106,12 +110,8 @@ def thresholds(measured: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     return held.select("lang", "source", *(_cutoff(chosen[m], m).alias(f"most_{m}") for m in names))
 
 
-def judge(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """The metrics of every row with base_failed, outlier (the method's verdict) and kept."""
-    from .common import as_table
-
-    measured = as_table(metrics(docs), "quality-metrics")
-    cut = thresholds(measured, least_docs)
+def decide(measured: DataFrame, cut: DataFrame) -> DataFrame:
+    """measured with base_failed, outlier (the method's verdict) and kept, by the cutoffs of each row's group."""
     m, t = measured.alias("m"), cut.alias("t")
     joined = m.join(t, F.col("m.lang").eqNullSafe(F.col("t.lang")) & F.col("m.source").eqNullSafe(F.col("t.source")), "left")
     over = F.lit(False)
@@ -124,3 +124,18 @@ def judge(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
         .withColumn("outlier", over)
         .withColumn("kept", ~F.col("base_failed") & ~F.col("outlier"))
     )
+
+
+def judge(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """The metrics and the verdict of every row.
+
+    Metrics and cutoffs are written to the shared folder; Spark broadcasts the cutoffs where their size allows it.
+    """
+    measured = as_table(metrics(docs), "quality-metrics")
+    return decide(measured, as_table(thresholds(measured, least_docs), "quality-cutoffs"))
+
+
+def keep_documents(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """The rows of docs that are kept, whole. Texts are measured twice and never shuffled."""
+    cut = as_table(thresholds(metrics(docs), least_docs), "quality-cutoffs")
+    return decide(metrics(docs, keep_row=True), cut).where("kept").select("row.*")

@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from .common import read
 
 
+def op1_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search, valid_vectors
+
+    rows = valid_vectors(read(spark, sf_dir, "embeddings"))
+    return search(rows.where("vec_id % 50 = 0"), rows, k=5)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
@@ -46,14 +53,36 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+#: The rules of the registered query.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge_urls
+
+    return judge_urls(read(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_documents
+
+    return score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(read(spark, sf_dir, "documents"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_text
+
+    return extract_text(read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op3_suffix_dedup, op4_byte_bpe, op5_quality_rules, op6_minhash_dedup, op9_packing)
+    f.__name__: f for f in (op1_ann_search, op2_token_counts, op3_suffix_dedup, op4_byte_bpe, op5_quality_rules, op6_minhash_dedup, op7_url_filter, op8_toxicity, op9_packing, op10_html_text)
 }
 
 ORACLES: dict[str, str] = {}

@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_table, texts
-
 LENGTH = 50
 ANCHOR = 16
 #: A bucket holds about so many bytes of text.
 BUCKET_BYTES = 12_000_000
+#: Windows that one vectorised sort takes at a time.
+SLICE_WINDOWS = 250_000
 #: Windows of one segment at most; longer runs (periodic texts) are cut into several segments.
 SEGMENT_WINDOWS = 48
 
@@ -114,7 +114,9 @@ def window_runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _ranges(anchors: np.ndarray, n: int) -> np.ndarray:
-    return (anchors >> np.uint64(32)).astype(np.int64) * n >> 32
+    """Anchors are minima and so crowd at the low end; multiplied, they spread evenly over the ranges."""
+    spread = (anchors * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)
+    return spread.astype(np.int64) * n >> 32
 
 
 def post_anchors(bucket: int, ids: list, data: list[bytes], n_ranges: int) -> pd.DataFrame:
@@ -130,6 +132,8 @@ def post_anchors(bucket: int, ids: list, data: list[bytes], n_ranges: int) -> pd
     if len(distinct):
         several = np.minimum.reduceat(who, first) != np.maximum.reduceat(who, first)
     r = _ranges(distinct, n_ranges)
+    order = np.argsort(r, kind="stable")
+    distinct, several, r = distinct[order], several[order], r[order]
     rows = []
     for a, b in _groups(r):
         some, more = distinct[a:b], several[a:b]
@@ -186,7 +190,7 @@ class Segments:
 
     def posts(self, bucket: int, n_ranges: int) -> pd.DataFrame:
         anchors = np.array([a for a, _ in self.keys], np.uint64)
-        order = np.argsort(anchors, kind="stable")
+        order = np.argsort(_ranges(anchors, n_ranges), kind="stable")
         r = _ranges(anchors[order], n_ranges)
         least = np.array(self.least, np.int64)
         rows = []
@@ -273,13 +277,35 @@ def sort_suffixes(h: PrefixHashes, suffixes: np.ndarray, starts: np.ndarray) ->
 
 
 def resolve(rows: pd.DataFrame) -> pd.DataFrame:
-    """Per bucket and entry, the bits of the windows that also start in a document before the entry's first."""
+    """Per bucket and entry, the bits of the windows that also start in a document before the entry's first.
+
+    Works through the range in slices of whole anchors with about SLICE_WINDOWS windows each.
+    """
     data = np.frombuffer(b"".join(rows["data"]), np.uint8)
     lengths = np.frombuffer(b"".join(rows["lengths"]), np.uint32).astype(np.int64)
     anchors = np.frombuffer(b"".join(rows["anchors"]), np.uint64)
     least = np.frombuffer(b"".join(rows["least"]), np.int64)
     entries = np.frombuffer(b"".join(rows["entries"]), np.uint32)
     bucket = np.repeat(rows["bucket"].to_numpy(), [len(x) // 4 for x in rows["entries"]])
+    begin = np.cumsum(lengths) - lengths
+    order = np.argsort(anchors, kind="stable")
+    groups = np.flatnonzero(np.append(True, anchors[order][1:] != anchors[order][:-1]))
+    done = np.cumsum(lengths[order] - LENGTH + 1)
+    out, a = [], 0
+    while a < len(order):
+        full = np.searchsorted(done, (done[a - 1] if a else 0) + SLICE_WINDOWS)
+        nxt = np.searchsorted(groups, full, side="left")
+        b = int(groups[nxt]) if nxt < len(groups) else len(order)
+        b = b if b > a else int(groups[nxt + 1]) if nxt + 1 < len(groups) else len(order)
+        some = order[a:b]
+        size = lengths[some]
+        offset = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        out.append(_resolve_slice(data[np.repeat(begin[some], size) + offset], size, anchors[some], least[some], entries[some], bucket[some]))
+        a = b
+    return pd.concat(out) if out else pd.DataFrame({"bucket": [], "entries": [], "bits": []})
+
+
+def _resolve_slice(data: np.ndarray, lengths: np.ndarray, anchors: np.ndarray, least: np.ndarray, entries: np.ndarray, bucket: np.ndarray) -> pd.DataFrame:
     begin = np.cumsum(lengths) - lengths
     windows = lengths - LENGTH + 1
     owner = np.repeat(np.arange(len(windows)), windows)
@@ -321,18 +347,23 @@ def resolve(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["bucket", "entries", "bits"])
 
 
-def _sorted_ids(rows: pd.DataFrame) -> tuple[list, list[bytes]]:
-    """doc_ids and texts of a bucket in an order that does not depend on how rows arrive."""
+def _sorted_ids(rows: pd.DataFrame) -> tuple[list, list[bytes], list[int]]:
+    """doc_ids and texts of a bucket in an order that does not depend on how rows arrive, and that order."""
     ids = [None if x is None or x != x else int(x) for x in rows["doc_id"].tolist()]
     data = rows["text"].tolist()
     order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0, data[k]))
-    return [ids[k] for k in order], [data[k].encode() for k in order]
+    return [ids[k] for k in order], [data[k].encode() for k in order], order
+
 
+def repeated_spans(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, text and spans (array of begin, end in bytes) of every row of docs: the runs of bytes to remove.
 
-def repeated_spans(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """doc_id, text and spans (array of begin, end in bytes) of every row of docs: the runs of bytes to remove."""
+    keep names further columns of docs to carry along, as the struct "row".
+    """
     spark = docs.sparkSession
-    own = texts(docs)
+    kept = [F.to_json(F.struct(*(docs[c].alias(c) for c in keep))).alias("row")] if keep else []
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *kept)
+    carries = bool(kept)
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / bucket_bytes))
     n_ranges = n
@@ -341,19 +372,19 @@ def repeated_spans(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFra
     dealt = own.withColumn("bucket", bucket).repartition(parts, "bucket")
 
     def post_group(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, data = _sorted_ids(rows)
+        ids, data, order = _sorted_ids(rows)
         return post_anchors(int(rows["bucket"].iloc[0]), ids, data, n_ranges)
 
     def cut(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         columns = ["r", "bucket", "anchors", "entries", "least", "lengths", "data"]
         if not len(rows) or not len(told):
             return pd.DataFrame([], columns=columns)
-        ids, data = _sorted_ids(rows)
+        ids, data, order = _sorted_ids(rows)
         shared = np.concatenate([np.frombuffer(x, np.uint64) for x in told["anchors"]])
         return Segments(ids, data, shared).posts(int(rows["bucket"].iloc[0]), n_ranges)
 
     def finish(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        ids, data = _sorted_ids(rows)
+        ids, data, order = _sorted_ids(rows)
         spans: list = [[] for _ in ids]
         if len(told):
             shared = [np.frombuffer(x, np.uint64) for x in told["anchors"].dropna()]
@@ -363,18 +394,17 @@ def repeated_spans(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFra
             if shared:
                 spans = Segments(ids, data, np.concatenate(shared)).cover(ids, marks)
         flat = [[x for span in s for x in span] for s in spans]
-        return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "text": [x.decode() for x in data], "spans": flat})
+        out = {"doc_id": pd.array(ids, "Int64"), "text": [x.decode() for x in data], "spans": flat}
+        return pd.DataFrame(out | ({"row": rows["row"].to_numpy()[order]} if carries else {}))
 
     posts = dealt.groupBy("bucket").applyInPandas(post_group, "r long, bucket long, single binary, multiple binary")
     shared = posts.groupBy("r").applyInPandas(shared_anchors, "bucket long, anchors binary")
-    shared = as_table(shared, "shared-anchors")
     segments = dealt.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInPandas(cut, "r long, bucket long, anchors binary, entries binary, least binary, lengths binary, data binary")
     resolved = segments.groupBy("r").applyInPandas(resolve, "bucket long, entries binary, bits binary")
-    resolved = as_table(resolved, "resolved")
     told = shared.select("bucket", "anchors", F.lit(None).cast("binary").alias("entries"), F.lit(None).cast("binary").alias("bits")).unionByName(
         resolved.select("bucket", F.lit(None).cast("binary").alias("anchors"), "entries", "bits")
     )
-    return dealt.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(finish, "doc_id long, text string, spans array<long>")
+    return dealt.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(finish, "doc_id long, text string, spans array<long>" + (", row string" if kept else ""))
 
 
 def remove_spans(data: bytes, spans: list[int]) -> bytes:
@@ -402,3 +432,29 @@ def kept_bytes(spans: DataFrame) -> DataFrame:
             )
 
     return spans.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def cut_documents(docs: DataFrame) -> DataFrame:
+    """docs without the repeated runs, all columns kept and n_chars (if there) counted anew.
+
+    A character of which only some bytes go is dropped whole.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    spans = repeated_spans(docs, keep=others or None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())
+            cut = [remove_spans(t.encode(), s).decode(errors="ignore") if s else t for t, s in pairs]
+            keep = [c for c in batch.schema.names if c not in ("text", "spans")]
+            yield pa.RecordBatch.from_arrays([pa.array(cut, pa.string()), *(batch.column(c) for c in keep)], ["text", *keep])
+
+    cut = spans.mapInArrow(run, "text string, doc_id long" + (", row string" if others else ""))
+    if not others:
+        return cut.select(*docs.columns)
+    fields = docs.select(*others).schema
+    whole = cut.withColumn("row", F.from_json("row", fields))
+    columns = {c: F.col(f"row.`{c}`") for c in others} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.length("text").cast(fields["n_chars"].dataType)
+    return whole.select(*(columns[c].alias(c) for c in docs.columns))

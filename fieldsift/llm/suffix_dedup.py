@@ -26,20 +26,32 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LENGTH = 50
 ANCHOR = 16
 #: A bucket holds about so many bytes of text.
-BUCKET_BYTES = 12_000_000
+BUCKET_BYTES = 6_000_000
 #: Windows that one vectorised sort takes at a time.
-SLICE_WINDOWS = 250_000
+SLICE_WINDOWS = 120_000
 #: Windows of one segment at most; longer runs (periodic texts) are cut into several segments.
 SEGMENT_WINDOWS = 48
 
 _BASE = 6364136223846793005
 _MASK = 2**64
+#: Anchors travel as their low six bytes; a chance agreement only makes a candidate that the sort then tells apart.
+_LOW = np.uint64(2**48 - 1)
+
+
+def _pack(anchors: np.ndarray) -> bytes:
+    return np.ascontiguousarray(anchors.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    six = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return np.pad(six, ((0, 0), (0, 2))).view("<u8").ravel()
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +114,7 @@ def window_runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = np.flatnonzero(new)
         firsts.append(at + a)
         anchors.append(low[at])
-    first, anchor = np.concatenate(firsts), np.concatenate(anchors)
+    first, anchor = np.concatenate(firsts), np.concatenate(anchors) & _LOW
     count = np.diff(np.append(first, n))
     if len(count) and count.max() > SEGMENT_WINDOWS:
         parts = -(-count // SEGMENT_WINDOWS)
@@ -137,7 +149,7 @@ def post_anchors(bucket: int, ids: list, data: list[bytes], n_ranges: int) -> pd
     rows = []
     for a, b in _groups(r):
         some, more = distinct[a:b], several[a:b]
-        rows.append((int(r[a]), bucket, some[~more].tobytes(), some[more].tobytes()))
+        rows.append((int(r[a]), bucket, _pack(some[~more]), _pack(some[more])))
     return pd.DataFrame(rows, columns=["r", "bucket", "single", "multiple"])
 
 
@@ -150,11 +162,11 @@ def _groups(values: np.ndarray) -> list[tuple[int, int]]:
 
 def shared_anchors(rows: pd.DataFrame) -> pd.DataFrame:
     """Per bucket, which of its anchors in this range several documents hold."""
-    single = [np.frombuffer(x, np.uint64) for x in rows["single"]]
-    multiple = [np.frombuffer(x, np.uint64) for x in rows["multiple"]]
+    single = [_unpack(x) for x in rows["single"]]
+    multiple = [_unpack(x) for x in rows["multiple"]]
     found, times = np.unique(np.concatenate(single + multiple), return_counts=True)
     shared = np.union1d(found[times > 1], np.concatenate(multiple))
-    out = [(b, np.concatenate([x[np.isin(x, shared)], y]).tobytes()) for b, x, y in zip(rows["bucket"], single, multiple)]
+    out = [(b, _pack(np.concatenate([x[np.isin(x, shared)], y]))) for b, x, y in zip(rows["bucket"], single, multiple)]
     return pd.DataFrame([x for x in out if x[1]], columns=["bucket", "anchors"])
 
 
@@ -198,7 +210,7 @@ class Segments:
             some = order[a:b]
             parts = [self.keys[e][1] for e in some.tolist()]
             lengths = np.array([len(x) for x in parts], np.uint32)
-            rows.append((int(r[a]), bucket, anchors[some].tobytes(), some.astype(np.uint32).tobytes(), least[some].tobytes(), lengths.tobytes(), b"".join(parts)))
+            rows.append((int(r[a]), bucket, _pack(anchors[some]), some.astype(np.uint32).tobytes(), least[some].tobytes(), lengths.tobytes(), zstandard.compress(b"".join(parts), 3)))
         return pd.DataFrame(rows, columns=["r", "bucket", "anchors", "entries", "least", "lengths", "data"])
 
     def cover(self, ids: list, marks: dict[int, int]) -> list[list[tuple[int, int]]]:
@@ -281,9 +293,9 @@ def resolve(rows: pd.DataFrame) -> pd.DataFrame:
 
     Works through the range in slices of whole anchors with about SLICE_WINDOWS windows each.
     """
-    data = np.frombuffer(b"".join(rows["data"]), np.uint8)
+    data = np.frombuffer(b"".join(map(zstandard.decompress, rows["data"])), np.uint8)
     lengths = np.frombuffer(b"".join(rows["lengths"]), np.uint32).astype(np.int64)
-    anchors = np.frombuffer(b"".join(rows["anchors"]), np.uint64)
+    anchors = _unpack(b"".join(rows["anchors"]))
     least = np.frombuffer(b"".join(rows["least"]), np.int64)
     entries = np.frombuffer(b"".join(rows["entries"]), np.uint32)
     bucket = np.repeat(rows["bucket"].to_numpy(), [len(x) // 4 for x in rows["entries"]])
@@ -380,14 +392,14 @@ def repeated_spans(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, keep: list
         if not len(rows) or not len(told):
             return pd.DataFrame([], columns=columns)
         ids, data, order = _sorted_ids(rows)
-        shared = np.concatenate([np.frombuffer(x, np.uint64) for x in told["anchors"]])
+        shared = np.concatenate([_unpack(x) for x in told["anchors"]])
         return Segments(ids, data, shared).posts(int(rows["bucket"].iloc[0]), n_ranges)
 
     def finish(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         ids, data, order = _sorted_ids(rows)
         spans: list = [[] for _ in ids]
         if len(told):
-            shared = [np.frombuffer(x, np.uint64) for x in told["anchors"].dropna()]
+            shared = [_unpack(x) for x in told["anchors"].dropna()]
             marks: dict[int, int] = {}
             for e, b in zip(told["entries"].dropna(), told["bits"].dropna()):
                 marks.update(zip(np.frombuffer(e, np.uint32).tolist(), np.frombuffer(b, np.uint64).tolist()))

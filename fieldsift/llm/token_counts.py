@@ -69,11 +69,11 @@ def pre_tokens(text: str) -> list[str]:
     return out
 
 
-FREQUENCIES = "block_id long, piece string, ordinals binary, frequencies binary, doc_ids array<long>, n_bytes array<long>"
+FREQUENCIES = "block_id long, piece string, ordinals binary, frequencies binary"
 
 
 def _rows(arrays) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(arrays, ["block_id", "piece", "ordinals", "frequencies", "doc_ids", "n_bytes"])
+    return pa.RecordBatch.from_arrays(arrays, ["block_id", "piece", "ordinals", "frequencies"])
 
 
 def _slices(values: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -83,10 +83,12 @@ def _slices(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 
 def frequencies(docs: DataFrame, block_bytes: int = 12_000_000, block_rows: int = 8192) -> DataFrame:
-    """One row per block and distinct pre-token, and one per block (piece null) that lists its documents."""
+    """One row per block and distinct pre-token, and one per block (piece null) that lists its doc_ids and byte counts.
+
+    A null doc_id is listed with the byte count's complement, -1 - n.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        longs = pa.list_(pa.int64())
         for block_id, block in zip(block_ids(), blocks(batches, "text", block_bytes, block_rows)):
             tokens, counts = [], []
             for text in block.column("text").to_pylist():
@@ -94,17 +96,18 @@ def frequencies(docs: DataFrame, block_bytes: int = 12_000_000, block_rows: int
                 tokens += found
                 counts.append(len(found))
             n = len(counts)
-            doc_ids = pa.array([block.column("doc_id").to_pylist()], longs)
-            n_bytes = pa.array([pc.binary_length(block.column("text")).to_pylist()], longs)
-            yield _rows([pa.array([block_id]), pa.array([None], pa.string()), pa.array([b""]), pa.array([b""]), doc_ids, n_bytes])
+            n_bytes = pc.binary_length(block.column("text")).to_numpy().astype("<i8")
+            unnamed = pc.is_null(block.column("doc_id")).to_numpy()
+            doc_ids = pc.fill_null(block.column("doc_id"), 0).to_numpy().astype("<i8")
+            listed = pa.array([doc_ids.tobytes()]), pa.array([np.where(unnamed, -1 - n_bytes, n_bytes).astype("<i8").tobytes()])
+            yield _rows([pa.array([block_id]), pa.array([None], pa.string()), *listed])
             if not tokens:
                 continue
             coded = pa.array(tokens, pa.string()).dictionary_encode()
             codes, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
             pairs, freq = np.unique(codes * n + np.repeat(np.arange(n), counts), return_counts=True)
             per_piece = np.bincount(pairs // n, minlength=len(distinct))
-            none = pa.nulls(len(distinct), longs)
-            yield _rows([pa.array(np.full(len(distinct), block_id)), distinct, _slices((pairs % n).astype("<u2"), per_piece), _slices(freq.astype("<u4"), per_piece), none, none])
+            yield _rows([pa.array(np.full(len(distinct), block_id)), distinct, _slices((pairs % n).astype("<u2"), per_piece), _slices(freq.astype("<u4"), per_piece)])
 
     return texts(docs).mapInArrow(run, FREQUENCIES)
 
@@ -121,29 +124,30 @@ def count_pieces(rows: DataFrame, path: str) -> DataFrame:
             new = [x for x in names if x != last]
             known = dict(zip(new, map(len, model.encode(new, num_threads=1)))) if new else {}
             known.setdefault(last, last_n)
-            sizes = np.array([known[x] for x in names] + [0], np.int64)
+            sizes = np.array([known[x] for x in names] + [-1], np.int64)  # -1 marks the lists of documents
             codes = pc.fill_null(coded.indices, len(names)).to_numpy(zero_copy_only=False)
             if names:
                 last, last_n = names[-1], int(sizes[len(names) - 1])
-            keep = [batch.column(c) for c in ("block_id", "ordinals", "frequencies", "doc_ids", "n_bytes")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(sizes[codes])], ["block_id", "ordinals", "frequencies", "doc_ids", "n_bytes", "pieces"])
+            keep = [batch.column(c) for c in ("block_id", "ordinals", "frequencies")]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(sizes[codes])], ["block_id", "ordinals", "frequencies", "pieces"])
 
     dealt = F.when(F.col("piece").isNull(), F.col("block_id")).otherwise(F.xxhash64("piece"))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, dealt).sortWithinPartitions("piece").mapInArrow(run, "block_id long, ordinals binary, frequencies binary, doc_ids array<long>, n_bytes array<long>, pieces long")
+    return rows.repartition(n, dealt).sortWithinPartitions("piece").mapInArrow(run, "block_id long, ordinals binary, frequencies binary, pieces long")
 
 
 def _sum_block(rows: pd.DataFrame) -> pd.DataFrame:
-    head = rows["doc_ids"].notna()
-    listed = rows[head].iloc[0]
+    head = rows["pieces"] < 0
+    doc_ids, n_bytes = (np.frombuffer(rows.loc[head, c].iloc[0], "<i8") for c in ("ordinals", "frequencies"))
     body = rows[~head]
     ordinals = np.frombuffer(b"".join(body["ordinals"]), "<u2")
     freq = np.frombuffer(b"".join(body["frequencies"]), "<u4").astype(np.int64)
     pieces = np.repeat(body["pieces"].to_numpy(np.int64), body["ordinals"].map(len).to_numpy(np.int64) // 2)
-    total = np.zeros(len(listed["n_bytes"]), np.int64)
+    total = np.zeros(len(doc_ids), np.int64)
     np.add.at(total, ordinals, freq * pieces)
-    ids = [None if x is None or x != x else int(x) for x in listed["doc_ids"]]
-    return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_bytes": np.array(listed["n_bytes"], np.int64), "n_tokens": total})
+    named = pd.array(doc_ids.copy(), "Int64")
+    named[n_bytes < 0] = pd.NA
+    return pd.DataFrame({"doc_id": named, "n_bytes": np.where(n_bytes < 0, -1 - n_bytes, n_bytes), "n_tokens": total})
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 4096) -> DataFrame:

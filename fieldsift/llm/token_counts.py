@@ -2,11 +2,11 @@
 
 Three steps, two shuffles of compact rows:
 
-1. Each task cuts its texts into pre-tokens, in blocks of bounded size, and writes one row per block and distinct
-   pre-token with the frequencies of the block's documents (two small byte strings).
-2. Rows are dealt and sorted by pre-token. Equal pre-tokens stand side by side, so each distinct one is counted once
-   and joined to all its rows as they stream by. A frequent pre-token has one row per block, not one per document.
-3. Rows return to their block, where frequency times pieces is summed per document.
+1. Each task cuts its texts into pre-tokens, in blocks of bounded size. A block sends each range of pre-tokens (by hash)
+   its distinct ones with the frequencies of the block's documents, sorted and compressed.
+2. Per range, the blocks' lists meet: each distinct pre-token is counted once and joined to the frequencies of every
+   block. A frequent pre-token comes once per block, not once per document.
+3. Frequency times pieces, summed per document, returns to the block and is added up over the ranges.
 
 Edge cases: a null or empty text has no tokens; very long texts make blocks of their own; repeated rows give repeated
 result rows; a null doc_id is kept; further columns are ignored; an empty table gives an empty result.
@@ -16,12 +16,14 @@ from __future__ import annotations
 
 import functools
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,26 +71,26 @@ def pre_tokens(text: str) -> list[str]:
     return out
 
 
-FREQUENCIES = "block_id long, piece string, ordinals binary, frequencies binary"
+LISTS = "r long, block_id long, pieces binary, counts binary, ordinals binary, frequencies binary"
+SUMS = "block_id long, listed boolean, ordinals binary, weights binary"
 
 
-def _rows(arrays) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(arrays, ["block_id", "piece", "ordinals", "frequencies"])
+def _packed(values: np.ndarray) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(values).tobytes(), 3)
 
 
-def _slices(values: np.ndarray, counts: np.ndarray) -> pa.Array:
-    offsets = np.zeros(len(counts) + 1, np.int32)
-    np.cumsum(counts * values.itemsize, out=offsets[1:])
-    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+def _unpacked(data: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), kind)
 
 
-def frequencies(docs: DataFrame, block_bytes: int = 12_000_000, block_rows: int = 8192) -> DataFrame:
-    """One row per block and distinct pre-token, and one per block (piece null) that lists its doc_ids and byte counts.
+def frequencies(docs: DataFrame, n_ranges: int, block_bytes: int = 12_000_000, block_rows: int = 8192) -> DataFrame:
+    """Per block and range of pre-tokens: the distinct ones with their documents' frequencies (LISTS).
 
-    A null doc_id is listed with the byte count's complement, -1 - n.
+    One more row per block (pieces null) lists its doc_ids and byte counts; a null doc_id with the complement, -1 - n.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in LISTS.split(", ")]
         for block_id, block in zip(block_ids(), blocks(batches, "text", block_bytes, block_rows)):
             tokens, counts = [], []
             for text in block.column("text").to_pylist():
@@ -99,52 +101,59 @@ def frequencies(docs: DataFrame, block_bytes: int = 12_000_000, block_rows: int
             n_bytes = pc.binary_length(block.column("text")).to_numpy().astype("<i8")
             unnamed = pc.is_null(block.column("doc_id")).to_numpy()
             doc_ids = pc.fill_null(block.column("doc_id"), 0).to_numpy().astype("<i8")
-            listed = pa.array([doc_ids.tobytes()]), pa.array([np.where(unnamed, -1 - n_bytes, n_bytes).astype("<i8").tobytes()])
-            yield _rows([pa.array([block_id]), pa.array([None], pa.string()), *listed])
-            if not tokens:
+            rows = [(block_id % n_ranges, block_id, None, None, _packed(doc_ids), _packed(np.where(unnamed, -1 - n_bytes, n_bytes).astype("<i8")))]
+            if tokens:
+                coded = pa.array(tokens, pa.string()).dictionary_encode()
+                codes, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+                ranges = np.array([zlib.crc32(x.encode()) for x in distinct], np.int64) * n_ranges >> 32
+                order = np.array(sorted(range(len(distinct)), key=distinct.__getitem__))
+                order = order[np.argsort(ranges[order], kind="stable")]
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                pairs, freq = np.unique(place[codes] * n + np.repeat(np.arange(n), counts), return_counts=True)
+                per = np.bincount(pairs // n, minlength=len(order))
+                upto = np.append(0, np.cumsum(per))
+                cuts = np.append(np.flatnonzero(np.append(True, np.diff(ranges[order]) > 0)), len(order)).tolist()
+                for a, b in zip(cuts, cuts[1:]):
+                    some = slice(upto[a], upto[b])
+                    text = " ".join(distinct[k] for k in order[a:b].tolist())  # pre-tokens hold no spaces
+                    rows.append((int(ranges[order[a]]), block_id, zstandard.compress(text.encode(), 3), _packed(per[a:b].astype("<u4")), _packed((pairs[some] % n).astype("<u2")), _packed(freq[some].astype("<u4"))))
+            for a in range(0, len(rows), 500):
+                kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[a : a + 500]), kinds)], names)
+
+    return texts(docs).mapInArrow(run, LISTS)
+
+
+def count_pieces(lists: DataFrame, path: str) -> DataFrame:
+    """Joins the lists of each range to the number of pieces of its pre-tokens, each counted once (SUMS)."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        model = piece_model(path)
+        known: dict[str, int] = {}
+        out = []
+        for block_id, pieces, counts, ordinals, freq in rows[["block_id", "pieces", "counts", "ordinals", "frequencies"]].itertuples(index=False, name=None):
+            if pieces is None:
+                out.append((block_id, True, ordinals, freq))
                 continue
-            coded = pa.array(tokens, pa.string()).dictionary_encode()
-            codes, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
-            pairs, freq = np.unique(codes * n + np.repeat(np.arange(n), counts), return_counts=True)
-            per_piece = np.bincount(pairs // n, minlength=len(distinct))
-            yield _rows([pa.array(np.full(len(distinct), block_id)), distinct, _slices((pairs % n).astype("<u2"), per_piece), _slices(freq.astype("<u4"), per_piece)])
-
-    return texts(docs).mapInArrow(run, FREQUENCIES)
-
+            found = zstandard.decompress(pieces).decode().split(" ")
+            new = [x for x in found if x not in known]
+            known.update(zip(new, map(len, model.encode(new, num_threads=1) if new else [])))
+            each = np.repeat(np.fromiter(map(known.__getitem__, found), np.int64, len(found)), _unpacked(counts, "<u4"))
+            doc, where = np.unique(_unpacked(ordinals, "<u2"), return_inverse=True)
+            weights = np.bincount(where, each * _unpacked(freq, "<u4").astype(np.int64)).astype("<i8")
+            out.append((block_id, False, _packed(doc), _packed(weights)))
+        return pd.DataFrame(out, columns=["block_id", "listed", "ordinals", "weights"])
 
-def count_pieces(rows: DataFrame, path: str) -> DataFrame:
-    """Joins the number of pieces to rows that are sorted by pre-token; each distinct one is counted once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = piece_model(path)
-        last, last_n = None, 0
-        for batch in batches:
-            coded = batch.column("piece").dictionary_encode()
-            names = coded.dictionary.to_pylist()
-            new = [x for x in names if x != last]
-            known = dict(zip(new, map(len, model.encode(new, num_threads=1)))) if new else {}
-            known.setdefault(last, last_n)
-            sizes = np.array([known[x] for x in names] + [-1], np.int64)  # -1 marks the lists of documents
-            codes = pc.fill_null(coded.indices, len(names)).to_numpy(zero_copy_only=False)
-            if names:
-                last, last_n = names[-1], int(sizes[len(names) - 1])
-            keep = [batch.column(c) for c in ("block_id", "ordinals", "frequencies")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(sizes[codes])], ["block_id", "ordinals", "frequencies", "pieces"])
-
-    dealt = F.when(F.col("piece").isNull(), F.col("block_id")).otherwise(F.xxhash64("piece"))
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, dealt).sortWithinPartitions("piece").mapInArrow(run, "block_id long, ordinals binary, frequencies binary, pieces long")
+    return lists.groupBy("r").applyInPandas(run, SUMS)
 
 
 def _sum_block(rows: pd.DataFrame) -> pd.DataFrame:
-    head = rows["pieces"] < 0
-    doc_ids, n_bytes = (np.frombuffer(rows.loc[head, c].iloc[0], "<i8") for c in ("ordinals", "frequencies"))
-    body = rows[~head]
-    ordinals = np.frombuffer(b"".join(body["ordinals"]), "<u2")
-    freq = np.frombuffer(b"".join(body["frequencies"]), "<u4").astype(np.int64)
-    pieces = np.repeat(body["pieces"].to_numpy(np.int64), body["ordinals"].map(len).to_numpy(np.int64) // 2)
+    head = rows[rows["listed"]].iloc[0]
+    doc_ids, n_bytes = _unpacked(head["ordinals"], "<i8"), _unpacked(head["weights"], "<i8")
     total = np.zeros(len(doc_ids), np.int64)
-    np.add.at(total, ordinals, freq * pieces)
+    for ordinals, weights in rows.loc[~rows["listed"], ["ordinals", "weights"]].itertuples(index=False, name=None):
+        total[_unpacked(ordinals, "<u2")] += _unpacked(weights, "<i8")
     named = pd.array(doc_ids.copy(), "Int64")
     named[n_bytes < 0] = pd.NA
     return pd.DataFrame({"doc_id": named, "n_bytes": np.where(n_bytes < 0, -1 - n_bytes, n_bytes), "n_tokens": total})
@@ -152,6 +161,7 @@ def _sum_block(rows: pd.DataFrame) -> pd.DataFrame:
 
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of every row of docs."""
-    counted = count_pieces(frequencies(docs), path or tokenizer_path("piece_bpe_32k.model"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = count_pieces(frequencies(docs, n), path or tokenizer_path("piece_bpe_32k.model"))
     summed = counted.groupBy("block_id").applyInPandas(_sum_block, "doc_id long, n_bytes long, n_tokens long")
     return summed.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -7,10 +7,10 @@ the input. The work, in one plan over documents that are dealt once into buckets
    window's bytes alone. A bucket posts its distinct anchors; anchors found in one document only are out.
 2. Around the shared anchors each bucket cuts segments (runs of windows with one anchor) and posts each distinct segment
    once, with the smallest doc_id that holds it. Copies thus weigh one segment per bucket, however many there are.
-3. Per range of anchors, all windows of the segments are suffixes in one buffer. They are sorted by a mergesort whose
-   comparisons find the common extension of two suffixes by binary search over prefix polynomial hashes; neighbours that
-   agree in LENGTH bytes by hash are compared byte for byte. Each class of equal windows gets its smallest doc_id, and
-   each segment's windows learn whether that is smaller than their own.
+3. Per range of anchors, equal segments become one, and the windows of those left are suffixes in one buffer. They are
+   sorted by a mergesort whose comparisons find the common extension of two suffixes by binary search over prefix
+   polynomial hashes; neighbours that agree in LENGTH bytes by hash are compared byte for byte. Each class of equal
+   windows gets its smallest doc_id, and each segment's windows learn whether that is smaller than their own.
 4. The buckets apply the answers and cut the texts.
 
 Edge cases: a null text is empty and stays empty; texts shorter than LENGTH bytes stay whole; a doc_id that occurs
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 LENGTH = 50
 ANCHOR = 16
 #: A bucket holds about so many bytes of text.
-BUCKET_BYTES = 6_000_000
+BUCKET_BYTES = 4_000_000
 #: Windows that one vectorised sort takes at a time.
 SLICE_WINDOWS = 120_000
 #: Windows of one segment at most; longer runs (periodic texts) are cut into several segments.
@@ -237,8 +237,11 @@ class Segments:
 
 
 def _extension(h: PrefixHashes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Common extension of the suffixes at a and b, up to LENGTH bytes, by binary search over hashes."""
-    same = np.zeros(len(a), np.int64)
+    """Common extension of the suffixes at a and b, up to LENGTH bytes, by binary search over hashes.
+
+    The whole length is tried first: among candidates most pairs are equal.
+    """
+    same = np.where(h.at(a, LENGTH) == h.at(b, LENGTH), LENGTH, 0)
     step = 1 << (LENGTH.bit_length() - 1)
     while step:
         fits = np.flatnonzero(same + step <= LENGTH)
@@ -288,10 +291,28 @@ def sort_suffixes(h: PrefixHashes, suffixes: np.ndarray, starts: np.ndarray) ->
     return order
 
 
+def _equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> bool:
+    """Whether data[a : a + length] equals data[b : b + length] for each pair, a bounded number of bytes at a time."""
+    done, k = np.cumsum(lengths), 0
+    while k < len(a):
+        e = max(k + 1, int(np.searchsorted(done, (done[k - 1] if k else 0) + 4_000_000)))
+        size = lengths[k:e]
+        offset = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        if not (data[np.repeat(a[k:e], size) + offset] == data[np.repeat(b[k:e], size) + offset]).all():
+            return False
+        k = e
+    return True
+
+
+_COLLISION = "two different strings have one hash; change the base and run again"
+
+
 def resolve(rows: pd.DataFrame) -> pd.DataFrame:
     """Per bucket and entry, the bits of the windows that also start in a document before the entry's first.
 
-    Works through the range in slices of whole anchors with about SLICE_WINDOWS windows each.
+    Equal segments of different buckets are found by their hashes first and confirmed on the bytes: all but the earliest
+    are covered whole, and one of them stands for all in the suffix sort. Anchors with one distinct segment need no sort.
+    The sort works through the range in slices of whole anchors with about SLICE_WINDOWS windows each.
     """
     data = np.frombuffer(b"".join(map(zstandard.decompress, rows["data"])), np.uint8)
     lengths = np.frombuffer(b"".join(rows["lengths"]), np.uint32).astype(np.int64)
@@ -300,63 +321,104 @@ def resolve(rows: pd.DataFrame) -> pd.DataFrame:
     entries = np.frombuffer(b"".join(rows["entries"]), np.uint32)
     bucket = np.repeat(rows["bucket"].to_numpy(), [len(x) // 4 for x in rows["entries"]])
     begin = np.cumsum(lengths) - lengths
-    order = np.argsort(anchors, kind="stable")
-    groups = np.flatnonzero(np.append(True, anchors[order][1:] != anchors[order][:-1]))
-    done = np.cumsum(lengths[order] - LENGTH + 1)
-    out, a = [], 0
-    while a < len(order):
+    if not len(lengths):
+        return pd.DataFrame({"bucket": [], "entries": [], "bits": []})
+
+    digest = PrefixHashes(data).at(begin, lengths)
+    order = np.lexsort((least, digest, lengths, anchors))
+    new = np.ones(len(order), bool)
+    for key in (anchors, lengths, digest):
+        ranked = key[order]
+        if key is anchors:
+            new[1:] = ranked[1:] != ranked[:-1]
+        else:
+            new[1:] |= ranked[1:] != ranked[:-1]
+    same = np.flatnonzero(~new)
+    if not _equal_bytes(data, begin[order[same - 1]], begin[order[same]], lengths[order[same]]):
+        raise ArithmeticError(_COLLISION)
+    stands = order[new]  # of each distinct segment, the one with the smallest doc_id
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(new) - 1
+
+    several = np.flatnonzero(np.append(True, anchors[stands][1:] != anchors[stands][:-1]))
+    sizes = np.diff(np.append(several, len(stands)))
+    chosen = np.flatnonzero(np.repeat(sizes, sizes) > 1)
+    bits = np.zeros(len(stands), np.uint64)
+    groups = np.flatnonzero(np.append(True, anchors[stands[chosen]][1:] != anchors[stands[chosen]][:-1])) if len(chosen) else np.zeros(0, np.int64)
+    done, a = np.cumsum(lengths[stands[chosen]] - LENGTH + 1), 0
+    while a < len(chosen):
         full = np.searchsorted(done, (done[a - 1] if a else 0) + SLICE_WINDOWS)
-        nxt = np.searchsorted(groups, full, side="left")
-        b = int(groups[nxt]) if nxt < len(groups) else len(order)
-        b = b if b > a else int(groups[nxt + 1]) if nxt + 1 < len(groups) else len(order)
-        some = order[a:b]
+        nxt = int(np.searchsorted(groups, max(full, a + 1), side="left"))
+        b = int(groups[nxt]) if nxt < len(groups) else len(chosen)
+        some = stands[chosen[a:b]]
         size = lengths[some]
         offset = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        out.append(_resolve_slice(data[np.repeat(begin[some], size) + offset], size, anchors[some], least[some], entries[some], bucket[some]))
+        bits[chosen[a:b]] = _earlier_windows(data[np.repeat(begin[some], size) + offset], size, anchors[some], least[some])
         a = b
-    return pd.concat(out) if out else pd.DataFrame({"bucket": [], "entries": [], "bits": []})
 
+    windows = (lengths - LENGTH + 1).astype(np.uint64)
+    whole = (np.uint64(1) << windows) - np.uint64(1)  # SEGMENT_WINDOWS is below 64
+    mine = np.where(least > least[stands[kind]], whole, bits[kind])
+    told = np.flatnonzero(mine)
+    told = told[np.argsort(bucket[told], kind="stable")]
+    out = [(int(bucket[told[a]]), entries[told[a:b]].tobytes(), mine[told[a:b]].tobytes()) for a, b in _groups(bucket[told])]
+    return pd.DataFrame(out, columns=["bucket", "entries", "bits"])
 
-def _resolve_slice(data: np.ndarray, lengths: np.ndarray, anchors: np.ndarray, least: np.ndarray, entries: np.ndarray, bucket: np.ndarray) -> pd.DataFrame:
+
+def _word(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes at each place as one number, in byte order."""
+    word = np.zeros(len(at), np.uint64)
+    for k in range(8):
+        word = (word << np.uint64(8)) | data[at + k].astype(np.uint64)
+    return word
+
+
+def _earlier_windows(data: np.ndarray, lengths: np.ndarray, anchors: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Per segment, the bits of its windows that a segment with a smaller doc_id also holds.
+
+    Only suffixes that agree in anchor and in the first and last eight bytes of their windows, from more than one
+    document, can tell anything; these groups are sorted.
+    """
     begin = np.cumsum(lengths) - lengths
     windows = lengths - LENGTH + 1
     owner = np.repeat(np.arange(len(windows)), windows)
     inner = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
     at = begin[owner] + inner
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    word = np.zeros(len(at), np.uint64)
-    for k in range(8):
-        word = (word << np.uint64(8)) | padded[at + k].astype(np.uint64)
-    order = np.lexsort((word, anchors[owner]))
-    key_a, key_w = anchors[owner[order]], word[order]
-    new = np.append(True, (key_a[1:] != key_a[:-1]) | (key_w[1:] != key_w[:-1])) if len(order) else np.zeros(0, bool)
+    bits = np.zeros(len(windows), np.uint64)
+    keys = (anchors[owner], _word(data, at), _word(data, at + LENGTH - 8))
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = False
+    for key in keys:
+        ranked = key[order]
+        new[1:] |= ranked[1:] != ranked[:-1]
+    starts = np.flatnonzero(new)
+    mine = least[owner[order]]
+    sizes = np.diff(np.append(starts, len(order)))
+    told = np.repeat(np.minimum.reduceat(mine, starts) != np.maximum.reduceat(mine, starts), sizes)
+    order, new = order[told], new[told]
+    if not len(order):
+        return bits
     starts = np.flatnonzero(new)
     h = PrefixHashes(data)
-    index = np.argsort(at, kind="stable")  # windows by place; places are distinct
     ranked = sort_suffixes(h, at[order], starts)
-    window = index[np.searchsorted(at, ranked, sorter=index)]
+    window = np.empty(len(data), np.int64)  # windows by place; places are distinct
+    window[at] = np.arange(len(at))
+    window = window[ranked]
     # Classes of equal windows: neighbours inside a group whose extension reaches LENGTH, confirmed on the bytes.
-    fresh = new.copy()
     pairs = np.flatnonzero(~new)
     equal = _extension(h, ranked[pairs - 1], ranked[pairs]) == LENGTH
-    offsets = np.arange(LENGTH)
-    for a in range(0, len(pairs), 100_000):
-        some = pairs[a : a + 100_000][equal[a : a + 100_000]]
-        if len(some) and not (data[ranked[some][:, None] + offsets] == data[ranked[some - 1][:, None] + offsets]).all():
-            raise ArithmeticError("two different strings have one hash; change the base and run again")
+    some = ranked[pairs[equal]]
+    if not _equal_bytes(data, ranked[pairs[equal] - 1], some, np.full(len(some), LENGTH)):
+        raise ArithmeticError(_COLLISION)
+    fresh = new.copy()
     fresh[pairs] = ~equal
     heads = np.flatnonzero(fresh)
     mine = least[owner[window]]
-    first = np.repeat(np.minimum.reduceat(mine, heads), np.diff(np.append(heads, len(mine)))) if len(heads) else mine
+    first = np.repeat(np.minimum.reduceat(mine, heads), np.diff(np.append(heads, len(mine))))
     hit = window[first < mine]
-    if not len(hit):
-        return pd.DataFrame({"bucket": [], "entries": [], "bits": []})
-    bits = np.zeros(len(windows), np.uint64)
     np.bitwise_or.at(bits, owner[hit], np.uint64(1) << inner[hit].astype(np.uint64))
-    told = np.flatnonzero(bits)
-    told = told[np.argsort(bucket[told], kind="stable")]
-    out = [(int(bucket[told[a]]), entries[told[a:b]].tobytes(), bits[told[a:b]].tobytes()) for a, b in _groups(bucket[told])]
-    return pd.DataFrame(out, columns=["bucket", "entries", "bits"])
+    return bits
 
 
 def _sorted_ids(rows: pd.DataFrame) -> tuple[list, list[bytes], list[int]]:

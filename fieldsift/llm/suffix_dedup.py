@@ -21,11 +21,9 @@ are used whole; an empty table gives an empty result; further columns are ignore
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -105,7 +103,7 @@ def window_runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if n < 1:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(0, np.uint64)
-    firsts, anchors, step = [], [], 1 << 20
+    firsts, anchors, step = [], [], 1 << 16
     for a in range(0, n, step):  # a very long text in parts, so that the arrays stay small
         piece = np.frombuffer(data, np.uint8, min(len(data) - a, step + LENGTH - 1), a)
         low = _sliding_min(PrefixHashes(piece).every(ANCHOR), LENGTH - ANCHOR + 1)
@@ -429,10 +427,11 @@ def _sorted_ids(rows: pd.DataFrame) -> tuple[list, list[bytes], list[int]]:
     return [ids[k] for k in order], [data[k].encode() for k in order], order
 
 
-def repeated_spans(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, text and spans (array of begin, end in bytes) of every row of docs: the runs of bytes to remove.
+def repeated_spans(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, spans (array of begin, end in bytes: the runs to remove) and kept (the other bytes) of every row.
 
-    keep names further columns of docs to carry along, as the struct "row".
+    as_text returns kept as a string; a character of which only some bytes go is dropped whole.
+    keep names further columns of docs to carry along, as JSON in the column "row".
     """
     spark = docs.sparkSession
     kept = [F.to_json(F.struct(*(docs[c].alias(c) for c in keep))).alias("row")] if keep else []
@@ -441,7 +440,7 @@ def repeated_spans(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, keep: list
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / bucket_bytes))
     n_ranges = n
-    parts = max(1, min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    parts = max(1, min(n, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))  # buckets are dealt more evenly
     bucket = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(n))
     dealt = own.withColumn("bucket", bucket).repartition(parts, "bucket")
 
@@ -468,7 +467,8 @@ def repeated_spans(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, keep: list
             if shared:
                 spans = Segments(ids, data, np.concatenate(shared)).cover(ids, marks)
         flat = [[x for span in s for x in span] for s in spans]
-        out = {"doc_id": pd.array(ids, "Int64"), "text": [x.decode() for x in data], "spans": flat}
+        kept = [remove_spans(x, s) for x, s in zip(data, flat)]
+        out = {"doc_id": pd.array(ids, "Int64"), "n_bytes": [len(x) for x in data], "spans": flat, "kept": [x.decode(errors="ignore") for x in kept] if as_text else kept}
         return pd.DataFrame(out | ({"row": rows["row"].to_numpy()[order]} if carries else {}))
 
     posts = dealt.groupBy("bucket").applyInPandas(post_group, "r long, bucket long, single binary, multiple binary")
@@ -478,7 +478,7 @@ def repeated_spans(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, keep: list
     told = shared.select("bucket", "anchors", F.lit(None).cast("binary").alias("entries"), F.lit(None).cast("binary").alias("bits")).unionByName(
         resolved.select("bucket", F.lit(None).cast("binary").alias("anchors"), "entries", "bits")
     )
-    return dealt.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(finish, "doc_id long, text string, spans array<long>" + (", row string" if kept else ""))
+    return dealt.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(finish, f"doc_id long, n_bytes long, spans array<long>, kept {'string' if as_text else 'binary'}" + (", row string" if carries else ""))
 
 
 def remove_spans(data: bytes, spans: list[int]) -> bytes:
@@ -492,20 +492,8 @@ def remove_spans(data: bytes, spans: list[int]) -> bytes:
 
 def kept_bytes(spans: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the kept bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data = [t.encode() for t in batch.column("text").to_pylist()]
-            kept = [remove_spans(x, s) for x, s in zip(data, batch.column("spans").to_pylist())]
-            sizes = [len(x) for x in data]
-            removed = [n - len(x) for n, x in zip(sizes, kept)]
-            count = [len(s) // 2 for s in batch.column("spans").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
-            )
-
-    return spans.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    removed = (F.col("n_bytes") - F.octet_length("kept")).cast("long")
+    return spans.select("doc_id", "n_bytes", removed.alias("n_removed"), F.floor(F.size("spans") / 2).cast("long").alias("n_spans"), "kept")
 
 
 def cut_documents(docs: DataFrame) -> DataFrame:
@@ -514,16 +502,7 @@ def cut_documents(docs: DataFrame) -> DataFrame:
     A character of which only some bytes go is dropped whole.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    spans = repeated_spans(docs, keep=others or None)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())
-            cut = [remove_spans(t.encode(), s).decode(errors="ignore") if s else t for t, s in pairs]
-            keep = [c for c in batch.schema.names if c not in ("text", "spans")]
-            yield pa.RecordBatch.from_arrays([pa.array(cut, pa.string()), *(batch.column(c) for c in keep)], ["text", *keep])
-
-    cut = spans.mapInArrow(run, "text string, doc_id long" + (", row string" if others else ""))
+    cut = repeated_spans(docs, keep=others or None, as_text=True).withColumnRenamed("kept", "text")
     if not others:
         return cut.select(*docs.columns)
     fields = docs.select(*others).schema

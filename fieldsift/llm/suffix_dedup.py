@@ -160,11 +160,18 @@ def _groups(values: np.ndarray) -> list[tuple[int, int]]:
 
 def shared_anchors(rows: pd.DataFrame) -> pd.DataFrame:
     """Per bucket, which of its anchors in this range several documents hold."""
-    single = [_unpack(x) for x in rows["single"]]
-    multiple = [_unpack(x) for x in rows["multiple"]]
-    found, times = np.unique(np.concatenate(single + multiple), return_counts=True)
-    shared = np.union1d(found[times > 1], np.concatenate(multiple))
-    out = [(b, _pack(np.concatenate([x[np.isin(x, shared)], y]))) for b, x, y in zip(rows["bucket"], single, multiple)]
+    lists = [_unpack(x) for x in (*rows["single"], *rows["multiple"])]
+    sizes = np.array([len(x) for x in lists], np.int64)
+    flat = np.concatenate(lists)
+    several = np.arange(len(flat)) >= sizes[: len(rows)].sum()
+    distinct, where, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times > 1
+    shared[where[several]] = True
+    keep = shared[where]
+    ends = np.cumsum(np.append(0, keep))[np.append(0, np.cumsum(sizes))].tolist()
+    data = _pack(flat[keep])
+    parts = [data[6 * a : 6 * b] for a, b in zip(ends, ends[1:])]
+    out = [(b, x + y) for b, x, y in zip(rows["bucket"], parts, parts[len(rows) :])]
     return pd.DataFrame([x for x in out if x[1]], columns=["bucket", "anchors"])
 
 
@@ -293,7 +300,7 @@ def _equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.nda
     """Whether data[a : a + length] equals data[b : b + length] for each pair, a bounded number of bytes at a time."""
     done, k = np.cumsum(lengths), 0
     while k < len(a):
-        e = max(k + 1, int(np.searchsorted(done, (done[k - 1] if k else 0) + 4_000_000)))
+        e = max(k + 1, int(np.searchsorted(done, (done[k - 1] if k else 0) + 1_000_000)))
         size = lengths[k:e]
         offset = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         if not (data[np.repeat(a[k:e], size) + offset] == data[np.repeat(b[k:e], size) + offset]).all():
@@ -302,6 +309,16 @@ def _equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.nda
     return True
 
 
+def _digests(data: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The hash of each of the strings that make up data, about 100,000 bytes at a time."""
+    done, out, k = begin + lengths, [], 0
+    while k < len(begin):
+        e = max(k + 1, int(np.searchsorted(done, begin[k] + 100_000)))
+        out.append(PrefixHashes(data[begin[k] : done[e - 1]]).at(begin[k:e] - begin[k], lengths[k:e]))
+        k = e
+    return np.concatenate(out)
+
+
 _COLLISION = "two different strings have one hash; change the base and run again"
 
 
@@ -322,7 +339,7 @@ def resolve(rows: pd.DataFrame) -> pd.DataFrame:
     if not len(lengths):
         return pd.DataFrame({"bucket": [], "entries": [], "bits": []})
 
-    digest = PrefixHashes(data).at(begin, lengths)
+    digest = _digests(data, begin, lengths)
     order = np.lexsort((least, digest, lengths, anchors))
     new = np.ones(len(order), bool)
     for key in (anchors, lengths, digest):
@@ -439,7 +456,7 @@ def repeated_spans(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, keep: list
     carries = bool(kept)
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / bucket_bytes))
-    n_ranges = n
+    n_ranges = max(1, n // 2)
     parts = max(1, min(n, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))  # buckets are dealt more evenly
     bucket = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(n))
     dealt = own.withColumn("bucket", bucket).repartition(parts, "bucket")

@@ -355,3 +355,6 @@ def page_text_length(spark, sf_dir):
 @query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")
 def redelivered(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).where("n > 1")
+
+
+from fieldsift import field_queries  # noqa: E402, F401  registers further queries

@@ -85,4 +85,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_ann_search, op2_token_counts, op3_suffix_dedup, op4_byte_bpe, op5_quality_rules, op6_minhash_dedup, op7_url_filter, op8_toxicity, op9_packing, op10_html_text)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, unhex(substr(h, 2*i + 1, 100)) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h)//2 - 49, 0))) AS i FROM d)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+hit AS (SELECT w.doc_id, w.i FROM w JOIN f ON w.s = f.s AND f.first < w.doc_id),
+run AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS opens FROM hit)),
+span AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM run GROUP BY doc_id, k),
+piece AS (SELECT span.doc_id, a, b, substr(h, 2*coalesce(lag(b) OVER o, 0) + 1, 2*(a - coalesce(lag(b) OVER o, 0))) AS t FROM span JOIN d USING (doc_id) WINDOW o AS (PARTITION BY span.doc_id ORDER BY a)),
+cut AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(t, '' ORDER BY a) AS t FROM piece GROUP BY doc_id)
+SELECT d.doc_id, length(h)//2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+sha256(unhex(coalesce(t, '') || substr(h, 2*coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id)""",
+    "op6_minhash_dedup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+e AS MATERIALIZED (SELECT x, y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL) p JOIN n na ON na.doc_id = x JOIN n nb ON nb.doc_id = y WHERE 100*c >= 85*(na.n + nb.n - c)),
+both_ways AS MATERIALIZED (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT b.y, r.c FROM r JOIN both_ways b ON b.x = r.doc_id WHERE r.c < b.y),
+m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+SELECT m.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, m.doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)""",
+}

@@ -24,6 +24,11 @@ VIEWS = {
         44.0e0 + (p_partkey*104729 % 100000)/40000.0e0 + 0.01e0*(1 + p_size % 3) AS north, p_size AS size""",
     ),
     "fixes": ("events", "*"),
+    "vertices": (
+        "lineitem",
+        """l_orderkey AS line_id, l_linenumber AS nth, -124000000 + (l_orderkey*7919 % 100000)*50 + (l_partkey % 40)*500 AS xu,
+        44000000 + (l_orderkey*104729 % 100000)*25 + (l_suppkey % 25)*400 AS yu""",
+    ),
 }
 
 

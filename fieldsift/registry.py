@@ -357,4 +357,4 @@ def redelivered(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).where("n > 1")
 
 
-from fieldsift import field_queries  # noqa: E402, F401  registers further queries
+from fieldsift import field_queries, line_queries  # noqa: E402, F401  register further queries

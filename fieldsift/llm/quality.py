@@ -4,8 +4,10 @@ Word metrics are measured per document in Arrow batches. Their distributions are
 (lang, source); the sketches are merged again per lang and over everything, so that a group with few documents borrows
 the cutoffs of the next wider one. The cutoffs are joined back on (lang, source) and decide with the base rules.
 
-A metric fails where it exceeds  upper quartile + SPREAD * max(interquartile range, LEAST[metric]).  The cutoff is an
-outlier rule and not a fixed share, so a group of clean documents loses none.
+A metric fails where it exceeds  CENTRE quantile + SPREAD * max(2 * (CENTRE - LOW quantile), LEAST[metric]).  Only the
+lower part of a group decides, so junk moves no cutoff while it is less than 1 - CENTRE of the group; a group with more
+of it passes for one with a style of its own. The cutoff is an outlier rule and not a fixed share, so a group of clean
+documents loses none.
 
 Edge cases: a null or empty text has no words and fails the base rule; null lang or source make groups of their own;
 very long texts are measured whole; repeated rows give repeated result rows and count as often in the sketches; an empty
@@ -28,6 +30,8 @@ SYMBOLS = "#*$%&|<>"
 #: Metric -> the least spread that the outlier rule assumes.
 LEAST = {"symbol_share": 0.05, "dup_line_share": 0.12, "repeat_word_share": 0.15, "capital_share": 0.08, "exclaim_share": 0.05, "long_word_share": 0.04}
 SPREAD = 3.0
+#: The quantiles that a cutoff rests on. Twice their distance is about the upper part's spread where a metric has two tails.
+CENTRE, LOW = 0.4, 0.1
 #: Groups with fewer documents take the cutoffs of the wider group.
 LEAST_DOCS = 100
 
@@ -94,8 +98,8 @@ def metrics(docs: DataFrame, keep_row: bool = False) -> DataFrame:
 
 
 def _cutoff(sketch, metric: str):
-    low, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
-    return high + SPREAD * F.greatest(high - low, F.lit(LEAST[metric]))
+    low, centre = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (LOW, CENTRE))
+    return centre + SPREAD * F.greatest(2 * (centre - low), F.lit(LEAST[metric]))
 
 
 def thresholds(measured: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:

@@ -161,6 +161,16 @@ def test_quality_metrics():
     assert quality.measure_text("")[:5] == (0, 0, 0, 0, 0)
 
 
+def test_quality_cutoffs_hold_where_junk_is_common(spark):
+    words = [f"w{i}" for i in range(200)]
+    junk = lambda i: " ".join(w + " ###" for w in words[i % 50 : i % 50 + 60])
+    code = lambda i: " ".join([*words[i % 50 : i % 50 + 60], "#" * (20 + i % 3)])
+    rows = [(i, junk(i) if i % 20 < 9 else " ".join(words[i % 50 : i % 50 + 60 + i % 7]), "en", "mixed") for i in range(200)]
+    rows += [(1000 + i, junk(i) if i % 10 == 0 else code(i), "en", "code") for i in range(200)]
+    got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got == {i: not ((i % 20 < 9) if i < 1000 else (i % 10 == 0)) for i, *_ in rows}
+
+
 def test_url_rules(spark):
     urls = ["http://A.example.net/en/1", "https://x.net/", "http://x.net", "http://b.example.com/de/x?y#z", "ftp://q.org/fr/1", "no scheme", None, "http://netx/en/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")

@@ -30,8 +30,8 @@ from .common import block_ids, blocks, texts, tokenizer_path
 WINDOW = 1024
 SHARD_BYTES = 8_000_000
 SHARD_ROWS = 4096
-#: BM25: term saturation, length normalisation, and how many of a seed's rarest shared terms make its query.
-K1, B, QUERY_TERMS = 1.2, 0.75, 12
+#: BM25: term saturation and length normalisation. All terms that a seed shares with another tail make its query.
+K1, B = 1.2, 0.75
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -77,10 +77,10 @@ class Bm25Shard:
         self.n = n
         slot = np.repeat(np.arange(len(self.terms)), df)
         shared = df[slot] > 1
-        order = np.lexsort((df[slot][shared], self.doc[shared]))
+        order = np.argsort(self.doc[shared], kind="stable")
         who, what = self.doc[shared][order], slot[shared][order]
         begin = np.searchsorted(who, np.arange(n + 1))
-        self.query = [what[a : min(b, a + QUERY_TERMS)] for a, b in zip(begin[:-1], begin[1:])]
+        self.query = [what[a:b] for a, b in zip(begin[:-1], begin[1:])]
 
     def scores(self, seed: int) -> np.ndarray:
         spans = [slice(self.bounds[s], self.bounds[s + 1]) for s in self.query[seed].tolist()]

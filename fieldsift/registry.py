@@ -333,10 +333,12 @@ def declared_phrases(spark, sf_dir):
     words = lambda c: F.array_distinct(F.split(c, r"\s+"))
     inner = F.filter(F.slice(F.split("text", r"\s+"), 2, 1000), lambda w: F.length(w) > 0)
     whole = F.slice(inner, 1, F.greatest(F.size(inner) - 1, F.lit(0)))  # the last word may end inside a longer one
-    longest = F.element_at(F.array_sort(F.transform(whole, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
+    longest = F.try_element_at(F.array_sort(F.transform(whole, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(1))["w"]
     keyed = b.where(F.length("text") > 0).select("item_id", F.col("text").alias("phrase"), longest.alias("word"))
     rows = d.select("doc_id", F.explode(words("text")).alias("word")).join(keyed, "word")
-    return d.select("doc_id", "text").join(rows, "doc_id").where(F.col("text").contains(F.col("phrase"))).select("doc_id", "item_id").distinct()
+    found = d.select("doc_id", "text").join(rows, "doc_id").where(F.col("text").contains(F.col("phrase"))).select("doc_id", "item_id")
+    short = keyed.where("word is null").select("item_id", "phrase")  # no inner word to meet by: every document is read for these few
+    return found.union(d.join(short, F.col("text").contains(F.col("phrase"))).select("doc_id", "item_id")).distinct()
 
 
 @query("SELECT event_type, array_to_string(list_sort(list(DISTINCT k)), ',') AS facts, sha256(array_to_string(list_sort(list(DISTINCT k)), ',')) AS signature FROM (SELECT event_type, json_extract_string(props, '$.k') AS k FROM events) GROUP BY event_type")

@@ -1,7 +1,7 @@
 """Main text of web pages by differencing a page with its nearest neighbour on the same host.
 
 Pages are sorted by (host, path); a page's pair is the one of its two neighbours on the host whose path agrees with its
-own for longer. The lines (blocks) of both are aligned by their longest common subsequence and what they share goes:
+own for longer. Neighbours with just the same lines are copies and no pair: the next page of other lines is taken. The lines (blocks) of both are aligned by their longest common subsequence and what they share goes:
 site furniture repeats from page to page, the article doesn't. Lines that the markup itself sets aside (scripts, menus,
 headers, footers, sidebars, forms, notices, adverts, reader comments) go first.
 
@@ -11,8 +11,8 @@ main element are therefore never deleted by differencing, and where a page has s
 One shuffle, by ranges of (host, path, page_id), so that a host with a third of all pages is dealt over many tasks; at
 the edge of a range a page has one neighbour only.
 
-Edge cases: null or empty html gives an empty text; a null url has an empty host and path; pages alone on their host keep
-their lines; broken and unclosed tags are read as far as they go; repeated pages are kept, each with its own row; very
+Edge cases: null or empty html gives an empty text; a null url has an empty host and path; pages alone on their host, and
+copies that are alone on it, keep their lines; broken and unclosed tags are read as far as they go; repeated pages are kept, each with its own row; very
 long pages are read whole; further columns are ignored; an empty table gives an empty result.
 """
 
@@ -175,7 +175,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     sorted_ = keyed.repartitionByRange(n, "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = here = None  # (page_id, url, host, path, lines)
+        before, held = None, []  # pages (page_id, url, host, path, lines); held are neighbours with the same lines
         out: list[tuple] = []
 
         def settle(prev, page, nxt) -> None:
@@ -192,14 +192,19 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
         for batch in batches:
             for page_id, url, page, host_, path_ in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "host", "path"))):
-                new = (page_id, url, host_, path_, page_lines(page))
-                if here is not None:
-                    settle(before, here, new)
-                before, here = here, new
+                lines = page_lines(page)
+                if held and (held[-1][2] != host_ or held[-1][4] != lines):
+                    new = (page_id, url, host_, path_, lines)
+                    for x in held:
+                        settle(before, x, new)
+                        if len(out) > 500:
+                            yield emit()
+                    before, held = held[-1], []
+                held.append((page_id, url, host_, path_, held[-1][4] if held else lines))  # copies share one list
+        for x in held:
+            settle(before, x, None)
             if len(out) > 500:
                 yield emit()
-        if here is not None:
-            settle(before, here, None)
         if out:
             yield emit()
 

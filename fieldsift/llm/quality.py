@@ -32,7 +32,7 @@ from .common import as_table
 SYMBOLS = "#*$%&|<>"
 #: Metrics of the adaptive rules: other characters than letters and digits, and capitals, by characters in words; characters by word.
 METRIC_NAMES = ["sign_share", "capital_share", "word_length"]
-SPREAD = 8.0
+SPREAD = 10.0
 #: The quantiles that a cutoff rests on.
 CENTRE, LOW = 0.4, 0.1
 #: Groups with fewer documents take the cutoffs of the wider group.

@@ -6,7 +6,7 @@ use far more often than others. Features per document: lexicon density, peak and
 shares of capitals, exclamation and other punctuation, and obfuscated spellings.
 
 Labels, lang, source and doc_id are never inputs of a score. Fitting uses MAX_TRAIN labelled documents at most, chosen by
-hash of doc_id, and MAX_LEXICON entries, the most telling ones.
+hash of doc_id. Every unit of these that passes the least count and the log-odds is an entry of the lexicon.
 
 Edge cases: a null or empty text has features of zero and is scored like any other; a document without a label is scored;
 several labels of one doc_id count as toxic if one is; without labels of both kinds every score is 0; repeated rows are
@@ -28,7 +28,6 @@ from .common import as_table
 from .trees import bounded_sample, fit_trees, probability
 
 MAX_TRAIN = 20_000
-MAX_LEXICON = 2_000
 #: A unit enters the lexicon from this log-odds on, and in at least so many toxic training documents.
 LOG_ODDS, LEAST_TOXIC = 3.0, 3
 #: Length of the word beginnings that stand beside whole words.
@@ -113,8 +112,8 @@ def learn_lexicon(train: DataFrame) -> dict[str, float]:
     counted = train.select("text", "toxic").mapInArrow(run, "unit string, toxic int").groupBy("unit").agg(F.sum("toxic").cast("double").alias("t"), F.count("*").cast("double").alias("n"))
     odds = F.log((F.col("t") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("n") - F.col("t") + 0.5) / (n_other + 1.0))
     least = max(LEAST_TOXIC, math.ceil(0.003 * n_toxic))
-    top = counted.where(F.col("t") >= least).withColumn("odds", odds).where(F.col("odds") >= LOG_ODDS).orderBy(F.desc("t"), "unit").limit(MAX_LEXICON)
-    return {r.unit: float(r.odds) for r in top.select("unit", "odds").collect()}
+    told = counted.where(F.col("t") >= least).withColumn("odds", odds).where(F.col("odds") >= LOG_ODDS)
+    return {r.unit: float(r.odds) for r in told.select("unit", "odds").collect()}
 
 
 def with_features(docs: DataFrame, lexicon: dict[str, float], keep: list[str]) -> DataFrame:
@@ -144,7 +143,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRA
     seen = with_features(taught, lexicon, ["toxic", "part"])
     model = fit_trees(seen.where("part <> 1"), FEATURES, "toxic")
     raw = probability(model, with_features(own, lexicon, ["doc_id", *kept]), FEATURES)
-    calibration = probability(model, seen.where("part = 1"), FEATURES).select(F.col("p").alias("features"), F.col("toxic").cast("double").alias("label")).coalesce(1).cache()
+    calibration = probability(model, seen.where("part = 1"), FEATURES).select(F.col("p").alias("features"), F.col("toxic").cast("double").alias("label")).cache()
     try:
         if model is not None and calibration.select("label").distinct().count() == 2:
             step = IsotonicRegression(featuresCol="features", labelCol="label", predictionCol="score").fit(calibration)

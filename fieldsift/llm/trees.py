@@ -24,7 +24,7 @@ def vectors(rows: DataFrame, features: list[str]) -> DataFrame:
 
 def fit_trees(rows: DataFrame, features: list[str], label: str, trees: int = 16, depth: int = 3, seed: int = 5) -> GBTClassificationModel | None:
     """The fitted model, or None where rows hold fewer than two classes. rows is small: the caller bounds it."""
-    held = vectors(rows.select(*features, F.col(label).cast("double").alias("label")), features).select("features", "label").coalesce(2).cache()
+    held = vectors(rows.select(*features, F.col(label).cast("double").alias("label")), features).select("features", "label").repartition(4).cache()
     try:
         if held.select("label").distinct().count() < 2:
             return None

@@ -2,13 +2,18 @@
 
 A rule is "host/path": it fits its host and all its subdomains if the url's path starts with the rule's path; the longest
 rule that fits decides. Urls that a rule decides are the labelled urls: the trees learn from their lexical features
-(lengths, depth, shares of digits and other signs, entropy, parameter counts, and how often the labelled urls of the same
-host suffix are blocked) and judge the rest; a url is blocked from a probability of one half.
+(lengths, depth, shares of digits and other signs, entropy, parameter counts, and suffix statistics: how often labelled
+urls with the same host suffix or the same first path segment are blocked) and judge the rest; a url is blocked from a
+probability of one half.
+
+Suffix statistics of a labelled url come from the labelled urls of other folds only (FOLDS folds by hash of the host), so
+that no url's own label, nor its host's, is an input of its features. held_out reports how a model that never saw a fold
+judges it.
 
 Edge cases: a null url, or one without "://", has an empty host and path and no rule; it is judged by its features like
-any other. Without labelled urls of both kinds every undecided url is allowed. Repeated rows are judged each; empty
-tables give empty results; further columns are ignored. The trees are fitted on MAX_TRAIN labelled urls at most, chosen
-by hash; the suffix statistics cover all labelled urls.
+any other. Without labelled urls of both kinds every undecided url is allowed. Very long urls are read whole; repeated
+rows are judged each; empty tables give empty results; further columns are ignored. The trees are fitted on MAX_TRAIN
+labelled urls at most, chosen by hash; the suffix statistics cover all labelled urls.
 """
 
 from __future__ import annotations
@@ -30,7 +35,10 @@ MAX_TRAIN = 20_000
 SMOOTHING = 10.0
 
 LEXICAL = ["url_length", "host_length", "path_length", "depth", "host_labels", "digit_share", "host_digit_share", "sign_share", "hyphens", "entropy", "host_entropy", "parameters", "has_fragment", "has_extension", "secure", "longest_word"]
-FEATURES = [*LEXICAL, "suffix1_rate", "suffix2_rate", "section_rate"]
+#: Parts of a url whose labelled urls make statistics: the host's last label, its last two, and the first path segment.
+SUFFIXES = ["suffix1", "suffix2", "section"]
+FEATURES = [*LEXICAL, *(f"{x}_rate" for x in SUFFIXES)]
+FOLDS = 5
 
 
 def _entropy(s: str) -> float:
@@ -79,23 +87,47 @@ def _suffixes(rows: DataFrame) -> DataFrame:
         {
             "suffix1": F.element_at(labels, -1),
             "suffix2": F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2)),
-            "section": F.concat_ws("/", F.element_at(labels, -1), F.coalesce(F.get(F.split("path", "/"), 1), F.lit(""))),
+            "section": F.coalesce(F.get(F.split("path", "/"), 1), F.lit("")),
+            "fold": F.when(F.col("decided").isNotNull(), F.pmod(F.xxhash64("host", F.lit(3)), F.lit(FOLDS)).cast("int")),
         }
     )
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], max_train: int = MAX_TRAIN) -> DataFrame:
-    """page_id, host, path, rule, verdict and p (the trees' probability of block) of every page."""
-    rows = _suffixes(with_lexical(by_rules(pages, rules)))
-    labelled = _suffixes(by_rules(pages, rules)).where("decided is not null")
+def with_suffix_rates(rows: DataFrame, labelled: DataFrame) -> DataFrame:
+    """rows with the smoothed share of blocked urls per suffix among labelled urls of other folds (all, where fold is null)."""
     blocked = (F.col("decided") == "block").cast("double")
     overall = labelled.agg(F.avg(blocked)).first()[0]
     prior = 0.5 if overall is None else overall
-    for key in ("suffix1", "suffix2", "section"):
-        stats = labelled.groupBy(key).agg(((F.sum(blocked) + SMOOTHING * prior) / (F.count("*") + SMOOTHING)).alias(f"{key}_rate"))
-        rows = rows.join(stats, key, "left").fillna({f"{key}_rate": prior})
-    train = rows.where("decided is not null").withColumn("y", blocked)
-    model = fit_trees(bounded_sample(train, "page_id", max_train), FEATURES, "y")
-    judged = probability(model, rows, FEATURES)
+    for key in SUFFIXES:
+        folds = [F.struct(F.sum(F.when(F.col("fold") == k, blocked)).alias("b"), F.count_if(F.col("fold") == k).alias("n")) for k in range(FOLDS)]
+        stats = labelled.groupBy(key).agg(F.sum(blocked).alias("_b"), F.count("*").alias("_n"), F.array(*folds).alias("_f"))
+        own = F.get("_f", F.col("fold"))
+        seen = F.col("_n") - F.coalesce(own["n"], F.lit(0))
+        rate = (F.col("_b") - F.coalesce(own["b"], F.lit(0.0)) + SMOOTHING * prior) / (seen + SMOOTHING)
+        rows = rows.join(stats, key, "left").withColumn(f"{key}_rate", F.coalesce(rate, F.lit(float(prior)))).drop("_b", "_n", "_f")
+    return rows
+
+
+def _features(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    rows = _suffixes(with_lexical(by_rules(pages, rules)))
+    return with_suffix_rates(rows, _suffixes(by_rules(pages, rules)).where("decided is not null"))
+
+
+def _fit(rows: DataFrame, max_train: int):
+    train = rows.where("decided is not null").withColumn("y", (F.col("decided") == "block").cast("double"))
+    return fit_trees(bounded_sample(train, "page_id", max_train), FEATURES, "y")
+
+
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], max_train: int = MAX_TRAIN) -> DataFrame:
+    """page_id, host, path, rule, verdict and p (the trees' probability of block) of every page."""
+    rows = _features(pages, rules)
+    judged = probability(_fit(rows, max_train), rows, FEATURES)
     verdict = F.coalesce("decided", F.when(F.col("p") >= 0.5, F.lit("block")).otherwise(F.lit("allow")))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "p")
+
+
+def held_out(pages: DataFrame, rules: list[tuple[str, str]], fold: int = 0, max_train: int = MAX_TRAIN) -> DataFrame:
+    """page_id, decided and p of the labelled urls of one fold of hosts, by a model fitted on the other folds."""
+    rows = _features(pages, rules)
+    judged = probability(_fit(rows.where(F.col("fold") != fold), max_train), rows.where(F.col("fold") == fold), FEATURES)
+    return judged.select("page_id", "decided", "p")

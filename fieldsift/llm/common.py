@@ -9,8 +9,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Default place of the public vocabulary files; every operator takes the path as a parameter.
 TOKENIZER_DIR = os.environ.get("FIELDSIFT_TOKENIZERS", "/opt/tokenizers")
@@ -30,9 +31,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a local master may go without it (as in tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-fieldsift-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -86,9 +89,17 @@ def block_ids() -> Iterator[int]:
         base += 1
 
 
-def only(df: DataFrame, *columns: str) -> DataFrame:
-    """The operator's own columns, whatever else the table holds."""
-    return df.select(*columns)
+def whole_row(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """The named columns (all of them) as the struct "row", whatever they are called."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`").alias(c) for c in columns or df.columns)).alias("row")
+
+
+def with_fields(ddl: str, source: DataFrame, names: list[str]) -> StructType:
+    """The schema of ddl and source's columns of these names, of any type."""
+    out = StructType.fromDDL(ddl)
+    for name in names:
+        out = out.add(source.schema[name])
+    return out
 
 
 def texts(docs: DataFrame) -> DataFrame:

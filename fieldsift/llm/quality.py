@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_table
+from .common import as_table, whole_row, with_fields
 
 #: Fixed value: the symbols that count as n_symbols.
 SYMBOLS = "#*$%&|<>"
@@ -93,9 +93,9 @@ def metrics(docs: DataFrame, keep_row: bool = False) -> DataFrame:
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         F.col("lang").cast("string").alias("lang"),
         F.col("source").cast("string").alias("source"),
-        *([F.struct(*(docs[c] for c in docs.columns)).alias("row")] if keep_row else []),
+        *([whole_row(docs)] if keep_row else []),
     )
-    return rows.mapInArrow(run, METRICS + (f", row {dict(rows.dtypes)['row']}" if keep_row else ""))
+    return rows.mapInArrow(run, with_fields(METRICS, rows, kept))
 
 
 #: The base rules' verdict over the measured columns.

@@ -1,17 +1,21 @@
 """Removes long byte strings that an earlier document also holds, by a hash-compared suffix sort.
 
 A byte goes if a LENGTH-byte string that covers it also starts in a document with a smaller doc_id; strings are judged on
-the input. The work, in one plan over documents that are dealt once into buckets:
+the input. The work, over documents that are dealt once into buckets:
 
 1. Each LENGTH-byte window has an anchor, the smallest hash of the ANCHOR-byte strings inside it, which depends on the
    window's bytes alone. A bucket posts its distinct anchors; anchors found in one document only are out.
-2. Around the shared anchors each bucket cuts segments (runs of windows with one anchor) and posts each distinct segment
-   once, with the smallest doc_id that holds it. Copies thus weigh one segment per bucket, however many there are.
-3. Per range of anchors, equal segments become one, and the windows of those left are suffixes in one buffer. They are
+2. An anchor with more than HOT_SEGMENTS different surroundings would bring too much to one task. Its windows are posted
+   once more by the hash of the whole window, again once per bucket, and from here on a window that several documents
+   hold goes by its own hash in place of its anchor. So a phrase of a third of all documents is dealt over all ranges.
+3. Around the other shared anchors each bucket cuts segments (runs of windows with one anchor) and posts each distinct
+   segment once, with the smallest doc_id that holds it. Copies thus weigh one segment per bucket, however many there are.
+4. Per range of anchors, equal segments become one, and the windows of those left are suffixes in one buffer. They are
    sorted by a mergesort whose comparisons find the common extension of two suffixes by binary search over prefix
-   polynomial hashes; neighbours that agree in LENGTH bytes by hash are compared byte for byte. Each class of equal
-   windows gets its smallest doc_id, and each segment's windows learn whether that is smaller than their own.
-4. The buckets apply the answers and cut the texts.
+   polynomial hashes; neighbours that agree in LENGTH bytes by hash are compared byte for byte, and where different
+   strings share a hash the range is done again with another base. Each class of equal windows gets its smallest doc_id,
+   and each segment's windows learn whether that is smaller than their own.
+5. The buckets apply the answers and cut the texts.
 
 Edge cases: a null text is empty and stays empty; texts shorter than LENGTH bytes stay whole; a doc_id that occurs
 several times is one document (its rows never cut each other); a null doc_id neither cuts nor is cut; very long texts
@@ -21,13 +25,17 @@ are used whole; an empty table gives an empty result; further columns are ignore
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import as_table, whole_row, with_fields
+
 LENGTH = 50
 ANCHOR = 16
 #: A bucket holds about so many bytes of text.
@@ -37,7 +45,11 @@ SLICE_WINDOWS = 120_000
 #: Windows of one segment at most; longer runs (periodic texts) are cut into several segments.
 SEGMENT_WINDOWS = 48
 
-_BASE = 6364136223846793005
+#: An anchor with more distinct segments goes by whole windows.
+HOT_SEGMENTS = 4096
+
+#: Bases of the hashes; the others are for ranges where two different strings share a hash.
+_BASES = (6364136223846793005, 2862933555777941757, 3202034522624059733)
 _MASK = 2**64
 #: Anchors travel as their low six bytes; a chance agreement only makes a candidate that the sort then tells apart.
 _LOW = np.uint64(2**48 - 1)
@@ -52,28 +64,28 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.pad(six, ((0, 0), (0, 2))).view("<u8").ravel()
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base modulo 2**64 and of its inverse."""
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, _MASK), np.uint64)
+    up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, _MASK), np.uint64)
     up[0] = down[0] = 1
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
-_CACHE: dict[str, tuple[np.ndarray, np.ndarray]] = {"p": _powers(1 << 16)}
+_CACHE: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_CACHE["p"][0]) < n:
-        _CACHE["p"] = _powers(1 << (n - 1).bit_length())
-    return _CACHE["p"]
+def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    if base not in _CACHE or len(_CACHE[base][0]) < n:
+        _CACHE[base] = _powers(max(1 << 16, 1 << (n - 1).bit_length()), base)
+    return _CACHE[base]
 
 
 class PrefixHashes:
     """Polynomial hashes of any substring of a buffer from its prefix hashes."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, base: int = _BASES[0]):
         self.data = data
-        self.up, down = powers(len(data) + 1)
+        self.up, down = powers(len(data) + 1, base)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * down[: len(data)], out=self.sums[1:], dtype=np.uint64)
 
@@ -97,16 +109,24 @@ def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
 
 
+_STEP = 1 << 16
+
+
+def _pieces(data: bytes) -> Iterator[tuple[int, PrefixHashes]]:
+    """A text's windows in parts, so that a very long text's arrays stay small: first window, hashes of the part."""
+    for a in range(0, len(data) - LENGTH + 1, _STEP):
+        yield a, PrefixHashes(np.frombuffer(data, np.uint8, min(len(data) - a, _STEP + LENGTH - 1), a))
+
+
 def window_runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one anchor: first window, number of windows, anchor."""
     n = len(data) - LENGTH + 1
     if n < 1:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(0, np.uint64)
-    firsts, anchors, step = [], [], 1 << 16
-    for a in range(0, n, step):  # a very long text in parts, so that the arrays stay small
-        piece = np.frombuffer(data, np.uint8, min(len(data) - a, step + LENGTH - 1), a)
-        low = _sliding_min(PrefixHashes(piece).every(ANCHOR), LENGTH - ANCHOR + 1)
+    firsts, anchors = [], []
+    for a, h in _pieces(data):
+        low = _sliding_min(h.every(ANCHOR), LENGTH - ANCHOR + 1)
         new = np.ones(len(low), bool)
         new[1:] = low[1:] != low[:-1]
         at = np.flatnonzero(new)
@@ -123,32 +143,85 @@ def window_runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, count, anchor
 
 
+def window_hashes(data: bytes) -> np.ndarray:
+    """The low six bytes of the hash of each window."""
+    parts = [h.every(LENGTH) & _LOW for _, h in _pieces(data)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+def _among(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    if not len(sorted_):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(sorted_, values)
+    at[at == len(sorted_)] = 0
+    return sorted_[at] == values
+
+
+def _inside(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The windows of runs, one by one."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
 def _ranges(anchors: np.ndarray, n: int) -> np.ndarray:
     """Anchors are minima and so crowd at the low end; multiplied, they spread evenly over the ranges."""
     spread = (anchors * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)
     return spread.astype(np.int64) * n >> 32
 
 
-def post_anchors(bucket: int, ids: list, data: list[bytes], n_ranges: int) -> pd.DataFrame:
-    """The bucket's distinct anchors per range: those of one document, and those of several."""
-    per_doc = [np.unique(window_runs(x)[2]) for i, x in zip(ids, data) if i is not None]
+def _posts(bucket: int, ids: list, per_doc: list[np.ndarray], n_ranges: int, segments: np.ndarray | None = None) -> list[tuple]:
+    """The bucket's distinct keys per range: those of one document, and those of several with how many segments they have.
+
+    segments: a row (key, digest) per run of windows, where segments are to be counted.
+    """
     number = {i: k for k, i in enumerate(dict.fromkeys(i for i in ids if i is not None))}
-    who = np.repeat([number[i] for i in ids if i is not None], [len(x) for x in per_doc]).astype(np.int64)
-    anchors = np.concatenate(per_doc) if per_doc else np.zeros(0, np.uint64)
-    order = np.argsort(anchors, kind="stable")
-    anchors, who = anchors[order], who[order]
-    distinct, first = np.unique(anchors, return_index=True)
+    who = np.repeat([number[i] for i in ids if i is not None], [len(x) for i, x in zip(ids, per_doc) if i is not None]).astype(np.int64)
+    keys = np.concatenate([np.zeros(0, np.uint64), *(x for i, x in zip(ids, per_doc) if i is not None)])
+    order = np.argsort(keys, kind="stable")
+    keys, who = keys[order], who[order]
+    distinct, first = np.unique(keys, return_index=True)
     several = np.zeros(len(distinct), bool)
+    counts = np.ones(len(distinct), np.int64)
     if len(distinct):
         several = np.minimum.reduceat(who, first) != np.maximum.reduceat(who, first)
+        if segments is not None:
+            pairs = np.unique(segments.view([("key", "<u8"), ("digest", "<u8")]).ravel())["key"]
+            counts = np.searchsorted(pairs, distinct, "right") - np.searchsorted(pairs, distinct, "left")
     r = _ranges(distinct, n_ranges)
     order = np.argsort(r, kind="stable")
-    distinct, several, r = distinct[order], several[order], r[order]
-    rows = []
-    for a, b in _groups(r):
-        some, more = distinct[a:b], several[a:b]
-        rows.append((int(r[a]), bucket, _pack(some[~more]), _pack(some[more])))
-    return pd.DataFrame(rows, columns=["r", "bucket", "single", "multiple"])
+    distinct, several, counts, r = distinct[order], several[order], np.minimum(counts[order], 65535).astype("<u2"), r[order]
+    return [
+        (int(r[a]), bucket, _pack(distinct[a:b][~several[a:b]]), _pack(distinct[a:b][several[a:b]]), counts[a:b][several[a:b]].tobytes())
+        for a, b in _groups(r)
+    ]
+
+
+def post_anchors(bucket: int, ids: list, data: list[bytes], n_ranges: int) -> list[tuple]:
+    """The bucket's anchors for each range."""
+    per_doc, segments = [], [np.zeros((0, 2), "<u8")]
+    for x in data:
+        first, count, anchor = window_runs(x)
+        per_doc.append(np.unique(anchor))
+        if len(first):
+            digest = np.concatenate([h.at(f - a, np.minimum(n + LENGTH - 1, len(h.data) - (f - a))) for a, h, f, n in _by_piece(x, first, count)])
+            segments.append(np.stack([anchor, digest], axis=1).astype("<u8"))
+    return _posts(bucket, ids, per_doc, n_ranges, np.concatenate(segments))
+
+
+def _by_piece(data: bytes, first: np.ndarray, count: np.ndarray) -> Iterator[tuple]:
+    """Runs by the part of the text that they begin in: first window and hashes of the part, the runs' first and count."""
+    for a, h in _pieces(data):
+        some = slice(*np.searchsorted(first, [a, a + _STEP]).tolist())
+        yield a, h, first[some], count[some]
+
+
+def post_windows(bucket: int, ids: list, data: list[bytes], hot: np.ndarray, n_ranges: int) -> list[tuple]:
+    """The bucket's windows around hot anchors, by their own hashes, for each range."""
+    per_doc = []
+    for x in data:
+        first, count, anchor = window_runs(x)
+        some = _among(anchor, hot)
+        per_doc.append(np.unique(window_hashes(x)[_inside(first[some], count[some])]) if some.any() else np.zeros(0, np.uint64))
+    return _posts(bucket, ids, per_doc, n_ranges)
 
 
 def _groups(values: np.ndarray) -> list[tuple[int, int]]:
@@ -158,54 +231,69 @@ def _groups(values: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at, at[1:]))
 
 
-def shared_anchors(rows: pd.DataFrame) -> pd.DataFrame:
-    """Per bucket, which of its anchors in this range several documents hold."""
+def shared_keys(rows: pd.DataFrame) -> pd.DataFrame:
+    """Per bucket, which of its keys in this range several documents hold, and which of them are hot."""
     lists = [_unpack(x) for x in (*rows["single"], *rows["multiple"])]
     sizes = np.array([len(x) for x in lists], np.int64)
     flat = np.concatenate(lists)
-    several = np.arange(len(flat)) >= sizes[: len(rows)].sum()
+    n_single = sizes[: len(rows)].sum()
+    several = np.arange(len(flat)) >= n_single
+    counts = np.concatenate([np.ones(n_single, np.int64), np.frombuffer(b"".join(rows["counts"]), "<u2")])
     distinct, where, times = np.unique(flat, return_inverse=True, return_counts=True)
     shared = times > 1
     shared[where[several]] = True
-    keep = shared[where]
-    ends = np.cumsum(np.append(0, keep))[np.append(0, np.cumsum(sizes))].tolist()
-    data = _pack(flat[keep])
-    parts = [data[6 * a : 6 * b] for a, b in zip(ends, ends[1:])]
-    out = [(b, x + y) for b, x, y in zip(rows["bucket"], parts, parts[len(rows) :])]
-    return pd.DataFrame([x for x in out if x[1]], columns=["bucket", "anchors"])
+    hot = np.bincount(where, counts, len(distinct)) > HOT_SEGMENTS
+    out = {}
+    for name, wanted in (("anchors", shared & ~hot), ("hot", shared & hot)):
+        keep = wanted[where]
+        ends = np.cumsum(np.append(0, keep))[np.append(0, np.cumsum(sizes))].tolist()
+        data = _pack(flat[keep])
+        parts = [data[6 * a : 6 * b] for a, b in zip(ends, ends[1:])]
+        out[name] = [x + y for x, y in zip(parts, parts[len(rows) :])]
+    return pd.DataFrame([(b, x or None, y or None) for b, x, y in zip(rows["bucket"], out["anchors"], out["hot"]) if x or y], columns=["bucket", "anchors", "hot"])
 
 
 class Segments:
-    """A bucket's segments around shared anchors; equal ones are one entry with their smallest doc_id."""
+    """A bucket's segments around shared anchors, and its shared windows around hot ones; equal ones are one entry.
+
+    keys and least tell each entry's anchor and bytes, and its smallest doc_id.
+    """
 
-    def __init__(self, ids: list, data: list[bytes], shared: np.ndarray):
-        shared = np.sort(shared)
+    def __init__(self, ids: list, data: list[bytes], shared: np.ndarray, hot: np.ndarray, windows: np.ndarray):
+        shared, hot, windows = np.sort(shared), np.sort(hot), np.sort(windows)
         self.doc, self.first, self.count, self.entry = [], [], [], []
-        entries: dict[tuple[int, bytes], int] = {}
         self.least: list[int] = []
-        self.n_windows: list[int] = []
+        self.entries: dict[tuple[int, bytes], int] = {}
+        if not len(shared) and not len(windows):
+            data = []
         for d, (i, x) in enumerate(zip(ids, data)):
-            if i is None or len(x) < LENGTH or not len(shared):
+            if i is None or len(x) < LENGTH:
                 continue
             first, count, anchor = window_runs(x)
-            at = np.searchsorted(shared, anchor)
-            at[at == len(shared)] = 0
-            keep = np.flatnonzero(shared[at] == anchor)
+            keep = np.flatnonzero(_among(anchor, shared))
             for p, n, a in zip(first[keep].tolist(), count[keep].tolist(), anchor[keep].tolist()):
-                key = (a, x[p : p + n + LENGTH - 1])
-                e = entries.setdefault(key, len(entries))
-                if e == len(self.least):
-                    self.least.append(i)
-                    self.n_windows.append(n)
-                elif i < self.least[e]:
-                    self.least[e] = i
-                self.doc.append(d)
-                self.first.append(p)
-                self.count.append(n)
-                self.entry.append(e)
-        self.keys = list(entries)
-
-    def posts(self, bucket: int, n_ranges: int) -> pd.DataFrame:
+                self._add(d, i, p, n, (a, x[p : p + n + LENGTH - 1]))
+            some = _among(anchor, hot)
+            if some.any():
+                at = _inside(first[some], count[some])
+                own = window_hashes(x)[at]
+                kept = _among(own, windows)
+                for p, w in zip(at[kept].tolist(), own[kept].tolist()):
+                    self._add(d, i, p, 1, (w, x[p : p + LENGTH]))
+        self.keys = list(self.entries)
+
+    def _add(self, d: int, i: int, p: int, n: int, key: tuple[int, bytes]) -> None:
+        e = self.entries.setdefault(key, len(self.entries))
+        if e == len(self.least):
+            self.least.append(i)
+        elif i < self.least[e]:
+            self.least[e] = i
+        self.doc.append(d)
+        self.first.append(p)
+        self.count.append(n)
+        self.entry.append(e)
+
+    def posts(self, bucket: int, n_ranges: int) -> list[tuple]:
         anchors = np.array([a for a, _ in self.keys], np.uint64)
         order = np.argsort(_ranges(anchors, n_ranges), kind="stable")
         r = _ranges(anchors[order], n_ranges)
@@ -216,7 +304,7 @@ class Segments:
             parts = [self.keys[e][1] for e in some.tolist()]
             lengths = np.array([len(x) for x in parts], np.uint32)
             rows.append((int(r[a]), bucket, _pack(anchors[some]), some.astype(np.uint32).tobytes(), least[some].tobytes(), lengths.tobytes(), zstandard.compress(b"".join(parts), 3)))
-        return pd.DataFrame(rows, columns=["r", "bucket", "anchors", "entries", "least", "lengths", "data"])
+        return rows
 
     def cover(self, ids: list, marks: dict[int, int]) -> list[list[tuple[int, int]]]:
         """Per document, the removed runs of bytes. marks: entry -> bits of windows that an earlier document holds."""
@@ -309,21 +397,32 @@ def _equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.nda
     return True
 
 
-def _digests(data: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def _digests(data: np.ndarray, begin: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
     """The hash of each of the strings that make up data, about 100,000 bytes at a time."""
     done, out, k = begin + lengths, [], 0
     while k < len(begin):
         e = max(k + 1, int(np.searchsorted(done, begin[k] + 100_000)))
-        out.append(PrefixHashes(data[begin[k] : done[e - 1]]).at(begin[k:e] - begin[k], lengths[k:e]))
+        out.append(PrefixHashes(data[begin[k] : done[e - 1]], base).at(begin[k:e] - begin[k], lengths[k:e]))
         k = e
     return np.concatenate(out)
 
 
-_COLLISION = "two different strings have one hash; change the base and run again"
+class HashCollision(ArithmeticError):
+    """Two different strings have one hash."""
 
 
 def resolve(rows: pd.DataFrame) -> pd.DataFrame:
-    """Per bucket and entry, the bits of the windows that also start in a document before the entry's first.
+    """Per bucket and entry, the bits of the windows that also start in a document before the entry's first."""
+    for base in _BASES:
+        try:
+            return _resolve(rows, base)
+        except HashCollision:
+            continue
+    raise HashCollision(f"different strings share a hash with each of {len(_BASES)} bases")
+
+
+def _resolve(rows: pd.DataFrame, base: int) -> pd.DataFrame:
+    """resolve with hashes of one base.
 
     Equal segments of different buckets are found by their hashes first and confirmed on the bytes: all but the earliest
     are covered whole, and one of them stands for all in the suffix sort. Anchors with one distinct segment need no sort.
@@ -339,7 +438,7 @@ def resolve(rows: pd.DataFrame) -> pd.DataFrame:
     if not len(lengths):
         return pd.DataFrame({"bucket": [], "entries": [], "bits": []})
 
-    digest = _digests(data, begin, lengths)
+    digest = _digests(data, begin, lengths, base)
     order = np.lexsort((least, digest, lengths, anchors))
     new = np.ones(len(order), bool)
     for key in (anchors, lengths, digest):
@@ -350,7 +449,7 @@ def resolve(rows: pd.DataFrame) -> pd.DataFrame:
             new[1:] |= ranked[1:] != ranked[:-1]
     same = np.flatnonzero(~new)
     if not _equal_bytes(data, begin[order[same - 1]], begin[order[same]], lengths[order[same]]):
-        raise ArithmeticError(_COLLISION)
+        raise HashCollision
     stands = order[new]  # of each distinct segment, the one with the smallest doc_id
     kind = np.empty(len(order), np.int64)
     kind[order] = np.cumsum(new) - 1
@@ -368,7 +467,7 @@ def resolve(rows: pd.DataFrame) -> pd.DataFrame:
         some = stands[chosen[a:b]]
         size = lengths[some]
         offset = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        bits[chosen[a:b]] = _earlier_windows(data[np.repeat(begin[some], size) + offset], size, anchors[some], least[some])
+        bits[chosen[a:b]] = _earlier_windows(data[np.repeat(begin[some], size) + offset], size, anchors[some], least[some], base)
         a = b
 
     windows = (lengths - LENGTH + 1).astype(np.uint64)
@@ -388,7 +487,7 @@ def _word(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return word
 
 
-def _earlier_windows(data: np.ndarray, lengths: np.ndarray, anchors: np.ndarray, least: np.ndarray) -> np.ndarray:
+def _earlier_windows(data: np.ndarray, lengths: np.ndarray, anchors: np.ndarray, least: np.ndarray, base: int) -> np.ndarray:
     """Per segment, the bits of its windows that a segment with a smaller doc_id also holds.
 
     Only suffixes that agree in anchor and in the first and last eight bytes of their windows, from more than one
@@ -415,7 +514,7 @@ def _earlier_windows(data: np.ndarray, lengths: np.ndarray, anchors: np.ndarray,
     if not len(order):
         return bits
     starts = np.flatnonzero(new)
-    h = PrefixHashes(data)
+    h = PrefixHashes(data, base)
     ranked = sort_suffixes(h, at[order], starts)
     window = np.empty(len(data), np.int64)  # windows by place; places are distinct
     window[at] = np.arange(len(at))
@@ -425,7 +524,7 @@ def _earlier_windows(data: np.ndarray, lengths: np.ndarray, anchors: np.ndarray,
     equal = _extension(h, ranked[pairs - 1], ranked[pairs]) == LENGTH
     some = ranked[pairs[equal]]
     if not _equal_bytes(data, ranked[pairs[equal] - 1], some, np.full(len(some), LENGTH)):
-        raise ArithmeticError(_COLLISION)
+        raise HashCollision
     fresh = new.copy()
     fresh[pairs] = ~equal
     heads = np.flatnonzero(fresh)
@@ -436,66 +535,95 @@ def _earlier_windows(data: np.ndarray, lengths: np.ndarray, anchors: np.ndarray,
     return bits
 
 
-def _sorted_ids(rows: pd.DataFrame) -> tuple[list, list[bytes], list[int]]:
+def _sorted_ids(rows: pa.Table) -> tuple[list, list[bytes], list[int]]:
     """doc_ids and texts of a bucket in an order that does not depend on how rows arrive, and that order."""
-    ids = [None if x is None or x != x else int(x) for x in rows["doc_id"].tolist()]
-    data = rows["text"].tolist()
+    ids, data = rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()
     order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0, data[k]))
     return [ids[k] for k in order], [data[k].encode() for k in order], order
 
 
+def _rows_of(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema) if rows else schema.empty_table()
+
+
+def _keys_of(told: pa.Table, name: str) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *(_unpack(x) for x in told.column(name).to_pylist() if x)])
+
+
+_POSTS = "r long, bucket long, single binary, multiple binary, counts binary"
+_SEGMENTS = "r long, bucket long, anchors binary, entries binary, least binary, lengths binary, data binary"
+_POSTS_ARROW, _SEGMENTS_ARROW = (pa.schema([(x.split()[0], pa.int64() if x.endswith("long") else pa.binary()) for x in s.split(", ")]) for s in (_POSTS, _SEGMENTS))
+
+
 def repeated_spans(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, spans (array of begin, end in bytes: the runs to remove) and kept (the other bytes) of every row.
 
     as_text returns kept as a string; a character of which only some bytes go is dropped whole.
-    keep names further columns of docs to carry along, as JSON in the column "row".
+    keep names further columns of docs to carry along, in the struct "row".
     """
     spark = docs.sparkSession
-    kept = [F.to_json(F.struct(*(docs[c].alias(c) for c in keep))).alias("row")] if keep else []
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *kept)
-    carries = bool(kept)
+    carried = [whole_row(docs, keep)] if keep else []
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *carried)
+    carries = bool(carried)
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / bucket_bytes))
     n_ranges = max(1, n // 2)
     parts = max(1, min(n, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))  # buckets are dealt more evenly
     bucket = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(n))
     dealt = own.withColumn("bucket", bucket).repartition(parts, "bucket")
-
-    def post_group(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, data, order = _sorted_ids(rows)
-        return post_anchors(int(rows["bucket"].iloc[0]), ids, data, n_ranges)
-
-    def cut(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        columns = ["r", "bucket", "anchors", "entries", "least", "lengths", "data"]
-        if not len(rows) or not len(told):
-            return pd.DataFrame([], columns=columns)
-        ids, data, order = _sorted_ids(rows)
-        shared = np.concatenate([_unpack(x) for x in told["anchors"]])
-        return Segments(ids, data, shared).posts(int(rows["bucket"].iloc[0]), n_ranges)
-
-    def finish(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+    bare = dealt.select("doc_id", "text", "bucket")
+
+    def post_group(rows: pa.Table) -> pa.Table:
+        ids, data, _ = _sorted_ids(rows)
+        return _rows_of(post_anchors(rows.column("bucket")[0].as_py(), ids, data, n_ranges), _POSTS_ARROW)
+
+    def post_hot(rows: pa.Table, told: pa.Table) -> pa.Table:
+        if not rows.num_rows or not told.num_rows:
+            return _POSTS_ARROW.empty_table()
+        ids, data, _ = _sorted_ids(rows)
+        return _rows_of(post_windows(rows.column("bucket")[0].as_py(), ids, data, np.sort(_keys_of(told, "hot")), n_ranges), _POSTS_ARROW)
+
+    def cut(rows: pa.Table, told: pa.Table) -> pa.Table:
+        if not rows.num_rows or not told.num_rows:
+            return _SEGMENTS_ARROW.empty_table()
+        ids, data, _ = _sorted_ids(rows)
+        found = Segments(ids, data, *(_keys_of(told, x) for x in ("anchors", "hot", "windows")))
+        return _rows_of(found.posts(rows.column("bucket")[0].as_py(), n_ranges), _SEGMENTS_ARROW)
+
+    def finish(rows: pa.Table, told: pa.Table) -> pa.Table:
         ids, data, order = _sorted_ids(rows)
         spans: list = [[] for _ in ids]
-        if len(told):
-            shared = [_unpack(x) for x in told["anchors"].dropna()]
+        if told.num_rows:
             marks: dict[int, int] = {}
-            for e, b in zip(told["entries"].dropna(), told["bits"].dropna()):
-                marks.update(zip(np.frombuffer(e, np.uint32).tolist(), np.frombuffer(b, np.uint64).tolist()))
-            if shared:
-                spans = Segments(ids, data, np.concatenate(shared)).cover(ids, marks)
+            for e, b in zip(told.column("entries").to_pylist(), told.column("bits").to_pylist()):
+                if e:
+                    marks.update(zip(np.frombuffer(e, np.uint32).tolist(), np.frombuffer(b, np.uint64).tolist()))
+            spans = Segments(ids, data, *(_keys_of(told, x) for x in ("anchors", "hot", "windows"))).cover(ids, marks)
         flat = [[x for span in s for x in span] for s in spans]
         kept = [remove_spans(x, s) for x, s in zip(data, flat)]
-        out = {"doc_id": pd.array(ids, "Int64"), "n_bytes": [len(x) for x in data], "spans": flat, "kept": [x.decode(errors="ignore") for x in kept] if as_text else kept}
-        return pd.DataFrame(out | ({"row": rows["row"].to_numpy()[order]} if carries else {}))
-
-    posts = dealt.groupBy("bucket").applyInPandas(post_group, "r long, bucket long, single binary, multiple binary")
-    shared = posts.groupBy("r").applyInPandas(shared_anchors, "bucket long, anchors binary")
-    segments = dealt.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInPandas(cut, "r long, bucket long, anchors binary, entries binary, least binary, lengths binary, data binary")
+        out = {
+            "doc_id": pa.array(ids, pa.int64()),
+            "n_bytes": pa.array([len(x) for x in data], pa.int64()),
+            "spans": pa.array(flat, pa.list_(pa.int64())),
+            "kept": pa.array([x.decode(errors="ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary()),
+        }
+        return pa.table(out | ({"row": rows.column("row").combine_chunks().take(pa.array(order, pa.int64()))} if carries else {}))
+
+    posts = bare.groupBy("bucket").applyInArrow(post_group, _POSTS)
+    shared = as_table(posts.groupBy("r").applyInPandas(shared_keys, "bucket long, anchors binary, hot binary"), "shared-anchors")
+    none = F.lit(None).cast("binary")
+    hot = shared.where("hot is not null").select("bucket", "hot")
+    known = shared.withColumn("windows", none)
+    if not hot.isEmpty():
+        again = bare.groupBy("bucket").cogroup(hot.groupBy("bucket")).applyInArrow(post_hot, _POSTS)
+        windows = as_table(again.groupBy("r").applyInPandas(shared_keys, "bucket long, anchors binary, hot binary"), "shared-windows")
+        either = F.concat(F.coalesce("anchors", F.lit(b"")), F.coalesce("hot", F.lit(b"")))  # a window's hash is its last key
+        known = known.unionByName(windows.select("bucket", none.alias("anchors"), none.alias("hot"), either.alias("windows")))
+    segments = bare.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(cut, _SEGMENTS)
     resolved = segments.groupBy("r").applyInPandas(resolve, "bucket long, entries binary, bits binary")
-    told = shared.select("bucket", "anchors", F.lit(None).cast("binary").alias("entries"), F.lit(None).cast("binary").alias("bits")).unionByName(
-        resolved.select("bucket", F.lit(None).cast("binary").alias("anchors"), "entries", "bits")
-    )
-    return dealt.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(finish, f"doc_id long, n_bytes long, spans array<long>, kept {'string' if as_text else 'binary'}" + (", row string" if carries else ""))
+    told = known.unionByName(resolved, allowMissingColumns=True)
+    columns = with_fields(f"doc_id long, n_bytes long, spans array<long>, kept {'string' if as_text else 'binary'}", own, ["row"] if carried else [])
+    return dealt.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(finish, columns)
 
 
 def remove_spans(data: bytes, spans: list[int]) -> bytes:
@@ -520,11 +648,7 @@ def cut_documents(docs: DataFrame) -> DataFrame:
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     cut = repeated_spans(docs, keep=others or None, as_text=True).withColumnRenamed("kept", "text")
-    if not others:
-        return cut.select(*docs.columns)
-    fields = docs.select(*others).schema
-    whole = cut.withColumn("row", F.from_json("row", fields))
-    columns = {c: F.col(f"row.`{c}`") for c in others} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    columns = {c: F.col("row")[c] for c in others} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
     if "n_chars" in columns:
-        columns["n_chars"] = F.length("text").cast(fields["n_chars"].dataType)
-    return whole.select(*(columns[c].alias(c) for c in docs.columns))
+        columns["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return cut.select(*(columns[c].alias(c) for c in docs.columns))

@@ -24,7 +24,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_table
+from .common import as_table, whole_row, with_fields
 from .trees import bounded_sample, fit_trees, probability
 
 MAX_TRAIN = 20_000
@@ -118,23 +118,22 @@ def learn_lexicon(train: DataFrame) -> dict[str, float]:
 
 def with_features(docs: DataFrame, lexicon: dict[str, float], keep: list[str]) -> DataFrame:
     """The columns of keep and the features of text."""
-    types = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(lexicon)
         for batch in batches:
             rows = [scanner.features(t) for t in batch.column("text").to_pylist()]
             values = [pa.array(c, pa.float64()) for c in zip(*rows)] if rows else [pa.array([], pa.float64())] * len(FEATURES)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + values, keep + FEATURES)
+            yield pa.RecordBatch.from_arrays(values + [batch.column(c) for c in keep], FEATURES + keep)
 
-    schema = ", ".join([f"{c} {types[c]}" for c in keep] + [f"{x} double" for x in FEATURES])
+    schema = with_fields(", ".join(f"{x} double" for x in FEATURES), docs, keep)
     return docs.select("text", *[c for c in keep if c != "text"]).mapInArrow(run, schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, keep_row: bool = False) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs; keep_row adds the whole row as the struct "row"."""
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *([F.struct(*(docs[c] for c in docs.columns)).alias("row")] if keep_row else []))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *([whole_row(docs)] if keep_row else []))
     kept = ["row"] if keep_row else []
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     teach = bounded_sample(known.where(remainder != 0), "doc_id", max_train)

@@ -14,24 +14,30 @@ from fieldsift.llm.common import as_table, read
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the toxicity score doesn't reject, as they are: every row is scored, whatever its doc_id or text."""
     scored = toxicity.score_documents(docs, read(spark, sf_dir, "labels"), keep_row=True)
     return scored.where("predicted = 0").select("row.*")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that pass the base rules and their group's cutoffs, as they are; texts of fewer than 50 words go."""
     return quality.keep_documents(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows whose doc_id is the smallest of its near-duplicate group; rows without words or doc_id all stay."""
     found = minhash.near_duplicates(docs, words=5, percent=80)
-    return docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    gone = found.where("not kept").select(found["doc_id"].alias("gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, without the byte runs that a document with a smaller doc_id also holds; n_chars is counted anew."""
     return suffix_dedup.cut_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows' tokens in sequences of 1024; an empty text is its end id alone."""
     return packing.pack(docs)
 
 
@@ -47,6 +53,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of documents; an empty table passes through every stage and gives none."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = as_table(stage(spark, docs, sf_dir), f"pipeline-{name}")

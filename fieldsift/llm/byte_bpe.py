@@ -5,7 +5,8 @@ rank as its score, and normalisation is the identity: sentencepiece then merges
 one by one; decoding maps ids back to bytes.
 
 Edge cases: a null or empty text has no ids and decodes to no bytes; very long pre-tokens are encoded whole; repeated
-rows give repeated result rows; a null doc_id is kept as null; further columns are ignored.
+rows give repeated result rows; a null doc_id is kept as null; further columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -17,13 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 
 from .chunks import ChunkCache
-from .common import texts, tokenizer_path
-
-#: Fixed value: the public pre-token pattern of this vocabulary.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+from .common import blocks, texts, tokenizer_path
 
 
 def byte_characters() -> list[str]:
@@ -101,10 +100,9 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
-        for batch in batches:
-            bpe.cache.trim()
-            ids = [bpe.encode(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        for block in blocks(batches, "text", 4_000_000, 2048):
+            ids = [bpe.encode(t) for t in block.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([block.column("doc_id").combine_chunks(), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return texts(docs).mapInArrow(run, "doc_id long, ids binary")
 
@@ -115,10 +113,10 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
-        for batch in batches:
-            ids = batch.column("ids").to_pylist()
-            out = pa.array([bpe.decode(x or b"") for x in ids], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), out], ["doc_id", "ids", "decoded"])
+        for block in blocks(batches, "ids", 4_000_000, 2048):
+            held = block.combine_chunks()
+            out = pa.array([bpe.decode(x or b"") for x in held.column("ids").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(held.column(c).combine_chunks() for c in ("doc_id", "ids")), out], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
 

@@ -19,20 +19,23 @@ def space_chunks(text: str) -> list[str]:
 
 
 class ChunkCache(dict):
-    """chunk -> encode(" " + chunk), bounded: trim() empties it when it holds more than max_chunks."""
+    """chunk -> encode(" " + chunk), bounded: it empties itself when it holds more than about max_bytes."""
 
-    def __init__(self, encode: Callable[[str], bytes], max_chunks: int = 700_000):
+    def __init__(self, encode: Callable[[str], bytes], max_bytes: int = 64_000_000):
         super().__init__()
-        self.encode, self.max_chunks = encode, max_chunks
+        self.encode, self.max_bytes, self.held = encode, max_bytes, 0
 
     def __missing__(self, chunk: str) -> bytes:
-        found = self[chunk] = self.encode(" " + chunk)
+        found = self.encode(" " + chunk)
+        size = len(chunk) + len(found)
+        if size < 4096:  # a longer chunk hardly comes again
+            self.held += size + 200  # two objects and their place in the table
+            if self.held > self.max_bytes:
+                self.clear()
+                self.held = size + 200
+            self[chunk] = found
         return found
 
-    def trim(self) -> None:
-        if len(self) > self.max_chunks:
-            self.clear()
-
     def ids(self, text: str) -> bytes:
         """The ids of text as little-endian unsigned 32-bit integers."""
         if not text:

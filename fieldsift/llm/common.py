@@ -2,28 +2,21 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Default place of the public vocabulary files; every operator takes the path as a parameter.
-TOKENIZER_DIR = os.environ.get("FIELDSIFT_TOKENIZERS", "/opt/tokenizers")
-
 
 def tokenizer_path(name: str) -> str:
-    try:
-        import public_tokenizers
-
-        return public_tokenizers.path(name)
-    except ImportError:
-        return os.path.join(TOKENIZER_DIR, name)
+    """The public vocabulary file of that name; every operator takes another path as a parameter."""
+    return public_tokenizers.path(name)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

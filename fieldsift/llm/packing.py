@@ -151,7 +151,6 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard_b
         end = np.array([end_id], "<u4").tobytes()
         names = [x.split()[0] for x in PIECES.split(", ")]
         for shard, block in zip(block_ids(), blocks(batches, "text", shard_bytes, shard_rows)):
-            encode.trim()
             raw = [encode.ids(t) + end for t in block.column("text").to_pylist()]
             ids = [np.frombuffer(x, "<u4") for x in raw]
             doc, start, length, sequence, offset = (np.array(c, np.int64) for c in zip(*pack_shard(ids, window)))

@@ -15,6 +15,7 @@ result rows; a null doc_id is kept; further columns are ignored; an empty table
 from __future__ import annotations
 
 import functools
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -71,6 +72,9 @@ def pre_tokens(text: str) -> list[str]:
     return out
 
 
+#: A range of pre-tokens for about so many bytes of text, so that a range's lists keep their size as the input grows.
+RANGE_BYTES = 64_000_000
+
 LISTS = "r long, block_id long, pieces binary, counts binary, ordinals binary, frequencies binary"
 SUMS = "block_id long, listed boolean, ordinals binary, weights binary"
 
@@ -161,7 +165,8 @@ def _sum_block(rows: pd.DataFrame) -> pd.DataFrame:
 
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of every row of docs."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = texts(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / RANGE_BYTES))
     counted = count_pieces(frequencies(docs, n), path or tokenizer_path("piece_bpe_32k.model"))
     summed = counted.groupBy("block_id").applyInPandas(_sum_block, "doc_id long, n_bytes long, n_tokens long")
     return summed.withColumn("over_limit", F.col("n_tokens") > limit)

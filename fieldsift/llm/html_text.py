@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -178,18 +179,19 @@ def url_parts(url) -> tuple:
     return host, F.regexp_extract(u, pattern, 2)
 
 
-def packed(lines: list[tuple[str, bool]]) -> str:
-    """Lines as one text: lines hold no line end, and a sign before each tells whether it is inside an article."""
-    return "\n".join(("+" if inside else "-") + x for x, inside in lines)
+def packed(lines: list[tuple[str, bool]]) -> bytes:
+    """Lines as one compressed text: lines hold no line end, and a sign before each tells whether it is inside an article."""
+    return zstandard.compress("\n".join(("+" if inside else "-") + x for x, inside in lines).encode("utf-8", "replace"), 3)
 
 
-def unpacked(text: str) -> list[tuple[str, bool]]:
+def unpacked(data: bytes) -> list[tuple[str, bool]]:
+    text = zstandard.decompress(data).decode()
     return [(x[1:], x[0] == "+") for x in text.split("\n")] if text else []
 
 
 def _table(fields: str) -> tuple[str, pa.Schema]:
     """The same columns for Spark and for Arrow."""
-    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
     return fields, pa.schema([(name, kinds[kind]) for name, kind in map(str.split, fields.split(", "))])
 
 
@@ -197,26 +199,26 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], names=schema.names)
 
 
-_LINES, _LINES_ARROW = _table("page_id long, url string, host string, path string, lines string")
+_LINES, _LINES_ARROW = _table("page_id long, url string, host string, path string, lines binary")
 _RESULT, _RESULT_ARROW = _table("page_id long, url string, text string, n_chars long")
 #: Settled pages; pages of a range's first or last group with the best that the range knows (part set); and these groups
 #: (lines set) with their outer paths and their neighbour inside the range.
 _READ, _READ_ARROW = _table(
-    f"{_RESULT}, part int, last boolean, path string, agree int, host string, lines string, first_path string, last_path string, inner_path string, inner_lines string"
+    f"{_RESULT}, part int, last boolean, path string, agree int, host string, lines binary, first_path string, last_path string, inner_path string, inner_lines binary"
 )
-_BEYOND, _BEYOND_ARROW = _table("part int, last boolean, lines string, prev_path string, prev_lines string, next_path string, next_lines string")
+_BEYOND, _BEYOND_ARROW = _table("part int, last boolean, lines binary, prev_path string, prev_lines binary, next_path string, next_lines binary")
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lines = pa.array([packed(page_lines(x)) for x in batch.column("html").to_pylist()], pa.string())
+        lines = pa.array([packed(page_lines(x)) for x in batch.column("html").to_pylist()], pa.binary())
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _LINES_ARROW.names[:-1]), lines], names=_LINES_ARROW.names)
 
 
 class _Group:
     """Neighbouring pages of one host with the same lines."""
 
-    def __init__(self, host: str, lines: str, page: tuple):
+    def __init__(self, host: str, lines: bytes, page: tuple):
         self.host, self.lines, self.pages = host, lines, [page]  # pages: page_id, url, path
 
     def settle(self, before: tuple | None, after: tuple | None) -> Iterator[tuple]:

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_table, whole_row, with_fields
+from .common import whole_row, with_fields
 
 LENGTH = 50
 ANCHOR = 16
@@ -568,7 +568,8 @@ def repeated_spans(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, keep: list
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / bucket_bytes))
     n_ranges = max(1, n // 2)
-    parts = max(1, min(n, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))  # buckets are dealt more evenly
+    # Buckets are dealt evenly, and their partitions stay bounded as the input grows.
+    parts = max(1, min(n, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), n // 4)))
     bucket = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(n))
     dealt = own.withColumn("bucket", bucket).repartition(parts, "bucket")
     bare = dealt.select("doc_id", "text", "bucket")
@@ -578,7 +579,7 @@ def repeated_spans(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, keep: list
         return _rows_of(post_anchors(rows.column("bucket")[0].as_py(), ids, data, n_ranges), _POSTS_ARROW)
 
     def post_hot(rows: pa.Table, told: pa.Table) -> pa.Table:
-        if not rows.num_rows or not told.num_rows:
+        if not rows.num_rows or not len(_keys_of(told, "hot")):
             return _POSTS_ARROW.empty_table()
         ids, data, _ = _sorted_ids(rows)
         return _rows_of(post_windows(rows.column("bucket")[0].as_py(), ids, data, np.sort(_keys_of(told, "hot")), n_ranges), _POSTS_ARROW)
@@ -609,18 +610,14 @@ def repeated_spans(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, keep: list
         }
         return pa.table(out | ({"row": rows.column("row").combine_chunks().take(pa.array(order, pa.int64()))} if carries else {}))
 
-    posts = bare.groupBy("bucket").applyInArrow(post_group, _POSTS)
-    shared = as_table(posts.groupBy("r").applyInPandas(shared_keys, "bucket long, anchors binary, hot binary"), "shared-anchors")
+    shared_of = lambda posts: posts.repartition(parts, "r").groupBy("r").applyInPandas(shared_keys, "bucket long, anchors binary, hot binary")
+    shared = shared_of(bare.groupBy("bucket").applyInArrow(post_group, _POSTS))
+    windows = shared_of(bare.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(post_hot, _POSTS))
     none = F.lit(None).cast("binary")
-    hot = shared.where("hot is not null").select("bucket", "hot")
-    known = shared.withColumn("windows", none)
-    if not hot.isEmpty():
-        again = bare.groupBy("bucket").cogroup(hot.groupBy("bucket")).applyInArrow(post_hot, _POSTS)
-        windows = as_table(again.groupBy("r").applyInPandas(shared_keys, "bucket long, anchors binary, hot binary"), "shared-windows")
-        either = F.concat(F.coalesce("anchors", F.lit(b"")), F.coalesce("hot", F.lit(b"")))  # a window's hash is its last key
-        known = known.unionByName(windows.select("bucket", none.alias("anchors"), none.alias("hot"), either.alias("windows")))
+    either = F.concat(F.coalesce("anchors", F.lit(b"")), F.coalesce("hot", F.lit(b"")))  # a window's hash is its last key
+    known = shared.withColumn("windows", none).unionByName(windows.select("bucket", none.alias("anchors"), none.alias("hot"), either.alias("windows")))
     segments = bare.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(cut, _SEGMENTS)
-    resolved = segments.groupBy("r").applyInPandas(resolve, "bucket long, entries binary, bits binary")
+    resolved = segments.repartition(parts, "r").groupBy("r").applyInPandas(resolve, "bucket long, entries binary, bits binary")
     told = known.unionByName(resolved, allowMissingColumns=True)
     columns = with_fields(f"doc_id long, n_bytes long, spans array<long>, kept {'string' if as_text else 'binary'}", own, ["row"] if carried else [])
     return dealt.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(finish, columns)

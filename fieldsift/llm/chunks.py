@@ -21,7 +21,7 @@ def space_chunks(text: str) -> list[str]:
 class ChunkCache(dict):
     """chunk -> encode(" " + chunk), bounded: it empties itself when it holds more than about max_bytes."""
 
-    def __init__(self, encode: Callable[[str], bytes], max_bytes: int = 64_000_000):
+    def __init__(self, encode: Callable[[str], bytes], max_bytes: int = 120_000_000):
         super().__init__()
         self.encode, self.max_bytes, self.held = encode, max_bytes, 0
 

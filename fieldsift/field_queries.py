@@ -92,16 +92,13 @@ def geometry_conflicts(spark, sf_dir):
     return rows.groupBy(F.col("l_orderkey").alias("feature")).agg(F.count_distinct("l_suppkey").alias("geometries")).where("geometries > 1")
 
 
-@query("""WITH a AS (SELECT l_orderkey AS unit, CAST(sum(hash_) AS BIGINT) AS digest, count(*) AS n FROM (SELECT l_orderkey, l_partkey*31 + l_linenumber AS hash_ FROM lineitem) GROUP BY ALL), b AS (SELECT l_orderkey AS unit, CAST(sum(l_partkey*31 + l_linenumber) AS BIGINT) AS digest, count(*) AS n FROM lineitem WHERE l_linenumber < 7 GROUP BY ALL)
-SELECT coalesce(a.unit, b.unit) AS unit, coalesce(a.n, 0) AS whole_n, coalesce(b.n, 0) AS other_n FROM a FULL JOIN b ON a.unit = b.unit WHERE a.digest IS DISTINCT FROM b.digest OR a.n IS DISTINCT FROM b.n""")
+@query("""WITH p AS (SELECT l_orderkey AS unit, CASE WHEN l_orderkey % 40 = 1 THEN l_partkey + 1 ELSE l_partkey END AS part, l_linenumber AS nth FROM lineitem WHERE l_linenumber < 7 AND l_orderkey % 100 <> 33),
+a AS (SELECT l_orderkey AS unit, list_sort(list(concat(CAST(l_partkey AS VARCHAR), ':', CAST(l_linenumber AS VARCHAR)))) AS v FROM lineitem GROUP BY ALL), b AS (SELECT unit, list_sort(list(concat(CAST(part AS VARCHAR), ':', CAST(nth AS VARCHAR)))) AS v FROM p GROUP BY ALL)
+SELECT coalesce(a.unit, b.unit) AS unit, CASE WHEN b.unit IS NULL THEN 'new' WHEN a.unit IS NULL THEN 'lost' ELSE 'changed' END AS state FROM a FULL JOIN b ON a.unit = b.unit WHERE a.v IS DISTINCT FROM b.v""")
 def segmentation_difference(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    def multiset(r, n):
-        return r.groupBy(F.col("l_orderkey").alias("unit")).agg(F.sum(F.col("l_partkey") * 31 + F.col("l_linenumber")).alias(f"{n}_digest"), F.count("*").alias(n))
-
-    both = multiset(rows, "whole_n").join(multiset(rows.where("l_linenumber < 7"), "other_n"), "unit", "full")
-    differs = ~F.col("whole_n_digest").eqNullSafe(F.col("other_n_digest")) | ~F.col("whole_n").eqNullSafe(F.col("other_n"))
-    return both.where(differs).select("unit", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("whole_n", "other_n")))
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("unit"), F.col("l_partkey").alias("part"), F.col("l_linenumber").alias("nth"))
+    before = rows.where("nth < 7 AND unit % 100 <> 33").withColumn("part", F.when(F.col("unit") % 40 == 1, F.col("part") + 1).otherwise(F.col("part")))
+    return rel.changed_groups(rows, before, ["unit"])
 
 
 @query("SELECT l_orderkey AS unit, count(*) AS n FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k FROM lineitem) GROUP BY l_orderkey HAVING bool_or(k <> l_linenumber)")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldsift.functions import geo
+from fieldsift.operators.components import components
+from fieldsift.sources.tables import as_table
 
 BOUNDS = ("west", "south", "east", "north")
 
@@ -54,19 +56,62 @@ def pad_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, m
     return a.join(b, ["x", "y"]).where(meets & first).select(left_key, right_key)
 
 
-def nearest(points: DataFrame, places: DataFrame, point_key: str, place_key: str, metres: float, bucket: float = 0.5) -> DataFrame:
-    """The nearest place within metres of each point (ties to the smaller place key): point_key, place_key, metres.
+def _within(points: DataFrame, places: DataFrame, point_key: str, metres: float) -> DataFrame:
+    """points and the places within metres of each: point_key, metres and places' columns. Cells are as wide as metres."""
+    size = metres / 110_000.0  # a little more than metres, as a degree of latitude has 111,195 m
+    high = F.radians(F.least(F.abs(F.col("lat")) + size, F.lit(89.0)))
+    wide = F.lit(size) / F.cos(high)
+    span = lambda c, reach: F.explode(F.sequence(geo.cell_index(F.col(c) - reach, size), geo.cell_index(F.col(c) + reach, size)))
+    asked = points.select(point_key, "lon", "lat").withColumn("bx", span("lon", wide)).withColumn("by", span("lat", F.lit(size)))
+    held = places.withColumnsRenamed({"lon": "p_lon", "lat": "p_lat"})
+    held = held.withColumns({"bx": geo.cell_index(F.col("p_lon"), size), "by": geo.cell_index(F.col("p_lat"), size)})
+    far = geo.haversine(F.col("lon"), F.col("lat"), F.col("p_lon"), F.col("p_lat"))
+    return asked.join(held, ["bx", "by"]).withColumn("metres", far).where(F.col("metres") <= metres)
+
+
+def nearest(points: DataFrame, places: DataFrame, point_key: str, place_key: str, metres: float, tie_order: tuple[str, ...] = (), tie: float = 0.0, per_search: float = 3.0) -> DataFrame:
+    """The nearest place within metres of each point: point_key, place_key, metres.
 
-    Places are dealt to their bucket and its eight neighbours; metres must not exceed a bucket's width.
+    Places no more than tie metres farther than the nearest are ties; the first by tie_order and key is taken. The search
+    widens: it starts with a radius that holds about per_search places where places lie, and only points without a hit
+    look in a wider one, so that pairs grow with the points and not with the places' density.
     """
-    step = F.explode(F.array(*(F.lit(k) for k in (-1, 0, 1))))
-    near = places.select(place_key, F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat")).withColumn("dx", step).withColumn("dy", step)
-    near = near.withColumns({"bx": geo.cell_index(F.col("p_lon"), bucket) + F.col("dx"), "by": geo.cell_index(F.col("p_lat"), bucket) + F.col("dy")})
-    own = points.select(point_key, "lon", "lat").withColumns({"bx": geo.cell_index(F.col("lon"), bucket), "by": geo.cell_index(F.col("lat"), bucket)})
-    far = geo.haversine(F.col("lon"), F.col("lat"), F.col("p_lon"), F.col("p_lat"))
-    pairs = own.join(near, ["bx", "by"]).withColumn("metres", far).where(F.col("metres") <= metres)
-    best = pairs.groupBy(point_key).agg(F.min(F.struct("metres", place_key)).alias("best"))  # combined on the map side
-    return best.select(point_key, F.col(f"best.{place_key}").alias(place_key), F.col("best.metres").alias("metres"))
+    held = places.select(place_key, *tie_order, "lon", "lat")
+    seen = held.groupBy(geo.cell_index(F.col("lon"), 0.05), geo.cell_index(F.col("lat"), 0.05)).agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.count("*").alias("cells")).first()
+    if not seen["n"]:
+        return points.select(point_key).withColumn(place_key, F.lit(None).cast(held.schema[place_key].dataType)).withColumn("metres", F.lit(None).cast("double")).limit(0)
+    radius = min(metres, 3000.0 * (per_search * seen["cells"] / seen["n"]) ** 0.5)
+    left, out = points.select(point_key, "lon", "lat"), None
+    while True:
+        pairs = _within(left, held, point_key, radius).select(point_key, "metres", *tie_order, place_key)
+        least = pairs.groupBy(point_key).agg(F.min("metres").alias("least"))  # combined on the map side
+        if radius < metres:
+            least = least.where(F.col("least") <= radius - tie)  # all ties lie inside
+        best = pairs.join(least, point_key).where(F.col("metres") <= F.col("least") + tie).groupBy(point_key).agg(F.min(F.struct(*tie_order, place_key, "metres")).alias("best"))
+        found = best.select(point_key, F.col(f"best.{place_key}").alias(place_key), F.col("best.metres").alias("metres"))
+        out = found if out is None else out.unionByName(found)
+        if radius >= metres:
+            return out
+        left = as_table(left.join(least, point_key, "left_anti"), "nearest-left")
+        radius = min(metres, radius * 2.5)
+
+
+def content_digest(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """keys and name: count, sum and exclusive or of two independent hashes of each group's rows, whatever their order.
+
+    The multiset decides: no list is collected, so a group may be of any size and is combined on the map side.
+    """
+    others = [c for c in rows.columns if c not in keys]
+    first, second = F.xxhash64(*others), F.xxhash64(F.lit(1), *reversed(others))
+    parts = F.struct(F.count("*").alias("n"), F.sum(first.cast("decimal(38,0)")).alias("sum"), F.bit_xor(second).alias("xor"), F.sum(second.cast("decimal(38,0)")).alias("sum2"))
+    return rows.groupBy(*keys).agg(parts.alias(name))
+
+
+def changed_groups(now: DataFrame, before: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and state (new, lost or changed) of the groups whose rows differ between two builds."""
+    both = content_digest(now, keys, "now").join(content_digest(before, keys, "before"), keys, "full")
+    state = F.when(F.col("before").isNull(), "new").when(F.col("now").isNull(), "lost").when(F.col("now") != F.col("before"), "changed")
+    return both.withColumn("state", state).where("state is not null").select(*keys, "state")
 
 
 def manifest(cells: DataFrame, rows: DataFrame) -> DataFrame:
@@ -95,34 +140,32 @@ def resolve_identity(rows: DataFrame, key: str, package: str, signature: str, or
     return joined.withColumn("identity", state).drop("_copies", "_kinds", "_first")
 
 
-def endpoint_edges(points: DataFrame, key: str, name: str, metres: float, size: float) -> DataFrame:
-    """Pairs (a > b) of equal name whose points lie within metres: bins of the given size and their neighbours."""
-    step = F.explode(F.array(*(F.lit(k) for k in (-1, 0, 1))))
-    own = points.select(F.col(key).alias("a"), F.col(name).alias("_n"), "lon", "lat").withColumns({"bx": geo.cell_index(F.col("lon"), size), "by": geo.cell_index(F.col("lat"), size)})
-    other = points.select(F.col(key).alias("b"), F.col(name).alias("_n"), F.col("lon").alias("o_lon"), F.col("lat").alias("o_lat")).withColumn("dx", step).withColumn("dy", step)
-    other = other.withColumns({"bx": geo.cell_index(F.col("o_lon"), size) + F.col("dx"), "by": geo.cell_index(F.col("o_lat"), size) + F.col("dy")})
-    far = geo.haversine(F.col("lon"), F.col("lat"), F.col("o_lon"), F.col("o_lat"))
-    return own.join(other, ["_n", "bx", "by"]).where((F.col("a") > F.col("b")) & (far <= metres)).select("a", "b")
+def endpoint_edges(points: DataFrame, key: str, name: str, metres: float) -> DataFrame:
+    """Edges (a > b) by which points of equal name hang together in steps of metres or less.
 
+    All points of a bin lie within metres of each other, so each is tied to the bin's smallest key alone. Between bins in
+    reach, points are compared, but one edge per pair of bins is kept: edges grow with points and bins, not with pairs.
+    """
+    size = metres / 111_320.0 / 1.5  # the diagonal of a bin is shorter than metres
+    reach = metres / 110_000.0
+    cosine = lambda low: F.cos(F.radians(F.least(F.greatest(F.abs(low), F.abs(low + size)), F.lit(89.0))))
+    row = lambda by: F.lit(size) / cosine(by * F.lit(size))  # noqa: E731  width of the bins of a row, in degrees
+    binned = points.select(F.col(key).alias("k"), F.col(name).alias("n"), "lon", "lat").withColumn("by", geo.cell_index(F.col("lat"), size))
+    binned = binned.withColumn("bx", F.floor(F.col("lon") / row(F.col("by"))).cast("long"))
+    firsts = binned.groupBy("n", "bx", "by").agg(F.min("k").alias("first"))
+    held = binned.join(firsts, ["n", "bx", "by"])
+    inside = held.where("k > first").select(F.col("k").alias("a"), F.col("first").alias("b"))
+    asked = held.withColumn("by", F.explode(F.sequence(geo.cell_index(F.col("lat") - reach, size), geo.cell_index(F.col("lat") + reach, size))))
+    aside = F.lit(reach) / cosine(F.col("lat"))
+    asked = asked.withColumn("bx", F.explode(F.sequence(F.floor((F.col("lon") - aside) / row(F.col("by"))).cast("long"), F.floor((F.col("lon") + aside) / row(F.col("by"))).cast("long"))))
+    other = held.select("n", "bx", "by", F.col("first").alias("b"), F.col("lon").alias("o_lon"), F.col("lat").alias("o_lat"))
+    far = geo.haversine(F.col("lon"), F.col("lat"), F.col("o_lon"), F.col("o_lat"))
+    between = asked.join(other, ["n", "bx", "by"]).where((F.col("first") > F.col("b")) & (far <= metres)).select(F.col("first").alias("a"), "b").distinct()
+    return inside.union(between)
 
-def connected_components(nodes: DataFrame, key: str, edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """key, component (smallest key reachable): minimum labels spread over edges with pointer jumping.
 
-    The labels are checkpointed every round (spark.checkpoint.dir), so lineage stays short; the loop ends when no label moved.
-    """
-    spark = nodes.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-components-"))
-    both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct().checkpoint()
-    labels = nodes.select(F.col(key).alias("a"), F.col(key).alias("component")).distinct()
-    for _ in range(rounds):
-        heard = both.join(labels.select(F.col("a").alias("b"), F.col("component").alias("heard")), "b").groupBy("a").agg(F.min("heard").alias("heard"))
-        moved = labels.join(heard, "a", "left").select("a", F.col("component").alias("old"), F.least("component", "heard").alias("component"))
-        jump = labels.select(F.col("a").alias("component"), F.col("component").alias("far"))
-        moved = moved.join(jump, "component", "left").select("a", "old", F.least("component", "far").alias("component")).checkpoint()
-        labels = moved.select("a", "component")
-        if moved.where("old <> component").isEmpty():
-            break
-    return labels.select(F.col("a").alias(key), "component")
+def connected_components(nodes: DataFrame, key: str, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """key, component (smallest key reachable) of every node; raises RuntimeError where max_rounds don't settle it."""
+    found = components(edges, max_rounds)
+    joined = nodes.select(key).distinct().join(found, F.col(key) == F.col("node"), "left")
+    return joined.select(key, F.coalesce("component", key).alias("component"))

@@ -130,10 +130,11 @@ def padded_box_join(spark, sf_dir, corridors, habitats):
     return pairs.groupBy("corridor_id").agg(F.count("*").alias("habitats"), F.min("habitat_id").alias("first_habitat"))
 
 
-@query(f"""SELECT corridor_id, place_id, floor(m*1000+0.5)/1000 AS metres FROM (SELECT corridor_id, place_id, {sql_haversine('c.lon', 'c.lat', 'p.lon', 'p.lat')} AS m FROM corridors c JOIN places p
- ON abs(c.lat - p.lat) < 0.3 AND abs(c.lon - p.lon) < 0.4) WHERE m <= 16093.44 QUALIFY row_number() OVER (PARTITION BY corridor_id ORDER BY m, place_id) = 1""", "corridors", "places")
+@query(f"""SELECT corridor_id, place_id, floor(m*1000+0.5)/1000 AS metres FROM (SELECT *, min(m) OVER (PARTITION BY corridor_id) AS least FROM (SELECT corridor_id, place_id, p.name, state, {sql_haversine('c.lon', 'c.lat', 'p.lon', 'p.lat')} AS m FROM corridors c JOIN places p
+ ON abs(c.lat - p.lat) < 0.3 AND abs(c.lon - p.lon) < 0.4) WHERE m <= 16093.44) WHERE m <= least + 1 QUALIFY row_number() OVER (PARTITION BY corridor_id ORDER BY name, state, place_id) = 1""", "corridors", "places")
 def nearest_place(spark, sf_dir, corridors, places):
-    return rel.nearest(corridors, places, "corridor_id", "place_id", 10 * geo.MILE).withColumn("metres", geo.half_up(F.col("metres")))
+    near = rel.nearest(corridors, places, "corridor_id", "place_id", 10 * geo.MILE, tie_order=("name", "state"), tie=1.0)
+    return near.withColumn("metres", geo.half_up(F.col("metres")))
 
 
 @query("""SELECT eligibility, reason, count(*) AS n FROM (SELECT CASE WHEN class_code < 7 THEN 'ELIGIBLE' WHEN class_code < 11 THEN 'SEPARATE' ELSE 'EXCLUDED' END AS eligibility,
@@ -197,7 +198,7 @@ def border_pairs(spark, sf_dir, habitats):
 @query(f"""+ e AS (SELECT a.corridor_id AS a, b.corridor_id AS b FROM corridors a JOIN corridors b ON a.name = b.name AND abs(a.lat-b.lat) < 0.09 AND abs(a.lon-b.lon) < 0.12 WHERE {sql_haversine('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 5000),
  r(n, c) AS (SELECT corridor_id, corridor_id FROM corridors UNION SELECT e.a, r.c FROM r JOIN e ON e.b = r.n), l AS (SELECT n AS corridor_id, min(c) AS component FROM r GROUP BY n) SELECT * FROM l""", "corridors")
 def name_components(spark, sf_dir, corridors):
-    edges = rel.endpoint_edges(corridors, "corridor_id", "name", 5000.0, 0.08)
+    edges = rel.endpoint_edges(corridors, "corridor_id", "name", 5000.0)
     return rel.connected_components(corridors, "corridor_id", edges)
 
 
@@ -313,11 +314,15 @@ def ranking_overlap(spark, sf_dir, corridors):
     return r.groupBy("class_code").agg(F.count_if(a & b).alias("overlap"), F.count_if(a & ~b).alias("promoted"), F.count_if(~a & b).alias("demoted"))
 
 
-@query(f"+ m AS ({sql_cells('corridors')}), c AS (SELECT x, y, CAST(sum(corridor_id) AS BIGINT) AS now, CAST(sum(corridor_id) FILTER (corridor_id % 50 <> 7) AS BIGINT) AS before FROM m GROUP BY ALL) SELECT x, y FROM c WHERE before IS NULL OR now <> before", "corridors")
+@query(f"""+ m AS ({sql_cells('corridors')}), n AS (SELECT x, y, corridor_id, name, length_m FROM m WHERE NOT (x = -615 AND y = 226)),
+p AS (SELECT x, y, corridor_id, CASE WHEN corridor_id % 41 = 3 THEN upper(name) ELSE name END AS name, length_m FROM m WHERE corridor_id % 50 <> 7),
+d AS ((SELECT * FROM n EXCEPT SELECT * FROM p) UNION ALL (SELECT * FROM p EXCEPT SELECT * FROM n)), a AS (SELECT DISTINCT x, y FROM n), b AS (SELECT DISTINCT x, y FROM p)
+SELECT DISTINCT d.x, d.y, CASE WHEN b.x IS NULL THEN 'new' WHEN a.x IS NULL THEN 'lost' ELSE 'changed' END AS state FROM d LEFT JOIN a ON a.x = d.x AND a.y = d.y LEFT JOIN b ON b.x = d.x AND b.y = d.y""", "corridors")
 def stale_cells(spark, sf_dir, corridors):
-    now = rel.member_cells(corridors).groupBy("x", "y").agg(F.sum("corridor_id").alias("digest"))
-    before = rel.member_cells(corridors.where("corridor_id % 50 <> 7")).groupBy("x", "y").agg(F.sum("corridor_id").alias("digest"))  # a prior build without some rows
-    return now.join(before, ["x", "y", "digest"], "left_anti").select("x", "y")
+    m = rel.member_cells(corridors).select("x", "y", "corridor_id", "name", "length_m")
+    now = m.where("NOT (x = -615 AND y = 226)")
+    before = m.where("corridor_id % 50 <> 7").withColumn("name", F.when(F.col("corridor_id") % 41 == 3, F.upper("name")).otherwise(F.col("name")))  # a prior build
+    return rel.changed_groups(now, before, ["x", "y"])
 
 
 @query(f"""+ m AS ({sql_cells('corridors')}), b AS (SELECT DISTINCT name FROM m WHERE x BETWEEN -610 AND -608 AND y BETWEEN 225 AND 226) SELECT DISTINCT x, y FROM m JOIN b USING (name) WHERE NOT (x BETWEEN -610 AND -608 AND y BETWEEN 225 AND 226)""", "corridors")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,10 +27,17 @@ def read_cells(spark: SparkSession, path: str, cells: list[str]) -> DataFrame:
     return spark.read.parquet(path).where(F.col("cell_id").isin(cells))
 
 
-def verify_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    """Files that are missing, unlisted or differ from manifest (file, bytes, sha256)."""
+def listed_files(spark: SparkSession, path: str) -> DataFrame:
+    """file (its path below path), bytes and sha256 of every data file of a cell table: what a manifest holds."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    own = found.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("found_bytes"), F.sha2("content", 256).alias("found_sha256"))
+    inner = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), "^[a-z0-9]+:/*", "/")
+    root = F.lit("/" + re.sub("^[a-z0-9]+:/*", "", path).strip("/") + "/")
+    return found.select(F.substring(inner, F.instr(inner, root) + F.length(root), F.lit(4096)).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def verify_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+    """Files that are missing, unlisted or differ from manifest (file, bytes, sha256), by their paths below path."""
+    own = listed_files(spark, path).withColumnsRenamed({"bytes": "found_bytes", "sha256": "found_sha256"})
     problem = F.when(F.col("found_bytes").isNull(), "missing").when(F.col("bytes").isNull(), "unlisted").when(F.col("bytes") != F.col("found_bytes"), "bytes").when(F.col("sha256") != F.col("found_sha256"), "digest")
     return manifest.join(own, "file", "full").select("file", problem.alias("problem")).where("problem is not null")
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import public_tokenizers
@@ -13,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from fieldsift.sources.tables import as_table, drop_table, shared_dir  # noqa: F401  shared with the corridor operators
+
 
 def tokenizer_path(name: str) -> str:
     """The public vocabulary file of that name; every operator takes another path as a parameter."""
@@ -23,35 +23,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Only a local master may go without it (as in tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="spark-fieldsift-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def as_table(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes df to the shared folder and reads it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/fieldsift/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._fieldsift_path = path
-    return out
-
-
-def drop_table(df: DataFrame) -> None:
-    """Deletes a table written by as_table once nothing reads it any more."""
-    spark, path = df.sparkSession, getattr(df, "_fieldsift_path", None)
-    if path:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def blocks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int, max_rows: int) -> Iterator[pa.Table]:
     """Regroups Arrow batches into blocks of bounded rows and text bytes (one longer text makes its own block)."""
     import pyarrow.compute as pc

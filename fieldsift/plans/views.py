@@ -24,6 +24,12 @@ VIEWS = {
         44.0e0 + (p_partkey*104729 % 100000)/40000.0e0 + 0.01e0*(1 + p_size % 3) AS north, p_size AS size""",
     ),
     "fixes": ("events", "*"),
+    "records": (
+        "events",
+        """event_id AS record_id, user_id AS corridor, CASE WHEN event_type = 'view' THEN 'ebird' ELSE 'inat' END AS source, event_id*13 % 211 AS taxon, event_id*13 % 211 % 9 AS kind,
+        event_id*37 % 500 AS age_days, event_id % 11 = 0 AS obscured, event_id % 29 = 0 AS captive, CASE WHEN event_id % 7 = 0 THEN NULL ELSE (event_id*31 % 900)*1.0e0 END AS accuracy,
+        CASE WHEN event_id % 31 = 0 THEN NULL ELSE -124.0e0 + (event_id*7919 % 100000)/20000.0e0 END AS lon, 44.0e0 + (event_id*104729 % 100000)/40000.0e0 AS lat, (event_id*977 % 15000)*1.0e0 AS metres""",
+    ),
     "vertices": (
         "lineitem",
         """l_orderkey AS line_id, l_linenumber AS nth, -124000000 + (l_orderkey*7919 % 100000)*50 + (l_partkey % 40)*500 AS xu,

@@ -364,4 +364,4 @@ def redelivered(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).where("n > 1")
 
 
-from fieldsift import evidence_queries, field_queries, line_queries, search_queries  # noqa: E402, F401  register further queries
+from fieldsift import evidence_queries, field_queries, line_queries, occurrence_queries, plane_queries, search_queries  # noqa: E402, F401  register further queries

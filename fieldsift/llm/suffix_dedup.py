@@ -45,8 +45,8 @@ SLICE_WINDOWS = 120_000
 #: Windows of one segment at most; longer runs (periodic texts) are cut into several segments.
 SEGMENT_WINDOWS = 48
 
-#: An anchor with more distinct segments goes by whole windows.
-HOT_SEGMENTS = 4096
+#: An anchor with more distinct segments goes by whole windows; so many make about 100 MB of a sort's arrays.
+HOT_SEGMENTS = 16_384
 
 #: Bases of the hashes; the others are for ranges where two different strings share a hash.
 _BASES = (6364136223846793005, 2862933555777941757, 3202034522624059733)
@@ -118,8 +118,11 @@ def _pieces(data: bytes) -> Iterator[tuple[int, PrefixHashes]]:
         yield a, PrefixHashes(np.frombuffer(data, np.uint8, min(len(data) - a, _STEP + LENGTH - 1), a))
 
 
-def window_runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: first window, number of windows, anchor."""
+def window_runs(data: bytes, digests: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one anchor: first window, number of windows, anchor.
+
+    digests collects, for each run before it is cut to SEGMENT_WINDOWS, its anchor with sixteen bits of a hash of its bytes.
+    """
     n = len(data) - LENGTH + 1
     if n < 1:
         none = np.zeros(0, np.int64)
@@ -131,8 +134,11 @@ def window_runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         new[1:] = low[1:] != low[:-1]
         at = np.flatnonzero(new)
         firsts.append(at + a)
-        anchors.append(low[at])
-    first, anchor = np.concatenate(firsts), np.concatenate(anchors) & _LOW
+        anchors.append(low[at] & _LOW)
+        if digests is not None:
+            size = np.diff(np.append(at, len(low))) + LENGTH - 1
+            digests.append((anchors[-1] << np.uint64(16)) | ((h.at(at, size) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)))
+    first, anchor = np.concatenate(firsts), np.concatenate(anchors)
     count = np.diff(np.append(first, n))
     if len(count) and count.max() > SEGMENT_WINDOWS:
         parts = -(-count // SEGMENT_WINDOWS)
@@ -171,7 +177,7 @@ def _ranges(anchors: np.ndarray, n: int) -> np.ndarray:
 def _posts(bucket: int, ids: list, per_doc: list[np.ndarray], n_ranges: int, segments: np.ndarray | None = None) -> list[tuple]:
     """The bucket's distinct keys per range: those of one document, and those of several with how many segments they have.
 
-    segments: a row (key, digest) per run of windows, where segments are to be counted.
+    segments: key << 16 | digest of each run of windows, where segments are to be counted. The count only tells hot keys.
     """
     number = {i: k for k, i in enumerate(dict.fromkeys(i for i in ids if i is not None))}
     who = np.repeat([number[i] for i in ids if i is not None], [len(x) for i, x in zip(ids, per_doc) if i is not None]).astype(np.int64)
@@ -184,8 +190,8 @@ def _posts(bucket: int, ids: list, per_doc: list[np.ndarray], n_ranges: int, seg
     if len(distinct):
         several = np.minimum.reduceat(who, first) != np.maximum.reduceat(who, first)
         if segments is not None:
-            pairs = np.unique(segments.view([("key", "<u8"), ("digest", "<u8")]).ravel())["key"]
-            counts = np.searchsorted(pairs, distinct, "right") - np.searchsorted(pairs, distinct, "left")
+            told, times = np.unique(np.unique(segments) >> np.uint64(16), return_counts=True)
+            counts = times[np.searchsorted(told, distinct)]
     r = _ranges(distinct, n_ranges)
     order = np.argsort(r, kind="stable")
     distinct, several, counts, r = distinct[order], several[order], np.minimum(counts[order], 65535).astype("<u2"), r[order]
@@ -197,23 +203,11 @@ def _posts(bucket: int, ids: list, per_doc: list[np.ndarray], n_ranges: int, seg
 
 def post_anchors(bucket: int, ids: list, data: list[bytes], n_ranges: int) -> list[tuple]:
     """The bucket's anchors for each range."""
-    per_doc, segments = [], [np.zeros((0, 2), "<u8")]
-    for x in data:
-        first, count, anchor = window_runs(x)
-        per_doc.append(np.unique(anchor))
-        if len(first):
-            digest = np.concatenate([h.at(f - a, np.minimum(n + LENGTH - 1, len(h.data) - (f - a))) for a, h, f, n in _by_piece(x, first, count)])
-            segments.append(np.stack([anchor, digest], axis=1).astype("<u8"))
+    segments: list[np.ndarray] = [np.zeros(0, np.uint64)]
+    per_doc = [np.unique(window_runs(x, segments)[2]) for x in data]
     return _posts(bucket, ids, per_doc, n_ranges, np.concatenate(segments))
 
 
-def _by_piece(data: bytes, first: np.ndarray, count: np.ndarray) -> Iterator[tuple]:
-    """Runs by the part of the text that they begin in: first window and hashes of the part, the runs' first and count."""
-    for a, h in _pieces(data):
-        some = slice(*np.searchsorted(first, [a, a + _STEP]).tolist())
-        yield a, h, first[some], count[some]
-
-
 def post_windows(bucket: int, ids: list, data: list[bytes], hot: np.ndarray, n_ranges: int) -> list[tuple]:
     """The bucket's windows around hot anchors, by their own hashes, for each range."""
     per_doc = []
@@ -261,9 +255,9 @@ class Segments:
 
     def __init__(self, ids: list, data: list[bytes], shared: np.ndarray, hot: np.ndarray, windows: np.ndarray):
         shared, hot, windows = np.sort(shared), np.sort(hot), np.sort(windows)
-        self.doc, self.first, self.count, self.entry = [], [], [], []
-        self.least: list[int] = []
-        self.entries: dict[tuple[int, bytes], int] = {}
+        self.doc, self.first, self.count, self.entry, self.least = [], [], [], [], []
+        entries: dict[tuple[int, bytes], int] = {}
+        docs, firsts, counts, entry, least = self.doc, self.first, self.count, self.entry, self.least
         if not len(shared) and not len(windows):
             data = []
         for d, (i, x) in enumerate(zip(ids, data)):
@@ -271,27 +265,26 @@ class Segments:
                 continue
             first, count, anchor = window_runs(x)
             keep = np.flatnonzero(_among(anchor, shared))
-            for p, n, a in zip(first[keep].tolist(), count[keep].tolist(), anchor[keep].tolist()):
-                self._add(d, i, p, n, (a, x[p : p + n + LENGTH - 1]))
-            some = _among(anchor, hot)
-            if some.any():
+            places, sizes, keys = first[keep].tolist(), count[keep].tolist(), anchor[keep].tolist()
+            if len(windows) and (some := _among(anchor, hot)).any():
                 at = _inside(first[some], count[some])
                 own = window_hashes(x)[at]
                 kept = _among(own, windows)
-                for p, w in zip(at[kept].tolist(), own[kept].tolist()):
-                    self._add(d, i, p, 1, (w, x[p : p + LENGTH]))
-        self.keys = list(self.entries)
-
-    def _add(self, d: int, i: int, p: int, n: int, key: tuple[int, bytes]) -> None:
-        e = self.entries.setdefault(key, len(self.entries))
-        if e == len(self.least):
-            self.least.append(i)
-        elif i < self.least[e]:
-            self.least[e] = i
-        self.doc.append(d)
-        self.first.append(p)
-        self.count.append(n)
-        self.entry.append(e)
+                places += at[kept].tolist()
+                keys += own[kept].tolist()
+                sizes += [1] * (len(places) - len(sizes))
+            for p, n, a in zip(places, sizes, keys):
+                key = (a, x[p : p + n + LENGTH - 1])
+                e = entries.setdefault(key, len(entries))
+                if e == len(least):
+                    least.append(i)
+                elif i < least[e]:
+                    least[e] = i
+                entry.append(e)
+            docs += [d] * len(places)
+            firsts += places
+            counts += sizes
+        self.keys = list(entries)
 
     def posts(self, bucket: int, n_ranges: int) -> list[tuple]:
         anchors = np.array([a for a, _ in self.keys], np.uint64)

@@ -22,10 +22,10 @@ def half_up(value: Column, digits: int = 3) -> Column:
 
 
 def haversine(lon1, lat1, lon2, lat2) -> Column:
-    """Great-circle metres between two points."""
+    """Great-circle metres between two points; null where a coordinate is (least alone would skip it)."""
     a, b = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((b - a) / 2), F.lit(2)) + F.cos(a) * F.cos(b) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), F.lit(2))
-    return DIAMETER * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return F.when((lon1 + lat1 + lon2 + lat2).isNotNull(), DIAMETER * F.asin(F.least(F.lit(1.0), F.sqrt(h))))
 
 
 def bearing(lon1, lat1, lon2, lat2) -> Column:

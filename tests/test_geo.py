@@ -60,3 +60,13 @@ def test_components_do_not_depend_on_partitions(spark):
     nodes = spark.createDataFrame([(i,) for i in [*range(31), 100, 101, 200]], "k long")
     got = {r.k: r.component for r in rel.connected_components(nodes, "k", edges.repartition(7)).collect()}
     assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100, 200: 200}
+
+
+def test_haversine_of_nothing_is_null(spark):
+    from fieldsift.operators import lines
+
+    rows = spark.createDataFrame([(1, 0, 0, 0), (1, 1, 10000, 0), (1, 2, 20000, 0)], "line_id long, nth long, xu long, yu long")
+    asked = [geo.haversine(*(F.lit(None).cast("double") if i == gap else F.lit(1.0) for i in range(4))) for gap in range(4)]
+    assert list(rows.limit(1).select(*asked).first()) == [None] * 4
+    got = lines.normalized(lines.ordered(rows)).first()
+    assert abs(got["metres"] - geo.DIAMETER * 3.141592653589793 / 360 * 0.02) < 1e-6

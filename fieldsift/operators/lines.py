@@ -186,3 +186,33 @@ def plan_proximity(fixes: DataFrame, plan_segments: DataFrame) -> DataFrame:
         return F.struct(metres.alias("metres"), s["line_id"].alias("line_id"))
 
     return fixes.join(plan_segments, "trip").withColumn("_near", F.array_min(F.transform("segs", near))).withColumns({"metres": F.col("_near.metres"), "near_id": F.col("_near.line_id")}).drop("_near", "segs")
+
+
+def way_matches(points: DataFrame, ways: DataFrame, step: float = 25.0, tolerance: float = 30.0, size: float = 0.005) -> DataFrame:
+    """line_id, samples, matched, ways, mean_m, max_m of lines against ways (both line_id, k, lon, lat).
+
+    Every leg is sampled in equal steps of about step metres, its start only on a line's first leg. A sample is matched when a
+    way lies within the tolerance, measured in the local frame of the line's middle latitude; mean and maximum are over the
+    least distances of the ways so matched. Samples lie in one cell and way segments in all that their padded bounds meet.
+    """
+    mid = points.groupBy("line_id").agg(((F.min("lat") + F.max("lat")) / 2).alias("mid"))
+    legs = segments(points).withColumn("n", F.greatest(F.lit(1), F.floor(leg() / step + 0.5)).cast("long"))
+    taken = legs.join(mid, "line_id").withColumn("i", F.explode(F.sequence(F.when(F.col("k") == 1, 0).otherwise(1).cast("long"), F.col("n"))))
+    share = F.col("i") / F.col("n")
+    taken = taken.select("line_id", "mid", "k", "i", (F.col("ax") + (F.col("bx") - F.col("ax")) * share).alias("lon"), (F.col("ay") + (F.col("by") - F.col("ay")) * share).alias("lat"))
+    placed = taken.withColumns({"x": geo.cell_index(F.col("lon"), size), "y": geo.cell_index(F.col("lat"), size)})
+    segs = segments(ways).select(F.col("line_id").alias("way"), "ax", "ay", "bx", "by")
+    bounds = geo.padded(F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by"), tolerance)
+    segs = segs.withColumn("c", F.explode(geo.cells(*bounds, size))).select("way", "ax", "ay", "bx", "by", "c.x", "c.y")
+    scale = geo.METRES_LON * F.cos(F.radians("mid"))
+    dx, dy = (F.col("bx") - F.col("ax")) * scale, (F.col("by") - F.col("ay")) * 110_574.0
+    px, py = (F.col("lon") - F.col("ax")) * scale, (F.col("lat") - F.col("ay")) * 110_574.0
+    square = dx * dx + dy * dy
+    t = F.when(square == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * dx + py * dy) / F.nullif(square, F.lit(0.0)))))
+    far = F.sqrt(F.pow(px - t * dx, F.lit(2)) + F.pow(py - t * dy, F.lit(2)))
+    near = placed.join(segs, ["x", "y"]).withColumn("far", far).where(F.col("far") <= tolerance)
+    matched = near.groupBy("line_id").agg(F.count_distinct("k", "i").alias("matched"))
+    least = near.groupBy("line_id", "way").agg(F.min("far").alias("far"))
+    met = least.groupBy("line_id").agg(F.count("*").alias("ways"), F.avg("far").alias("mean_m"), F.max("far").alias("max_m"))
+    out = taken.groupBy("line_id").agg(F.count("*").alias("samples")).join(matched, "line_id", "left").join(met, "line_id", "left")
+    return out.select("line_id", "samples", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("matched", "ways")), "mean_m", "max_m")

@@ -19,7 +19,7 @@ ORACLES: dict[str, str] = {}
 LON, LAT, MILES = -121.5, 45.25, 25.0
 BOX = geo.radius_bounds(LON, LAT, MILES)
 
-_HAVERSINE = "12742000.0e0 * asin(least(1e0, sqrt(pow(sin((radians({d}) - radians({b}))/2), 2) + cos(radians({b})) * cos(radians({d})) * pow(sin(radians({c} - {a})/2), 2))))"
+_HAVERSINE = "(CASE WHEN ({a}) + ({b}) + ({c}) + ({d}) IS NOT NULL THEN 12742000.0e0 * asin(least(1e0, sqrt(pow(sin((radians({d}) - radians({b}))/2), 2) + cos(radians({b})) * cos(radians({d})) * pow(sin(radians({c} - {a})/2), 2)))) END)"
 
 
 def sql_haversine(a: str, b: str, c: str, d: str) -> str:
@@ -364,4 +364,4 @@ def redelivered(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).where("n > 1")
 
 
-from fieldsift import evidence_queries, field_queries, habitat_queries, line_queries, occurrence_queries, plane_queries, research_queries, search_queries  # noqa: E402, F401  register further queries
+from fieldsift import evidence_queries, field_queries, habitat_queries, line_queries, occurrence_queries, plane_queries, research_queries, road_queries, search_queries  # noqa: E402, F401  register further queries

@@ -8,22 +8,11 @@ from pyspark.sql import functions as F
 from fieldsift.functions import geo, kernels
 from fieldsift.operators import habitat as hab
 from fieldsift.operators import lines
-from fieldsift.registry import ORACLES, query
+from fieldsift.registry import rows_only
 
 DISTANCES = [250, 500, 1000]
 
 
-def _rows_only(*views: str):
-    """Registers a query without an oracle."""
-
-    def register(f):
-        query("", *views)(f)
-        del ORACLES[f.__name__]
-        return f
-
-    return register
-
-
 def wetlands(habitats: DataFrame) -> DataFrame:
     """Four-cornered areas that stand on a corner, with their class."""
     w, s, e, n = (F.col(c) for c in ("west", "south", "east", "north"))
@@ -41,32 +30,32 @@ def roads(vertices: DataFrame) -> DataFrame:
     return hab.projected_lines(vertices.where("line_id % 2 = 1"))
 
 
-@_rows_only("vertices", "habitats")
+@rows_only("vertices", "habitats")
 def wetland_buffers(spark, sf_dir, vertices, habitats):
     rows = hab.polygon_overlay(roads(vertices), wetlands(habitats), DISTANCES)
     return rows.groupBy("line_id", "distance", "code").agg(F.count_distinct("feature_id").alias("features"), geo.half_up(F.sum("area"), 0).alias("area"))
 
 
-@_rows_only("vertices")
+@rows_only("vertices")
 def hydro_buffers(spark, sf_dir, vertices):
     rows = hab.line_overlay(roads(vertices), waters(vertices), DISTANCES)
     return rows.groupBy("line_id", "distance", "code").agg(F.count_distinct("feature_id").alias("features"), geo.half_up(F.sum("metres"), 1).alias("metres"))
 
 
-@_rows_only("vertices")
+@rows_only("vertices")
 def water_type_inventory(spark, sf_dir, vertices):
     rows = hab.line_overlay(roads(vertices), waters(vertices), [1000])
     return rows.groupBy("code").agg(F.count_distinct("feature_id").alias("features"), F.count_distinct("line_id").alias("lines"))
 
 
-@_rows_only("vertices", "habitats")
+@rows_only("vertices", "habitats")
 def nearest_by_class(spark, sf_dir, vertices, habitats):
     flowing = F.when(F.col("code").isin("Brand#1", "Brand#2", "Brand#3", "Brand#4", "Brand#5"), "flowing").otherwise("standing")
     near = hab.nearest_polygons(roads(vertices), wetlands(habitats).withColumn("code", flowing), 1000.0)
     return near.select("line_id", "code", "feature_id", geo.half_up(F.col("metres"), 2).alias("metres"))
 
 
-@_rows_only("vertices", "habitats")
+@rows_only("vertices", "habitats")
 def overlay_features(spark, sf_dir, vertices, habitats):
     rows = hab.polygon_overlay(roads(vertices), wetlands(habitats), [250])
     return hab.first_by_line(rows, 400).select("line_id", "feature_id", "code", geo.half_up(F.col("area"), 0).alias("area"))  # the overlay's own cap
@@ -76,19 +65,19 @@ def overlay_features(spark, sf_dir, vertices, habitats):
 EXTENT = [(-2_130_000.0, 2_640_000.0), (-1_830_000.0, 2_560_000.0), (-1_780_000.0, 2_790_000.0), (-2_080_000.0, 2_870_000.0)]
 
 
-@_rows_only("vertices")
+@rows_only("vertices")
 def buffer_coverage(spark, sf_dir, vertices):
     return hab.inside_extent(roads(vertices), EXTENT, DISTANCES)
 
 
-@_rows_only("habitats")
+@rows_only("habitats")
 def serving_tiles(spark, sf_dir, habitats):
     w, s, e, n = (F.col(c) for c in ("west", "south", "east", "north"))
     ring = F.array(w, (s + n) / 2, (w + e) / 2, s, e, (s + n) / 2, (w + e) / 2, n)
     return hab.tiles(habitats.select(F.col("habitat_id").alias("feature_id"), "west", "south", "east", "north", ring.alias("ring")), 0.01)
 
 
-@_rows_only("vertices")
+@rows_only("vertices")
 def geometry_decode(spark, sf_dir, vertices):
     listed = lines.ordered(vertices).groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct("k", "lon", "lat"))).alias("p"))
     flat = listed.select("line_id", F.flatten(F.transform("p", lambda v: F.array(v["lon"], v["lat"]))).alias("xy"))
@@ -101,7 +90,7 @@ def geometry_decode(spark, sf_dir, vertices):
     return hab.decode(stored.withColumn("wkb", broken), "line_id", "wkb")
 
 
-@_rows_only("vertices", "habitats")
+@rows_only("vertices", "habitats")
 def corridor_metrics(spark, sf_dir, vertices, habitats):
     """The metrics row of every road: wetland area and water length by distance, nearest wetland, coverage; zeros where measured."""
     own = roads(vertices)

@@ -16,21 +16,23 @@ Nothing of step 2 to 4 emits all pairs of a group: rows grow with the documents
 
 Edge cases: a null or empty text, or one without words, has an empty set and is linked with nothing (component_id is its
 own doc_id); a text with fewer words than a shingle is one shingle; repeated rows are one class; a doc_id with several
-texts is one node with the links of all of them; a null doc_id is linked with nothing and kept; further columns are
-ignored; very long texts are hashed whole; an empty table gives an empty result.
+texts is one node with the links of all of them, so all its rows, wordless ones too, have one component_id (distinct_rows
+decides by text instead); a null doc_id is linked with nothing and kept; further columns are ignored; very long texts are
+hashed whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_table, texts
+from .common import as_table, blocks, texts, whole_row
 from .components import components
 from .runs import whole_groups
 
@@ -96,7 +98,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
         import xxhash
 
         shingler, (mul, add) = Shingler(words), _constants(COORDINATES)
-        for batch in batches:
+        for batch in blocks(batches, "text", 8_000_000, 4096):
             n, key, sig = [], [], []
             for text in batch.column("text").to_pylist():
                 h = shingler.hashes(text)
@@ -111,7 +113,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                     low = np.minimum(low, (h[a : a + 2048, None] * mul + add).min(axis=0))
                 sig.append((low >> np.uint64(32)).astype("<u4").view("<i4"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "set_key", "sig"]
+                [batch.column("doc_id").combine_chunks(), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "set_key", "sig"]
             )
 
     return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig array<int>")
@@ -242,21 +244,26 @@ def link_family(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[t
     return found
 
 
-def links(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links confirmed on full sets, as a spanning forest (a, b) within each family (or pair of its blocks)."""
+def links(docs: DataFrame, classes: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between classes confirmed on full sets, as a spanning forest (a, b) within each family (or pair of its blocks)."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sizes = members.groupBy("family").agg(F.count("*").alias("size"))
     dealt = _block_pairs(members.join(sizes, "family"), "size", FAMILY_BLOCK, "family", "node")
-    rows = texts(docs).join(dealt.select(F.col("node").alias("doc_id"), "list_id"), "doc_id")
+    wanted = dealt.join(classes.select("node", "doc", "set_key"), "node")
+    rows = texts(docs).join(wanted.select(F.col("doc").alias("doc_id"), "node", "set_key", "list_id"), "doc_id").drop("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         shingler = Shingler(words)
         for table, starts in whole_groups(batches, ["list_id"], 500):
-            ids = table.column("doc_id").to_numpy()
+            ids = table.column("node").to_numpy()
             sets = [shingler.hashes(t) for t in table.column("text").to_pylist()]
+            # a doc_id with several texts brings each of them; only the class's own counts, once
+            own = [xxhash.xxh3_128_digest(h.tobytes()) == key for h, key in zip(sets, table.column("set_key").to_pylist())]
             found: list[tuple[int, int]] = []
             for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)]):
-                some = [i for i in range(s, e) if len(sets[i])]
+                some = list({ids[i]: i for i in range(s, e) if own[i]}.values())
                 if len(some) > 1:
                     found += link_family(ids[some], [sets[i] for i in some], percent)
             if found:
@@ -265,16 +272,68 @@ def links(docs: DataFrame, members: DataFrame, words: int, percent: int) -> Data
     return rows.repartition(n, "list_id").sortWithinPartitions("list_id").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of docs."""
+def linked_classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What all rows hold (doc_id, n_shingles, set_key), the classes of equal sets (set_key, node, doc: their smallest
+    doc_id), the links between these (a, b), and the doc_ids of several rows (doc_id, low, high: set keys, n_sets, n)."""
     signed = as_table(signatures(docs, words), "signatures")
     some = signed.where("set_key is not null and doc_id is not null")
-    classes = some.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"))
+    classes = some.groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"))
     packed = F.unhex(F.concat_ws("", F.transform("sig", lambda v: F.lpad(F.hex(v.bitwiseAND(F.lit(0xFFFF))), 4, "0"))))
-    classes = as_table(classes.withColumn("packed", packed), "classes")
+    classes = as_table(classes.withColumn("packed", packed).withColumn("node", F.monotonically_increasing_id()), "classes")
     grouped = families(classes.select("node", "sig", "packed"), percent)
-    joined = components(links(docs, grouped, words, percent)).withColumnRenamed("component", "joined")
-    of_class = classes.join(joined, "node", "left").select("set_key", F.coalesce("joined", "node").alias("component_id"))
-    found = signed.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    per_doc = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high"), F.count("set_key").alias("n_sets"), F.count("*").alias("n"))
+    several = as_table(per_doc.where("n > 1"), "several")
+    return signed.select("doc_id", "n_shingles", "set_key"), classes.select("set_key", "node", "doc"), links(docs, classes, grouped, words, percent), several
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of docs."""
+    signed, classes, linked, several = linked_classes(docs, words, percent)
+    shared = signed.join(several.where("low <> high"), "doc_id", "left_semi").join(classes, "set_key").select("doc_id", "node")
+    through = shared.join(shared.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b"))
+    joined = components(linked.union(through)).withColumnRenamed("component", "joined")
+    labelled = as_table(classes.join(joined, "node", "left"), "components")
+    smallest = labelled.where("joined is not null").groupBy("joined").agg(F.min("doc").alias("smallest"))
+    of_class = labelled.join(smallest, "joined", "left").select("set_key", F.coalesce("smallest", "doc").alias("component_id"))
+    found = signed.join(of_class, "set_key", "left")
+    wordless = found.join(several.where("n_sets between 1 and n - 1"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("of_others"))
+    found = found.join(wordless, "doc_id", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "of_others", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def distinct_rows(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that stay when each group of linked sets keeps one row, that of its smallest doc_id.
+
+    A row goes only if a row that stays holds its set or one that hangs together with it by links: of a doc_id with
+    several texts each text is judged by itself. Repeated rows are one document and stay or go together. Rows without
+    words or doc_id all stay.
+    """
+    signed, classes, linked, several = linked_classes(docs, words, percent)
+    joined = components(linked).withColumnRenamed("component", "joined")
+    labelled = classes.join(joined, "node", "left").withColumn("joined", F.coalesce("joined", "node"))
+    keepers = as_table(labelled.groupBy("joined").agg(F.min(F.struct("doc", "set_key")).alias("k")).select(F.col("k.doc").alias("doc_id"), F.col("k.set_key").alias("set_key")), "keepers")
+    gone = signed.where("doc_id is not null and set_key is not null").join(keepers, ["doc_id", "set_key"], "left_anti").select("doc_id").union(several.select("doc_id"))
+    gone = gone.select(F.col("doc_id").alias("gone")).distinct()
+    doc_id = docs["doc_id"].cast("long")
+    alone = docs.join(gone, doc_id == gone["gone"], "left_anti")
+    names = several.select(F.col("doc_id").alias("gone"))
+    row = docs.select(whole_row(docs), doc_id.alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")).join(names, F.col("doc_id") == names["gone"], "left_semi")
+    keyed = row.withColumn("set_key", _set_key(words)("text")).drop("text")
+    wordless = keyed.where("set_key is null").select("row.*")
+    once = keyed.where("set_key is not null").join(keepers, ["doc_id", "set_key"], "left_semi").select("row.*")
+    return alone.union(wordless).union(once)
+
+
+def _set_key(words: int) -> Callable[[str], Column]:
+    """The key of a text's set of shingles as a column (null for an empty set)."""
+
+    @F.pandas_udf("binary")
+    def key(text: pd.Series) -> pd.Series:
+        import xxhash
+
+        shingler = Shingler(words)
+        found = (shingler.hashes(t) for t in text)
+        return pd.Series([xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in found], dtype=object)
+
+    return key

@@ -14,21 +14,22 @@ from fieldsift.llm.common import as_table, read
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows that the toxicity score doesn't reject, as they are: every row is scored, whatever its doc_id or text."""
+    """The rows that the toxicity score doesn't reject, as they are: every row is scored, whatever its doc_id; null texts as empty ones."""
     scored = toxicity.score_documents(docs, read(spark, sf_dir, "labels"), keep_row=True)
     return scored.where("predicted = 0").select("row.*")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows that pass the base rules and their group's cutoffs, as they are; texts of fewer than 50 words go."""
+    """The rows that pass the base rules and their group's cutoffs, as they are; texts of fewer than 50 words, empty and null ones too, go."""
     return quality.keep_documents(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows whose doc_id is the smallest of its near-duplicate group; rows without words or doc_id all stay."""
-    found = minhash.near_duplicates(docs, words=5, percent=80)
-    gone = found.where("not kept").select(found["doc_id"].alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    """One document of each near-duplicate group, that of its smallest doc_id, and all rows without words or doc_id, as they are.
+
+    Each text is judged by itself, also where a doc_id has several: a row goes only for one that stays. Null texts are empty.
+    """
+    return minhash.distinct_rows(docs, words=5, percent=80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

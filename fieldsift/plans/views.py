@@ -35,6 +35,11 @@ VIEWS = {
         """l_orderkey AS line_id, l_linenumber AS nth, -124000000 + (l_orderkey*7919 % 100000)*50 + (l_partkey % 40)*500 AS xu,
         44000000 + (l_orderkey*104729 % 100000)*25 + (l_suppkey % 25)*400 AS yu""",
     ),
+    "tangles": (
+        "lineitem",
+        """l_orderkey AS line_id, l_linenumber AS nth, -124000000 + (l_orderkey*7919 % 100000)*50 + (l_partkey % 4)*600 AS xu,
+        44000000 + (l_orderkey*104729 % 100000)*25 + (l_suppkey % 3)*400 AS yu""",
+    ),
 }
 
 

@@ -7,33 +7,6 @@ from pyspark.sql import functions as F
 
 from fieldsift.registry import query
 
-_ITEMS = """items AS (SELECT user_id AS corridor_id, event_id % 7 < 3 AS affirmative, event_id % 7 IN (3, 4) AS restrictive, event_id % 5 < 2 AS authoritative,
-event_id % 3 = 0 AS status_claim, event_id % 11 < 3 AS acting, event_id % 11 = 0 AS recent, event_id % 2 = 0 AS closure, event_id % 13 = 0 AS whole FROM events WHERE user_id IS NOT NULL)"""
-_ANY = {
-    "strong": "affirmative AND authoritative",
-    "soft": "affirmative",
-    "status_conflict": "restrictive AND authoritative AND status_claim AND acting",
-    "acting_strong": "restrictive AND authoritative AND acting",
-    "stops_now": "restrictive AND authoritative AND acting AND (NOT closure OR recent)",
-    "lower_tier": "restrictive AND NOT authoritative AND status_claim AND acting",
-    "whole_route": "affirmative AND authoritative AND whole",
-}
-_FINDING = """CASE WHEN n IS NULL THEN 'no evidence' WHEN strong AND status_conflict THEN 'status conflict' WHEN stops_now THEN 'current restriction' WHEN acting_strong THEN 'recurring restriction'
-WHEN strong AND lower_tier THEN 'lower-tier restriction' WHEN strong AND whole_route THEN 'whole corridor' WHEN strong THEN 'part of corridor' WHEN soft THEN 'community only' ELSE 'nothing decides' END"""
-
-
-@query(f"WITH {_ITEMS}, a AS (SELECT corridor_id, count(*) AS n, {', '.join(f'bool_or({v}) AS {k}' for k, v in _ANY.items())} FROM items GROUP BY corridor_id) SELECT c_custkey AS corridor_id, {_FINDING} AS finding FROM customer LEFT JOIN a ON corridor_id = c_custkey")
-def access_finding(spark, sf_dir):
-    events, corridors = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "customer"))
-    k = lambda m: F.col("event_id") % m
-    items = events.where("user_id is not null").select(
-        F.col("user_id").alias("corridor_id"), (k(7) < 3).alias("affirmative"), k(7).isin(3, 4).alias("restrictive"), (k(5) < 2).alias("authoritative"), (k(3) == 0).alias("status_claim"),
-        (k(11) < 3).alias("acting"), (k(11) == 0).alias("recent"), (k(2) == 0).alias("closure"), (k(13) == 0).alias("whole"),
-    )
-    per = items.groupBy("corridor_id").agg(F.count("*").alias("n"), *(F.bool_or(F.expr(v)).alias(c) for c, v in _ANY.items()))
-    return corridors.select(F.col("c_custkey").alias("corridor_id")).join(per, "corridor_id", "left").select("corridor_id", F.expr(_FINDING).alias("finding"))
-
-
 def fnv1a(text: Column) -> Column:
     """32-bit FNV-1a over the UTF-16 units of a text."""
     units = F.hex(F.encode(text, "UTF-16BE"))
@@ -46,22 +19,6 @@ def text_hash(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", fnv1a(F.col("c_name")).alias("hash"))
 
 
-@query("""WITH f AS (SELECT DISTINCT user_id AS source, event_id % 2 = 0 AS baseline, concat(event_type, ' ', CAST(event_id % 3 AS VARCHAR)) AS fact FROM events WHERE user_id IS NOT NULL AND (user_id % 4 <> 1 OR event_id % 2 = 1) AND (user_id % 4 <> 2 OR event_id % 2 = 0)),
-p AS (SELECT source, fact, bool_or(baseline) AS was, bool_or(NOT baseline) AS is_ FROM f GROUP BY ALL), g AS (SELECT source, count(*) FILTER (was) AS n_was, count(*) FILTER (is_) AS n_is, count(*) FILTER (is_ AND NOT was) AS added, count(*) FILTER (was AND NOT is_) AS removed FROM p GROUP BY source)
-SELECT source, CASE WHEN n_was = 0 THEN 'no baseline' WHEN source % 13 = 0 THEN 'unavailable' WHEN added + removed = 0 THEN 'unchanged' WHEN n_is = 0 THEN 'no longer matches' ELSE 'changed' END AS state, added, removed FROM g""")
-def page_drift(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id is not null and (user_id % 4 <> 1 or event_id % 2 = 1) and (user_id % 4 <> 2 or event_id % 2 = 0)")
-    old = F.col("event_id") % 2 == 0
-    facts = e.groupBy(F.col("user_id").alias("source"), F.concat_ws(" ", "event_type", (F.col("event_id") % 3).cast("string")).alias("fact")).agg(F.bool_or(old).alias("was"), F.bool_or(~old).alias("is"))
-    was, now = F.col("was"), F.col("is")
-    g = facts.groupBy("source").agg(F.count_if(was).alias("n_was"), F.count_if(now).alias("n_is"), F.count_if(now & ~was).alias("added"), F.count_if(was & ~now).alias("removed"))
-    state = (
-        F.when(F.col("n_was") == 0, "no baseline").when(F.col("source") % 13 == 0, "unavailable").when(F.col("added") + F.col("removed") == 0, "unchanged")
-        .when(F.col("n_is") == 0, "no longer matches").otherwise("changed")
-    )
-    return g.select("source", state.alias("state"), "added", "removed")
-
-
 @query("""WITH l AS (SELECT c_custkey, CASE WHEN c_custkey % 29 = 0 THEN '' ELSE c_name END AS name, CASE WHEN c_custkey % 17 = 0 THEN 'n/a' ELSE CAST(c_nationkey AS VARCHAR) END AS state FROM customer)
 SELECT coalesce(CASE WHEN name = '' THEN 'no name' WHEN try_cast(state AS BIGINT) IS NULL THEN 'bad state' WHEN CAST(state AS BIGINT) > 20 THEN 'outside' END, 'kept') AS reason, count(*) AS n FROM l GROUP BY ALL""")
 def place_ingest(spark, sf_dir):

@@ -7,51 +7,41 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldsift.functions import geo
-from fieldsift.operators import lines
+from fieldsift.functions.names import name_parts, name_relation
+from fieldsift.operators import access, lines
 from fieldsift.operators import relations as rel
+from fieldsift.operators.access import EFFECTS, SCOPES
 from fieldsift.registry import BOX, LAT, LON, MILES, _DIST, _NEAR, SCORED, interest, query, sql_haversine
 
-#: Direction words that stand before a road's core name.
-DIRECTIONS = ["north", "south", "east", "west", "n", "s", "e", "w"]
+_ROAD = "CASE WHEN p_partkey % 5 = 0 THEN 'Northwest ' ELSE '' END || p_name || CASE WHEN p_partkey % 7 = 0 THEN ' Rd' ELSE ' road' END"
+_WAY = """CASE p_partkey % 9 WHEN 0 THEN upper(p_name) || ' Road' WHEN 1 THEN 'North ' || p_name || ' Road' WHEN 2 THEN split_part(p_name, ' ', 1) || ' lane' WHEN 3 THEN 'W. Elm Street' WHEN 4 THEN '' WHEN 5 THEN split_part(p_name, ' ', 1) || ' river road'
+WHEN 6 THEN 'NW ' || p_name || ' Rd.' WHEN 7 THEN p_name || ', Highway (North East)' ELSE NULL END"""
+_SHORT = "CASE t WHEN 'north' THEN 'n' WHEN 'south' THEN 's' WHEN 'east' THEN 'e' WHEN 'west' THEN 'w' WHEN 'northeast' THEN 'ne' WHEN 'northwest' THEN 'nw' WHEN 'southeast' THEN 'se' WHEN 'southwest' THEN 'sw' ELSE t END"
 
 
-def name_parts(name: Column) -> Column:
-    """direction (or empty) and core words of a road name."""
-    words = F.split(geo.name_key(name), " ")
-    first = F.get(words, F.lit(0))
-    led = first.isin(DIRECTIONS) & (F.size(words) > 1)
-    return F.struct(F.when(led, F.substring(first, 1, 1)).otherwise("").alias("direction"), F.when(led, F.slice(words, F.lit(2), F.size(words) - 1)).otherwise(words).alias("core"))
+def _names_sql(source: str) -> str:
+    """Words as rows: parts(id, side, direction, core) of source(id, side, name), words in order."""
+    return f"""words AS (SELECT id, side, unnest(string_split(regexp_replace(lower(coalesce(name, '')), '[^a-z0-9]+', ' ', 'g'), ' ')) AS t, generate_subscripts(string_split(regexp_replace(lower(coalesce(name, '')), '[^a-z0-9]+', ' ', 'g'), ' '), 1) AS i FROM {source}),
+marked AS (SELECT *, {_SHORT} AS d, {_SHORT} IN ('n','s','e','w','ne','nw','se','sw') AS is_d FROM words WHERE t <> ''),
+parts AS (SELECT id, side, coalesce(arg_min(d, i) FILTER (is_d), '') AS direction, coalesce(list(t ORDER BY i) FILTER (NOT is_d AND t NOT IN ('rd','road','st','street','ave','avenue','blvd','boulevard','dr','drive','ln','lane','hwy','highway','ct','court','way','pl','place')), []) AS core FROM marked GROUP BY id, side)"""
 
 
-def name_relation(road: Column, way: Column) -> Column:
-    """SAME, DIRECTION_VARIANT, CORE_VARIANT (half of the road's core words shared, rounded up) or DIFFERENT."""
-    a, b = name_parts(road), name_parts(way)
-    empty = (F.array_join(a["core"], "") == "") | (F.array_join(b["core"], "") == "")
-    shared = F.size(F.filter(b["core"], lambda w: F.array_contains(a["core"], w)))
-    same = F.when(a["direction"] == b["direction"], "SAME").otherwise("DIRECTION_VARIANT")
-    return F.when(empty, "DIFFERENT").when(a["core"] == b["core"], same).when(shared >= F.ceil(F.size(a["core"]) * 0.5), "CORE_VARIANT").otherwise("DIFFERENT")
-
-
-_WAYS = """w AS (SELECT p_partkey AS id, p_name || ' road' AS road, CASE p_partkey % 6 WHEN 0 THEN upper(p_name) || ' Road' WHEN 1 THEN 'North ' || p_name || ' Road' WHEN 2 THEN split_part(p_name, ' ', 1) || ' lane' WHEN 3 THEN 'W. Elm Street' WHEN 4 THEN '' ELSE split_part(p_name, ' ', 1) || ' river road' END AS way FROM part),
-k AS (SELECT id, string_split(trim(regexp_replace(lower(road), '[^a-z0-9]+', ' ', 'g')), ' ') AS a, string_split(trim(regexp_replace(lower(way), '[^a-z0-9]+', ' ', 'g')), ' ') AS b FROM w),
-s AS (SELECT id, CASE WHEN len(a) > 1 AND list_contains(['north','south','east','west','n','s','e','w'], a[1]) THEN a[2:] ELSE a END AS a, CASE WHEN len(a) > 1 AND list_contains(['north','south','east','west','n','s','e','w'], a[1]) THEN a[1][1] ELSE '' END AS ad,
- CASE WHEN len(b) > 1 AND list_contains(['north','south','east','west','n','s','e','w'], b[1]) THEN b[2:] ELSE b END AS b, CASE WHEN len(b) > 1 AND list_contains(['north','south','east','west','n','s','e','w'], b[1]) THEN b[1][1] ELSE '' END AS bd FROM k)"""
+_RELATION = """CASE WHEN coalesce(len(a.core), 0) = 0 OR coalesce(len(b.core), 0) = 0 THEN 'DIFFERENT' WHEN array_to_string(a.core, ' ') = array_to_string(b.core, ' ') AND a.direction = b.direction THEN 'SAME' WHEN array_to_string(a.core, ' ') = array_to_string(b.core, ' ') THEN 'DIRECTION_VARIANT'
+WHEN 2 * len([x for x in b.core if list_contains(a.core, x)]) >= len(a.core) THEN 'CORE_VARIANT' ELSE 'DIFFERENT' END"""
 
 
 def ways(spark, sf_dir) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
-    k, first = F.col("p_partkey") % 6, F.split("p_name", " ")[0]
-    way = (
-        F.when(k == 0, F.concat(F.upper("p_name"), F.lit(" Road"))).when(k == 1, F.concat(F.lit("North "), "p_name", F.lit(" Road"))).when(k == 2, F.concat(first, F.lit(" lane")))
-        .when(k == 3, "W. Elm Street").when(k == 4, "").otherwise(F.concat(first, F.lit(" river road")))
-    )
-    return p.select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" road")).alias("road"), way.alias("way"), F.col("p_size").alias("size"), F.col("p_brand").alias("org"))
+    return p.select(F.col("p_partkey").alias("id"), F.expr(_ROAD).alias("road"), F.expr(_WAY).alias("way"))
 
 
-@query(f"""WITH {_WAYS} SELECT relation, count(*) AS n, min(id) AS first_id FROM (SELECT id, CASE WHEN array_to_string(a, '') = '' OR array_to_string(b, '') = '' THEN 'DIFFERENT' WHEN a = b THEN CASE WHEN ad = bd THEN 'SAME' ELSE 'DIRECTION_VARIANT' END
-WHEN len(list_filter(b, lambda x: list_contains(a, x))) >= ceil(len(a)*0.5) THEN 'CORE_VARIANT' ELSE 'DIFFERENT' END AS relation FROM s) GROUP BY relation""")
+@query(f"""WITH n AS (SELECT p_partkey AS id, 'a' AS side, {_ROAD} AS name FROM part UNION ALL SELECT p_partkey, 'b', {_WAY} FROM part), {_names_sql('n')}
+SELECT p_partkey AS id, coalesce(a.direction, '') AS road_direction, array_to_string(coalesce(a.core, []), ' ') AS road_core, coalesce(b.direction, '') AS way_direction, {_RELATION} AS relation FROM part LEFT JOIN parts a ON a.id = p_partkey AND a.side = 'a' LEFT JOIN parts b ON b.id = p_partkey AND b.side = 'b'""")
 def name_relations(spark, sf_dir):
-    return ways(spark, sf_dir).groupBy(name_relation(F.col("road"), F.col("way")).alias("relation")).agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    road, way = name_parts(F.col("road")), name_parts(F.col("way"))
+    return ways(spark, sf_dir).select(
+        "id", road["direction"].alias("road_direction"), F.array_join(road["core"], " ").alias("road_core"), way["direction"].alias("way_direction"), name_relation(F.col("road"), F.col("way")).alias("relation")
+    )
 
 
 #: Access values of mapped ways.
@@ -97,60 +87,78 @@ def way_evidence(spark, sf_dir):
     return own.unionByName(untagged).unionByName(classes).unionByName(gates)
 
 
-#: The effect of each kind of claim and the tier of each class of source.
-EFFECTS = {
-    "PUBLIC_ROAD": "AFFIRMATIVE", "MOTOR_VEHICLES_ALLOWED": "AFFIRMATIVE", "ROAD_MAINTAINED": "AFFIRMATIVE", "PRIVATE_ROAD": "RESTRICTIVE", "MOTOR_VEHICLES_RESTRICTED": "RESTRICTIVE", "SEASONAL_CLOSURE": "RESTRICTIVE",
-    "TEMPORARY_CLOSURE": "RESTRICTIVE", "PERMIT_REQUIRED": "RESTRICTIVE", "GATE_REPORTED": "ATTENTION", "ROAD_UNMAINTAINED": "ATTENTION", "ROAD_NAME_VARIANT": "ATTENTION", "SURFACE": "NEUTRAL", "ROAD_CLASS": "NEUTRAL",
-    "LAND_MANAGER": "NEUTRAL", "ACCESS_TAG_ABSENT": "NEUTRAL", "UNKNOWN": "NEUTRAL",
-}
-TIERS = ["TIER_1_AUTHORITATIVE", "TIER_2_INTERMEDIATE", "TIER_3_COMMUNITY", "TIER_4_ANECDOTAL"]
+#: The day on which evidence is checked.
+CHECKED = 20_000
 _CLAIM = "list_extract([" + ", ".join(f"'{c}'" for c in EFFECTS) + "], CAST(event_id % 16 AS INTEGER) + 1)"
-_ITEMS = f"i AS MATERIALIZED (SELECT event_id AS id, user_id AS corridor, {_CLAIM} AS claim, CAST(event_id * 7 % 4 AS INTEGER) + 1 AS tier, event_id * 11 % 900 AS age_days, 'org ' || CAST(event_id % 9 AS VARCHAR) AS org, event_id % 3 AS scope FROM events)"
+_APPLIES = ["Oak Road", "NW Oak Rd", "Northeast Oak Road", "Oak Creek Road", "Elm Street"]
+_ITEM = [
+    "event_id AS id", "user_id AS corridor", "CAST(event_id // 16 % 4 AS INTEGER) + 1 AS tier", "concat('org ', CAST(event_id // 7 % 9 AS VARCHAR)) AS org", "CASE WHEN event_id % 6 = 0 THEN 20000 + event_id * 5 % 400 - 200 END AS ends",
+    "CASE WHEN event_id % 4 = 2 THEN 20000 + event_id * 3 % 300 - 150 END AS starts", "CASE WHEN event_id % 23 <> 0 THEN 20000 - event_id * 11 % 900 + 20 END AS dated", "CASE WHEN event_id % 10 = 3 THEN 'seasonal' END AS recurrence",
+]
+#: Items, and what each says on the day, written from the rules: fresh, effect, strong, acting.
+_ITEMS = f"""i AS MATERIALIZED (SELECT {', '.join(_ITEM)}, {_CLAIM} AS claim, list_extract({SCOPES!r}, CAST(event_id // 64 % 4 AS INTEGER) + 1) AS scope, list_extract({_APPLIES!r}, CAST(event_id // 16 % 6 AS INTEGER) + 1) AS applies_to FROM events WHERE user_id IS NOT NULL),
+f AS (SELECT *, CASE WHEN claim IN ('PUBLIC_ROAD','MOTOR_VEHICLES_ALLOWED','ROAD_MAINTAINED') THEN 'AFFIRMATIVE' WHEN claim LIKE '%CLOSURE' OR claim IN ('PRIVATE_ROAD','MOTOR_VEHICLES_RESTRICTED','PERMIT_REQUIRED') THEN 'RESTRICTIVE' WHEN claim IN ('GATE_REPORTED','ROAD_UNMAINTAINED','ROAD_NAME_VARIANT') THEN 'ATTENTION' ELSE 'NEUTRAL' END AS effect,
+tier < 3 AS strong, CASE WHEN ends IS NULL AND dated IS NULL THEN 'UNDATED' WHEN 20000 - coalesce(ends, dated) > 365 THEN 'STALE' WHEN 20000 - coalesce(ends, dated) > 90 THEN 'RECENT' ELSE 'CURRENT' END AS fresh FROM i),
+e AS MATERIALIZED (SELECT *, CASE WHEN effect <> 'RESTRICTIVE' THEN 'NOT_APPLICABLE' WHEN ends < 20000 THEN 'EXPIRED' WHEN starts > 20000 THEN 'UNDATED' WHEN coalesce(starts, ends) IS NOT NULL THEN 'CURRENT' WHEN recurrence IS NOT NULL THEN 'RECURRING' WHEN fresh IN ('STALE', 'UNDATED') THEN fresh ELSE 'CURRENT' END AS temporal FROM f)"""
 
 
 def evidence(spark, sf_dir) -> DataFrame:
-    """id, corridor, claim, effect, tier, age_days, org and scope (0 corridor, 1 part, 2 elsewhere) of evidence items."""
-    e, k = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id")
-    claim = F.get(F.array(*map(F.lit, EFFECTS)), (k % 16).cast("int"))
-    effects = F.create_map(*(F.lit(x) for pair in EFFECTS.items() for x in pair))
-    rows = e.select(k.alias("id"), F.col("user_id").alias("corridor"), claim.alias("claim"), (k * 7 % 4 + 1).cast("int").alias("tier"), (k * 11 % 900).alias("age_days"), F.concat(F.lit("org "), (k % 9).cast("string")).alias("org"), (k % 3).alias("scope"))
-    return rows.withColumn("effect", effects[F.col("claim")])
-
+    """Evidence items about corridors, as operators/access.py takes them."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id is not null")
+    pick = lambda values, at: F.get(F.array(*map(F.lit, values)), F.expr(at).cast("int"))
+    own = (F.expr(x.replace("//", "div").replace("VARCHAR", "STRING")) for x in _ITEM)
+    return e.select(*own, pick(EFFECTS, "event_id % 16").alias("claim"), pick(SCOPES, "event_id div 64 % 4").alias("scope"), pick(_APPLIES, "event_id div 16 % 6").alias("applies_to"))
 
-_EFFECT = "CASE " + " ".join(f"WHEN claim IN ({', '.join(repr(c) for c, x in EFFECTS.items() if x == e)}) THEN '{e}'" for e in ("AFFIRMATIVE", "RESTRICTIVE", "ATTENTION", "NEUTRAL")) + " END"
 
-
-@query(f"""WITH {_ITEMS} SELECT {_EFFECT} AS effect, tier, CASE WHEN age_days <= 90 THEN 'CURRENT' WHEN age_days <= 365 THEN 'RECENT' ELSE 'STALE' END AS freshness, tier <= 2 AS authoritative, count(*) AS n FROM i GROUP BY ALL""")
+@query(f"""WITH {_ITEMS} SELECT effect, tier, fresh AS freshness, temporal AS temporal_scope, strong AS authoritative, count(*) AS n FROM e GROUP BY ALL""")
 def evidence_classes(spark, sf_dir):
-    fresh = F.when(F.col("age_days") <= 90, "CURRENT").when(F.col("age_days") <= 365, "RECENT").otherwise("STALE")
-    return evidence(spark, sf_dir).groupBy("effect", "tier", fresh.alias("freshness"), (F.col("tier") <= 2).alias("authoritative")).agg(F.count("*").alias("n"))
+    return access.decorated(evidence(spark, sf_dir), CHECKED).groupBy("effect", "tier", "freshness", "temporal_scope", "authoritative").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {_ITEMS}, a AS (SELECT corridor, count(*) AS n, count(*) FILTER ({_EFFECT} = 'AFFIRMATIVE' AND tier <= 2 AND scope < 2) AS yes, count(*) FILTER ({_EFFECT} = 'RESTRICTIVE' AND scope < 2) AS no, count(*) FILTER (tier <= 2) AS official, count(*) FILTER (age_days > 365) AS old,
-count(DISTINCT org) AS orgs, count(*) FILTER (scope = 2) AS elsewhere, count(*) FILTER (claim = 'GATE_REPORTED') AS gates, count(*) FILTER (claim = 'ACCESS_TAG_ABSENT') AS absent, count(*) FILTER (claim IN ('TEMPORARY_CLOSURE', 'SEASONAL_CLOSURE') AND age_days <= 90) AS closures FROM i WHERE id % 40 < 3 GROUP BY corridor)
-SELECT corridor, concat_ws(',', CASE WHEN official = 0 THEN 'no authority' END, CASE WHEN yes > 0 AND no > 0 THEN 'conflict' END, CASE WHEN old * 2 > n THEN 'mostly old' END, CASE WHEN orgs = 1 THEN 'one organization' END, CASE WHEN elsewhere * 2 > n THEN 'mostly elsewhere' END, CASE WHEN gates > 0 AND yes > 0 THEN 'gate against access' END,
-CASE WHEN absent = n THEN 'only absent tags' END, CASE WHEN closures > 0 AND yes > 0 THEN 'closure against access' END, CASE WHEN n < 3 THEN 'few items' END) AS findings FROM a""")
-def adversarial_review(spark, sf_dir):
-    usable = F.col("scope") < 2
-    claim = F.col("claim")
-    a = evidence(spark, sf_dir).where("id % 40 < 3").groupBy("corridor").agg(
-        F.count("*").alias("n"), F.count_if((F.col("effect") == "AFFIRMATIVE") & (F.col("tier") <= 2) & usable).alias("yes"), F.count_if((F.col("effect") == "RESTRICTIVE") & usable).alias("no"),
-        F.count_if(F.col("tier") <= 2).alias("official"), F.count_if(F.col("age_days") > 365).alias("old"), F.count_distinct("org").alias("orgs"), F.count_if(~usable).alias("elsewhere"), F.count_if(claim == "GATE_REPORTED").alias("gates"),
-        F.count_if(claim == "ACCESS_TAG_ABSENT").alias("absent"), F.count_if(claim.isin("TEMPORARY_CLOSURE", "SEASONAL_CLOSURE") & (F.col("age_days") <= 90)).alias("closures"),
-    )
-    checks = {
-        "no authority": "official = 0", "conflict": "yes > 0 and no > 0", "mostly old": "old * 2 > n", "one organization": "orgs = 1", "mostly elsewhere": "elsewhere * 2 > n", "gate against access": "gates > 0 and yes > 0",
-        "only absent tags": "absent = n", "closure against access": "closures > 0 and yes > 0", "few items": "n < 3",
-    }
-    return a.select("corridor", F.concat_ws(",", *(F.when(F.expr(test), F.lit(name)) for name, test in checks.items())).alias("findings"))
+#: Pairs of maintenance claims item by item: o(corridor, org_a, name_a, org_b, name_b, pairs).
+_OVERLAPS = f"""m AS (SELECT * FROM e WHERE claim = 'ROAD_MAINTAINED' AND strong AND scope <> 'NOT_APPLICABLE' AND applies_to IS NOT NULL), n AS (SELECT DISTINCT applies_to AS id, 'a' AS side, applies_to AS name FROM m), {_names_sql('n')},
+firsts AS (SELECT corridor, org, applies_to, min(id) AS first FROM m GROUP BY ALL), mf AS (SELECT m.*, first FROM m JOIN firsts USING (corridor, org, applies_to)),
+o AS (SELECT x.corridor, x.org AS org_a, x.applies_to AS name_a, y.org AS org_b, y.applies_to AS name_b, count(*) AS pairs FROM mf x JOIN mf y ON x.corridor = y.corridor AND x.org <> y.org AND x.first < y.first JOIN parts a ON a.id = x.applies_to JOIN parts b ON b.id = y.applies_to
+WHERE (x.scope = 'CORRIDOR' OR y.scope = 'CORRIDOR') AND {_RELATION} <> 'DIFFERENT' GROUP BY ALL)"""
 
 
-@query(f"""WITH {_ITEMS}, c AS (SELECT DISTINCT corridor, org, scope = 0 AS whole FROM i WHERE claim = 'ROAD_MAINTAINED' AND scope < 2), o AS (SELECT corridor, org, bool_or(whole) AS whole FROM c GROUP BY ALL)
-SELECT a.corridor, a.org AS org_a, b.org AS org_b FROM o a JOIN o b ON a.corridor = b.corridor AND a.org < b.org WHERE a.whole OR b.whole""")
+@query(f"WITH {_ITEMS}, {_OVERLAPS} SELECT * FROM o")
 def authority_overlaps(spark, sf_dir):
-    claims = evidence(spark, sf_dir).where("claim = 'ROAD_MAINTAINED' and scope < 2").groupBy("corridor", "org").agg(F.bool_or(F.col("scope") == 0).alias("whole"))
-    a, b = (claims.select("corridor", F.col("org").alias(f"org_{x}"), F.col("whole").alias(f"whole_{x}")) for x in "ab")
-    return a.join(b, "corridor").where("org_a < org_b and (whole_a or whole_b)").select("corridor", "org_a", "org_b")  # organizations of one road
+    return access.authority_overlaps(access.decorated(evidence(spark, sf_dir), CHECKED))
+
+
+#: Findings item by item: every rule asks for an item that fits it.
+_FOUND = f"""{_ITEMS}, q AS (SELECT *, temporal IN ('CURRENT', 'RECURRING') AS acting, claim IN ('PUBLIC_ROAD','PRIVATE_ROAD','MOTOR_VEHICLES_ALLOWED','MOTOR_VEHICLES_RESTRICTED','PERMIT_REQUIRED') AS status FROM e),
+has AS (SELECT corridor, list(DISTINCT effect || CASE WHEN strong THEN '+' ELSE '-' END || CASE WHEN acting THEN 'acts' ELSE '' END || CASE WHEN status THEN ' status' ELSE '' END || CASE WHEN claim LIKE '%CLOSURE' AND temporal = 'RECURRING' THEN ' later' ELSE '' END || CASE WHEN scope = 'CORRIDOR' THEN ' whole' ELSE '' END) AS h FROM q GROUP BY corridor),
+r AS (SELECT c_custkey AS corridor, h, CASE WHEN h IS NULL THEN 'R1_NO_ACCESS_EVIDENCE' WHEN len([x for x in h if x LIKE 'AFFIRMATIVE+%']) > 0 AND len([x for x in h if x LIKE 'RESTRICTIVE+acts status%']) > 0 THEN 'R2_STATUS_CONFLICT'
+WHEN len([x for x in h if x LIKE 'RESTRICTIVE+acts%' AND x NOT LIKE '% later%']) > 0 THEN 'R3_CURRENT_RESTRICTION' WHEN len([x for x in h if x LIKE 'RESTRICTIVE+acts%']) > 0 THEN 'R4_RECURRING_RESTRICTION'
+WHEN len([x for x in h if x LIKE 'AFFIRMATIVE+%']) > 0 AND len([x for x in h if x LIKE 'RESTRICTIVE-acts status%']) > 0 THEN 'R5_LOWER_TIER_RESTRICTION' WHEN len([x for x in h if x LIKE 'AFFIRMATIVE+% whole']) > 0 THEN 'R6_AUTHORITATIVE_WHOLE_CORRIDOR'
+WHEN len([x for x in h if x LIKE 'AFFIRMATIVE+%']) > 0 THEN 'R7_AUTHORITATIVE_PART_OF_CORRIDOR' WHEN len([x for x in h if x LIKE 'AFFIRMATIVE-%']) > 0 THEN 'R8_COMMUNITY_ONLY' ELSE 'R9_NO_DECIDING_EVIDENCE' END AS rule FROM customer LEFT JOIN has ON corridor = c_custkey),
+d AS (SELECT *, CASE left(rule, 2) WHEN 'R2' THEN 'CONFLICTED' WHEN 'R3' THEN 'RESTRICTED_OR_CLOSED' WHEN 'R4' THEN 'RESTRICTED_OR_CLOSED' WHEN 'R5' THEN 'PROBABLE_PUBLIC' WHEN 'R6' THEN 'VERIFIED_PUBLIC' WHEN 'R7' THEN 'PROBABLE_PUBLIC' WHEN 'R8' THEN 'PROBABLE_PUBLIC' ELSE 'UNVERIFIED' END AS finding FROM r)"""
+
+
+@query(f"""WITH {_FOUND} SELECT corridor AS corridor_id, rule, finding, CASE WHEN finding = 'CONFLICTED' THEN 'DISPUTED' WHEN len([x for x in h if x LIKE 'AFFIRMATIVE+% whole']) > 0 THEN 'VERIFIED' WHEN len([x for x in h if x LIKE 'AFFIRMATIVE+%']) > 0 THEN 'PARTIAL' WHEN len([x for x in h if x LIKE 'AFFIRMATIVE-%']) > 0 THEN 'COMMUNITY ONLY' ELSE 'NONE' END AS public_road,
+CASE finding WHEN 'RESTRICTED_OR_CLOSED' THEN 'RESTRICTED OR CLOSED' WHEN 'VERIFIED_PUBLIC' THEN 'VERIFIED' WHEN 'UNVERIFIED' THEN 'UNVERIFIED' ELSE 'PROBABLE ONLY' END AS motor_vehicles FROM d""")
+def access_finding(spark, sf_dir):
+    """The finding of every corridor by the nine ordered rules."""
+    return access.findings(_roads(spark, sf_dir), evidence(spark, sf_dir), CHECKED).select(F.col("corridor").alias("corridor_id"), "rule", "finding", "public_road", "motor_vehicles")
+
+
+def _roads(spark, sf_dir) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("corridor"))
+
+
+@query(f"""WITH {_FOUND}, {_OVERLAPS}, k AS (SELECT 'ACTING_RESTRICTION' AS "check", corridor, count(*) AS n FROM q WHERE effect = 'RESTRICTIVE' AND acting GROUP BY corridor UNION ALL SELECT 'CORRIDOR_PARTIAL', corridor, count(*) FROM q WHERE effect = 'AFFIRMATIVE' AND strong GROUP BY corridor
+UNION ALL SELECT 'WEAK_SOURCE_ONLY', corridor, count(*) FROM q WHERE effect = 'AFFIRMATIVE' AND NOT strong GROUP BY corridor UNION ALL SELECT 'STALE_EVIDENCE', corridor, count(*) FROM q WHERE effect = 'RESTRICTIVE' AND NOT acting GROUP BY corridor
+UNION ALL SELECT 'NAME_VARIANT', corridor, count(*) FROM q WHERE claim = 'ROAD_NAME_VARIANT' GROUP BY corridor UNION ALL SELECT 'AUTHORITY_OVERLAP', corridor, CAST(2 * sum(pairs) AS BIGINT) FROM o GROUP BY corridor),
+orgs AS (SELECT corridor, count(DISTINCT org) AS orgs FROM q WHERE effect = 'AFFIRMATIVE' AND strong GROUP BY corridor),
+c AS (SELECT i AS place, list_extract(['ACTING_RESTRICTION','NEGATIVE_CASE_CONFIRMED','CORRIDOR_PARTIAL','SINGLE_ORGANIZATION','WEAK_SOURCE_ONLY','STALE_EVIDENCE','NAME_VARIANT','AUTHORITY_OVERLAP','EVIDENCE_ABSENCE'], i) AS "check" FROM (SELECT CAST(unnest(range(1, 10)) AS INTEGER) AS i))
+SELECT d.corridor AS corridor_id, place, c."check", CASE c."check" WHEN 'NEGATIVE_CASE_CONFIRMED' THEN CASE WHEN finding = 'RESTRICTED_OR_CLOSED' THEN 'PASS' ELSE 'NOT_APPLICABLE' END WHEN 'CORRIDOR_PARTIAL' THEN CASE WHEN len([x for x in h if x LIKE 'AFFIRMATIVE+% whole']) > 0 THEN 'PASS' ELSE 'CONCERN' END
+WHEN 'SINGLE_ORGANIZATION' THEN CASE WHEN orgs IS NULL THEN 'NOT_APPLICABLE' WHEN orgs = 1 THEN 'CONCERN' ELSE 'PASS' END WHEN 'WEAK_SOURCE_ONLY' THEN CASE WHEN orgs IS NULL AND k.n > 0 THEN 'CONCERN' ELSE 'PASS' END WHEN 'EVIDENCE_ABSENCE' THEN CASE WHEN h IS NULL THEN 'UNRESOLVED' ELSE 'PASS' END
+ELSE CASE WHEN k.n > 0 THEN 'CONCERN' ELSE 'PASS' END END AS outcome, coalesce(k.n, 0) AS evidence FROM d CROSS JOIN c LEFT JOIN orgs ON orgs.corridor = d.corridor LEFT JOIN k ON k.corridor = d.corridor AND k."check" = c."check" """)
+def adversarial_review(spark, sf_dir):
+    """The nine checks of every corridor's finding."""
+    return access.adversarial_review(access.findings(_roads(spark, sf_dir), evidence(spark, sf_dir), CHECKED)).withColumnRenamed("corridor", "corridor_id")
 
 
 @query("""WITH p AS (SELECT user_id AS run, list_extract(['EVIDENCE', 'NO_RELEVANT_EVIDENCE', 'FAILED', 'OPERATOR_ONLY', 'NOT_RUN'], CAST((event_id * 3 + user_id) % CASE WHEN user_id % 3 = 0 THEN 2 ELSE 5 END AS INTEGER) + 1) AS outcome, list_extract(['OK', 'FAILED', 'PARTIAL', 'NOT_RUN'], CAST(user_id % 4 AS INTEGER) + 1) AS ways FROM events WHERE event_id % 50 = 0)
@@ -166,18 +174,6 @@ def research_coverage(spark, sf_dir):
     return n.select("run", "asked", "answered", "failed", coverage.alias("coverage"))
 
 
-@query("""WITH b AS (SELECT user_id AS source, event_type AS fact, count(*) AS n FROM events WHERE event_id % 60 < 10 GROUP BY ALL), l AS (SELECT user_id AS source, event_type AS fact, count(*) AS n FROM events WHERE event_id % 60 BETWEEN 5 AND 14 AND user_id % 8 <> 1 GROUP BY ALL),
-s AS (SELECT coalesce(b.source, l.source) AS source, count(b.fact) AS had, count(l.fact) AS has, count(*) FILTER (b.fact IS NULL) AS added, count(*) FILTER (l.fact IS NULL) AS removed, count(*) FILTER (b.n <> l.n) AS changed FROM b FULL JOIN l ON b.source = l.source AND b.fact = l.fact GROUP BY 1)
-SELECT CASE WHEN has = 0 THEN 'UNAVAILABLE' WHEN had = 0 THEN 'NEW' WHEN added + removed > 0 THEN 'FACTS_CHANGED' WHEN changed > 0 THEN 'VALUES_CHANGED' ELSE 'UNCHANGED' END AS state, count(*) AS sources, CAST(sum(added) AS BIGINT) AS added, CAST(sum(removed) AS BIGINT) AS removed FROM s GROUP BY state""")
-def drift_summary(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    facts = lambda rows, n: rows.groupBy(F.col("user_id").alias("source"), F.col("event_type").alias("fact")).agg(F.count("*").alias(n))
-    j = facts(e.where("event_id % 60 < 10"), "before").join(facts(e.where("event_id % 60 between 5 and 14 and user_id % 8 <> 1"), "now"), ["source", "fact"], "full")
-    s = j.groupBy("source").agg(F.count("before").alias("had"), F.count("now").alias("has"), F.count_if(F.col("before").isNull()).alias("added"), F.count_if(F.col("now").isNull()).alias("removed"), F.count_if(F.col("before") != F.col("now")).alias("changed"))
-    state = F.when(F.col("has") == 0, "UNAVAILABLE").when(F.col("had") == 0, "NEW").when(F.col("added") + F.col("removed") > 0, "FACTS_CHANGED").when(F.col("changed") > 0, "VALUES_CHANGED").otherwise("UNCHANGED")
-    return s.groupBy(state.alias("state")).agg(F.count("*").alias("sources"), F.sum("added").alias("added"), F.sum("removed").alias("removed"))
-
-
 #: Feature types of water by code, and which of them flow or stand.
 WATER = {334: "Connector", 336: "CanalDitch", 361: "Playa", 378: "Ice Mass", 390: "Lake/Pond", 428: "Pipeline", 436: "Reservoir", 460: "Stream/River", 466: "Swamp/Marsh", 558: "Artificial Path"}
 FLOWING, STANDING = [334, 336, 460, 558], [361, 378, 390, 436, 466]

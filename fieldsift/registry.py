@@ -375,4 +375,4 @@ def redelivered(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).where("n > 1")
 
 
-from fieldsift import evidence_queries, field_queries, habitat_queries, line_queries, occurrence_queries, plane_queries, repair_queries, research_queries, road_queries, search_queries, stream_queries  # noqa: E402, F401  register further queries
+from fieldsift import evidence_queries, field_queries, habitat_queries, line_queries, occurrence_queries, plane_queries, polygon_queries, repair_queries, research_queries, road_queries, search_queries, stream_queries  # noqa: E402, F401  register further queries

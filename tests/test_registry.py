@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from fieldsift import habitat_queries, registry, road_queries
+from fieldsift import habitat_queries, polygon_queries, registry, road_queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark".split()
@@ -18,8 +18,8 @@ def rows(frame, columns):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_without_oracle_has_rows(spark, name):
-    """Buffers and clips, which SQL can't express here; and composed roads; test_habitat.py and test_roads.py hold them to brute force."""
-    assert name in vars(habitat_queries) or name in vars(road_queries)
+    """Buffers and clips, which SQL can't express here; composed roads; the grid: test_habitat.py, test_roads.py and test_polygons.py hold them to brute force."""
+    assert name in vars(habitat_queries) or name in vars(road_queries) or name in vars(polygon_queries)
     assert registry.QUERIES[name](spark, SF).count() > 0
 
 

@@ -56,6 +56,39 @@ def closest_points(points: DataFrame, lon: Column, lat: Column) -> DataFrame:
     return best.select("line_id", F.col("best.m").alias("metres"), F.col("best.x").alias("near_lon"), F.col("best.y").alias("near_lat"))
 
 
+def closest_of(points: DataFrame, asked: DataFrame) -> DataFrame:
+    """line_id, metres, near_lon, near_lat: the closest point of each line to its own place (asked: line_id, lon, lat)."""
+    at = asked.select("line_id", F.col("lon").alias("q_lon"), F.col("lat").alias("q_lat"))
+    q = F.col("q_lon"), F.col("q_lat")
+    a, b, c, d = (F.col(x) for x in ("ax", "ay", "bx", "by"))
+    t, _ = foot(*q, a, b, c, d)
+    feet = segments(points).join(at, "line_id").select("line_id", *q, (a + (c - a) * t).alias("x"), (b + (d - b) * t).alias("y"))
+    both = feet.union(points.join(at, "line_id").select("line_id", *q, "lon", "lat"))
+    best = both.groupBy("line_id").agg(F.min(F.struct(geo.haversine(*q, F.col("x"), F.col("y")).alias("m"), "x", "y")).alias("best"))
+    return best.select("line_id", F.col("best.m").alias("metres"), F.col("best.x").alias("near_lon"), F.col("best.y").alias("near_lat"))
+
+
+def verified_contexts(stored: DataFrame, points: DataFrame, tolerance: float = 1.0) -> DataFrame:
+    """stored with measured, off, turn and state: whether what was recorded of a line still holds for the line.
+
+    stored: line_id, c_lon, c_lat (the search's centre), metres, near_lon, near_lat, bearing (or null). The distance may
+    differ by the tolerance, the recorded point may lie that far from the line, and the direction may turn by what four
+    tolerances make at the distance, in this order (states distance, point off the line, direction; else verified). A line
+    without points can't be measured (no geometry); a row without a distance has no context (absent).
+    """
+    again = closest_of(points, stored.select("line_id", F.col("c_lon").alias("lon"), F.col("c_lat").alias("lat"))).select("line_id", F.col("metres").alias("measured"), F.col("near_lon").alias("x"), F.col("near_lat").alias("y"))
+    off = closest_of(points, stored.select("line_id", F.col("near_lon").alias("lon"), F.col("near_lat").alias("lat"))).select("line_id", F.col("metres").alias("off"))
+    j = stored.join(again, "line_id", "left").join(off, "line_id", "left")
+    apart = F.abs(F.col("bearing") - geo.bearing(F.col("c_lon"), F.col("c_lat"), F.col("x"), F.col("y"))) % 360
+    j = j.withColumn("turn", F.least(apart, 360 - apart)).drop("x", "y")
+    room = F.degrees(F.atan2(F.lit(4 * tolerance), F.greatest("measured", F.lit(tolerance))))
+    state = (
+        F.when(F.col("metres").isNull(), "absent").when(F.col("measured").isNull(), "no geometry").when(F.abs(F.col("measured") - F.col("metres")) > tolerance + 1e-6, "distance")
+        .when(~F.coalesce(F.col("off") <= tolerance + 1e-6, F.lit(False)), "point off the line").when(F.col("turn") > room, "direction").otherwise("verified")
+    )
+    return j.withColumn("state", state)
+
+
 def midpoints(points: DataFrame) -> DataFrame:
     """line_id, lon, lat half way along each line that has a length."""
     rows = with_running_length(segments(points)).where("leg > 0 and upto >= total / 2")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fieldsift.functions import geo
 from fieldsift.operators import relations as rel
+from fieldsift.road_queries import GAPS, name_gaps
 from fieldsift.registry import query, sql_cells, sql_haversine
 from fieldsift.sources.tables import as_table
 
@@ -257,18 +258,19 @@ def consumer_check(spark, sf_dir, corridors):
     return j.where(~F.col("a").eqNullSafe(F.col("b"))).select("x", "y", (zero("a") - zero("b")).alias("surplus"))
 
 
-@query("""+ d AS (SELECT o_custkey AS candidate, o_orderkey AS road FROM orders), j AS (SELECT candidate, road, c.corridor_id IS NOT NULL AS found, length_m, west, north, class_code, crossings FROM d LEFT JOIN corridors c ON c.corridor_id = road AND corridor_id % 8 <> 5)
+@query(f"""+ {GAPS}, d AS (SELECT o_custkey AS candidate, o_orderkey AS road FROM orders), j AS (SELECT candidate, road, c.corridor_id IS NOT NULL AS found, length_m, west, north, class_code, gap FROM d LEFT JOIN corridors c ON c.corridor_id = road AND corridor_id % 8 <> 5 LEFT JOIN gaps ON gaps.name = c.name)
 SELECT candidate, count(*) AS roads, count(*) FILTER (found) AS resolved, CASE WHEN count(*) FILTER (found) = 0 THEN 'UNRESOLVED' WHEN count(*) FILTER (found) < count(*) THEN 'PARTIAL' ELSE 'FULL' END AS coverage, sum(length_m) AS metres, floor(min(west)*1e4+0.5)/1e4 AS west, floor(max(north)*1e4+0.5)/1e4 AS north,
-array_to_string(list_sort(list(DISTINCT class_code) FILTER (found)), ',') AS classes, max(crossings) AS widest_gap FROM j GROUP BY candidate""", "corridors")
-def candidates(spark, sf_dir, corridors):
+array_to_string(list_sort(list(DISTINCT class_code) FILTER (found)), ',') AS classes, floor(max(gap)*1000+0.5)/1000 AS widest_gap FROM j GROUP BY candidate""", "corridors", "vertices")
+def candidates(spark, sf_dir, corridors, vertices):
+    """Every candidate over its roads; widest_gap is the largest gap that the composition of one of their names left."""
     d = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("candidate"), F.col("o_orderkey").alias("corridor_id"))
-    j = d.join(corridors.where("corridor_id % 8 <> 5"), "corridor_id", "left")
+    j = d.join(corridors.where("corridor_id % 8 <> 5"), "corridor_id", "left").join(name_gaps(vertices).select("name", "gap"), "name", "left")
     n = F.count("length_m")
     coverage = F.when(n == 0, "UNRESOLVED").when(n < F.count("*"), "PARTIAL").otherwise("FULL")
     classes = F.array_join(F.transform(F.array_sort(F.collect_set("class_code")), lambda x: x.cast("string")), ",")  # fifteen codes
     return j.groupBy("candidate").agg(
         F.count("*").alias("roads"), n.alias("resolved"), coverage.alias("coverage"), F.sum("length_m").alias("metres"), geo.half_up(F.min("west"), 4).alias("west"), geo.half_up(F.max("north"), 4).alias("north"),
-        F.when(n > 0, classes).alias("classes"), F.max("crossings").alias("widest_gap"),
+        F.when(n > 0, classes).alias("classes"), geo.half_up(F.max("gap")).alias("widest_gap"),
     )
 
 

@@ -10,6 +10,7 @@ from fieldsift.functions import geo
 from fieldsift.functions.names import name_parts, name_relation
 from fieldsift.operators import access, lines
 from fieldsift.operators import relations as rel
+from fieldsift.line_queries import _G, _O, sql_foot
 from fieldsift.operators.access import EFFECTS, SCOPES
 from fieldsift.registry import BOX, LAT, LON, MILES, _DIST, _NEAR, SCORED, interest, query, sql_haversine
 
@@ -246,30 +247,33 @@ def result_rows(spark, sf_dir, corridors):
     )
 
 
-@query(f"""+ p AS (SELECT name, corridor_id, lon, lat FROM corridors WHERE corridor_id % 60 = 1), d AS (SELECT a.name, a.corridor_id, min({sql_haversine('a.lon', 'a.lat', 'b.lon', 'b.lat')}) AS gap FROM p a JOIN p b ON a.name = b.name AND a.corridor_id <> b.corridor_id GROUP BY ALL)
-SELECT name, count(*) AS roads, floor(max(gap)*1000+0.5)/1000 AS widest_gap FROM d GROUP BY name""", "corridors")
-def unresolved_gaps(spark, sf_dir, corridors):
-    """The widest of the gaps between each road of a name and the nearest other one of that name."""
-    p = corridors.where("corridor_id % 60 = 1").select("name", "corridor_id", "lon", "lat")
-    b = p.select("name", F.col("corridor_id").alias("other"), F.col("lon").alias("o_lon"), F.col("lat").alias("o_lat"))
-    far = geo.haversine(F.col("lon"), F.col("lat"), F.col("o_lon"), F.col("o_lat"))
-    d = p.join(b, "name").where("corridor_id <> other").groupBy("name", "corridor_id").agg(F.min(far).alias("gap"))  # combined on the map side
-    return d.groupBy("name").agg(F.count("*").alias("roads"), geo.half_up(F.max("gap")).alias("widest_gap"))
+_BEARING = "degrees(atan2(sin(radians({c} - {a}))*cos(radians({d})), cos(radians({b}))*sin(radians({d})) - sin(radians({b}))*cos(radians({d}))*cos(radians({c} - {a}))))"
+_BEAR = lambda x, y: f"(({_BEARING.format(a=f'({LON}e0)', b=f'({LAT}e0)', c=x, d=y)}) + 360) % 360"
+_FAR = lambda x, y: sql_haversine(f"({LON}e0)", f"({LAT}e0)", x, y)
 
 
-@query(f"""+ o AS MATERIALIZED (SELECT line_id, row_number() OVER (PARTITION BY line_id ORDER BY nth, xu, yu) AS k, xu/1e6 AS lon, yu/1e6 AS lat FROM vertices), v AS (SELECT line_id, min({{'m': {sql_haversine(f'({LON}e0)', f'({LAT}e0)', 'lon', 'lat')}, 'x': lon, 'y': lat}}) AS b FROM o GROUP BY line_id)
-SELECT line_id, CASE WHEN line_id % 30 = 1 THEN 'distance' WHEN line_id % 30 = 2 THEN 'point off the line' ELSE 'verified' END AS state FROM v""", "vertices")
+@query(
+    f"""+ {_O}, {_G}, nv AS (SELECT line_id, min({{'m': {_FAR('lon', 'lat')}, 'x': lon, 'y': lat}}) AS b FROM o GROUP BY line_id),
+st AS MATERIALIZED (SELECT line_id, b.m + (line_id % 7)*0.3e0 AS metres, b.x AS near_lon, b.y + (line_id % 5)*0.000004e0 AS near_lat, CASE WHEN line_id % 13 <> 0 THEN {_BEAR('b.x', 'b.y')} + (line_id % 11 - 5)*0.001e0 END AS bearing FROM nv),
+f1 AS ({sql_foot(f'({LON}e0)', f'({LAT}e0)', 'line_id, ax + (bx-ax)*t AS x, ay + (by_-ay)*t AS y', 'g')}), c1 AS (SELECT line_id, x, y FROM f1 UNION ALL SELECT line_id, lon, lat FROM o), n1 AS (SELECT line_id, min({{'m': {_FAR('x', 'y')}, 'x': x, 'y': y}}) AS b FROM c1 GROUP BY line_id),
+g2 AS (SELECT g.*, near_lon, near_lat FROM g JOIN st USING (line_id)), f2 AS ({sql_foot('near_lon', 'near_lat', 'line_id, near_lon, near_lat, ax + (bx-ax)*t AS x, ay + (by_-ay)*t AS y', 'g2')}),
+c2 AS (SELECT * FROM f2 UNION ALL SELECT o.line_id, near_lon, near_lat, lon, lat FROM o JOIN st USING (line_id)), n2 AS (SELECT line_id, min({sql_haversine('near_lon', 'near_lat', 'x', 'y')}) AS off FROM c2 GROUP BY line_id),
+j AS (SELECT st.*, n1.b.m AS measured, off, {_BEAR('n1.b.x', 'n1.b.y')} AS again FROM st JOIN n1 USING (line_id) JOIN n2 USING (line_id)),
+k AS (SELECT *, abs(bearing - again) % 360 AS turn FROM j)
+SELECT line_id, CASE WHEN abs(measured - metres) > 1.000001e0 THEN 'distance' WHEN off > 1.000001e0 THEN 'point off the line' WHEN least(turn, 360 - turn) > degrees(atan2(4e0, greatest(measured, 1e0))) THEN 'direction' ELSE 'verified' END AS state FROM k""",
+    "vertices",
+)
 def context_verification(spark, sf_dir, vertices):
-    """Stored contexts (distance and nearest vertex) against the lines: distance within 1 m, point within 1 m of the line."""
+    """Stored search contexts against lines measured anew. What is stored comes from the lines' vertices alone, so many differ."""
     o = lines.ordered(vertices)
     far = geo.haversine(F.lit(LON), F.lit(LAT), F.col("lon"), F.col("lat"))
     near = o.groupBy("line_id").agg(F.min(F.struct(far.alias("m"), "lon", "lat")).alias("b"))
-    k = F.col("line_id") % 30
-    stored = near.select("line_id", (F.col("b.m") + F.when(k == 1, 5.0).otherwise(0.2)).alias("metres"), F.col("b.lon").alias("lon"), (F.col("b.lat") + F.when(k == 2, 0.001).otherwise(0.0)).alias("lat"))
-    again = near.select("line_id", F.col("b.m").alias("measured"), F.col("b.lon").alias("v_lon"), F.col("b.lat").alias("v_lat"))
-    j = stored.join(again, "line_id")
-    off = geo.haversine(F.col("lon"), F.col("lat"), F.col("v_lon"), F.col("v_lat"))
-    return j.select("line_id", F.when(F.abs(F.col("metres") - F.col("measured")) > 1, "distance").when(off > 1, "point off the line").otherwise("verified").alias("state"))
+    k = F.col("line_id")
+    stored = near.select(
+        "line_id", F.lit(LON).alias("c_lon"), F.lit(LAT).alias("c_lat"), (F.col("b.m") + (k % 7) * 0.3).alias("metres"), F.col("b.lon").alias("near_lon"), (F.col("b.lat") + (k % 5) * 0.000004).alias("near_lat"),
+        F.when(k % 13 != 0, geo.bearing(F.lit(LON), F.lit(LAT), F.col("b.lon"), F.col("b.lat")) + (k % 11 - 5) * 0.001).alias("bearing"),
+    )
+    return lines.verified_contexts(stored, o).select("line_id", "state")
 
 
 @query("""+ c AS (SELECT class_code, count(*) AS n, CAST(sum(corridor_id) AS BIGINT) AS ids FROM corridors GROUP BY class_code) SELECT sha256(string_agg(concat('{"class":', CAST(class_code AS VARCHAR), ',"ids":', CAST(ids AS VARCHAR), ',"n":', CAST(n AS VARCHAR), '}'), '' ORDER BY class_code)) AS fingerprint, count(*) AS parts FROM c""", "corridors")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fieldsift.registry import query
+from fieldsift.first_queries import query
 
 def fnv1a(text: Column) -> Column:
     """32-bit FNV-1a over the UTF-16 units of a text."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fieldsift.functions import geo
 from fieldsift.operators import relations as rel
-from fieldsift.registry import _DIST, _NEAR, MILES, SCORED, query, search, sql_cells, sql_haversine
+from fieldsift.first_queries import _DIST, _NEAR, MILES, SCORED, query, search, sql_cells, sql_haversine
 from fieldsift.sources.cells import feature_json
 from fieldsift.streaming import tracks
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldsift.functions import geo, kernels
 from fieldsift.operators import habitat as hab
 from fieldsift.operators import lines
-from fieldsift.registry import rows_only
+from fieldsift.first_queries import rows_only
 
 DISTANCES = [250, 500, 1000]
 

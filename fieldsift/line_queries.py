@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldsift.functions import geo
 from fieldsift.operators import lines
-from fieldsift.registry import LAT, LON, query, sql_haversine
+from fieldsift.first_queries import LAT, LON, query, sql_haversine
 
 #: Vertices of the lines in order, their segments, and both with running lengths, as oracle SQL.
 _O = "o AS MATERIALIZED (SELECT line_id, row_number() OVER (PARTITION BY line_id ORDER BY nth, xu, yu) AS k, xu, yu, xu/1e6 AS lon, yu/1e6 AS lat FROM vertices)"

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldsift.functions import geo
-from fieldsift.registry import query, sql_haversine
+from fieldsift.first_queries import query, sql_haversine
 
 #: Taxonomic groups by kind, the lenses over them, radii of the cumulative buckets, the accuracy of a precise point.
 GROUPS = ["birds", "mammals", "reptiles", "amphibians", "fish", "insects", "arachnids", "plants", "fungi"]
@@ -197,7 +197,7 @@ def place_keys(spark, sf_dir):
     return p.select(F.col("p_partkey").alias("id"), place_text(name).alias("key"))
 
 
-@query(f"""+ p AS (SELECT record_id, corridor % 40 AS line_id, lon, lat FROM records WHERE {_PRECISION} = 'PRECISE' QUALIFY row_number() OVER (PARTITION BY corridor % 40 ORDER BY record_id) <= 800), o AS (SELECT line_id, row_number() OVER (PARTITION BY line_id ORDER BY nth, xu, yu) AS k, xu/1e6 AS x, yu/1e6 AS y FROM vertices WHERE line_id < 40),
+@query(f"""+ p AS (SELECT record_id, corridor AS line_id, lon, lat FROM records WHERE {_PRECISION} = 'PRECISE' QUALIFY row_number() OVER (PARTITION BY corridor ORDER BY record_id) <= 800), o AS (SELECT line_id, row_number() OVER (PARTITION BY line_id ORDER BY nth, xu, yu) AS k, xu/1e6 AS x, yu/1e6 AS y FROM vertices),
 g AS (SELECT * FROM (SELECT line_id, x AS ax, y AS ay, lead(x) OVER (PARTITION BY line_id ORDER BY k) AS bx, lead(y) OVER (PARTITION BY line_id ORDER BY k) AS by_ FROM o) WHERE bx IS NOT NULL),
 s AS (SELECT record_id, (bx-ax)*cos(radians(lat))*111320e0 AS dx, (by_-ay)*110540e0 AS dy, (lon-ax)*cos(radians(lat))*111320e0 AS px, (lat-ay)*110540e0 AS py FROM p JOIN g USING (line_id)),
 t AS (SELECT *, CASE WHEN dx*dx + dy*dy = 0 THEN 0e0 ELSE greatest(0e0, least(1e0, (px*dx + py*dy)/(dx*dx + dy*dy))) END AS t FROM s)
@@ -205,8 +205,8 @@ SELECT record_id, floor(min(sqrt(pow(px-t*dx, 2) + pow(py-t*dy, 2)))+0.5) AS met
 def occurrence_distance(spark, sf_dir, records, vertices):
     from fieldsift.operators import lines
 
-    own = privacy(records).where("precision = 'PRECISE'").withColumn("line_id", F.col("corridor") % 40)
+    own = privacy(records).where("precision = 'PRECISE'").withColumn("line_id", F.col("corridor"))
     few = own.withColumn("at", F.row_number().over(W.partitionBy("line_id").orderBy("record_id"))).where("at <= 800")  # the report's own cap
     _, metres = lines.foot(F.col("lon"), F.col("lat"), *(F.col(c) for c in ("ax", "ay", "bx", "by")))
-    pairs = few.join(lines.segments(lines.ordered(vertices.where("line_id < 40"))), "line_id")
+    pairs = few.join(lines.segments(lines.ordered(vertices)), "line_id")
     return pairs.groupBy("record_id").agg(geo.half_up(F.min(metres), 0).alias("metres"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from fieldsift.functions import geo
 from fieldsift.operators import relations as rel
 from fieldsift.road_queries import GAPS, name_gaps
-from fieldsift.registry import query, sql_cells, sql_haversine
+from fieldsift.first_queries import query, sql_cells, sql_haversine
 from fieldsift.sources.tables import as_table
 
 _MEMBERS = f"m AS MATERIALIZED (SELECT DISTINCT name, x, y FROM ({sql_cells('corridors')}))"
@@ -56,24 +56,24 @@ def match_planes(spark, sf_dir):
     return j.groupBy(match.alias("match")).agg(F.count("*").alias("n"), F.min("corridor_id").alias("first_id"))
 
 
-@query("""WITH a AS (SELECT l_orderkey AS id, array_to_string(list_sort(list(DISTINCT l_suppkey % 4)), ',') AS k, sum(l_quantity) AS m FROM lineitem GROUP BY l_orderkey), s AS (SELECT * FROM a WHERE id % 7 = 2), u AS (SELECT * FROM a WHERE id % 11 = 3)
+@query("""WITH s AS (SELECT l_orderkey AS id, list_sort(list(DISTINCT l_partkey % 60)) AS k, sum(l_quantity) AS m FROM lineitem GROUP BY l_orderkey), u AS (SELECT l_orderkey AS id, list_sort(list(DISTINCT l_partkey % 60)) AS k, sum(l_quantity) AS m FROM lineitem WHERE l_linenumber <= 5 GROUP BY l_orderkey)
 SELECT s.id AS stored, count(u.id) AS matches, CASE WHEN count(u.id) = 0 THEN 'no unit' WHEN count(u.id) > 1 THEN 'several units' WHEN abs(min(u.m) - s.m) > 1 THEN 'drift' ELSE 'verified' END AS state FROM s LEFT JOIN u USING (k) GROUP BY s.id, s.m""")
 def reconstruction(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    key = F.array_join(F.array_sort(F.collect_set((F.col("l_suppkey") % 4).cast("string"))), ",")
-    units = rows.groupBy(F.col("l_orderkey").alias("id")).agg(F.sha2(key, 256).alias("k"), F.sum("l_quantity").alias("m"))
+    key = F.array_join(F.array_sort(F.collect_set((F.col("l_partkey") % 60).cast("string"))), ",")
+    units = lambda some: some.groupBy(F.col("l_orderkey").alias("id")).agg(F.sha2(key, 256).alias("k"), F.sum("l_quantity").alias("m"))
     # The units are counted per key before the join, so that a common key makes no pairs.
-    known = units.where("id % 11 = 3").groupBy("k").agg(F.count("*").alias("matches"), F.min("m").alias("other"))
-    j = units.where("id % 7 = 2").join(known, "k", "left")
+    known = units(rows.where("l_linenumber <= 5")).groupBy("k").agg(F.count("*").alias("matches"), F.min("m").alias("other"))
+    j = units(rows).join(known, "k", "left")
     n = F.coalesce("matches", F.lit(0).cast("long"))
     state = F.when(n == 0, "no unit").when(n > 1, "several units").when(F.abs(F.col("other") - F.col("m")) > 1, "drift").otherwise("verified")
     return j.select(F.col("id").alias("stored"), n.alias("matches"), state.alias("state"))
 
 
-@query("""+ k AS (SELECT o_orderkey AS corridor_id, CASE o_custkey % 3 WHEN 0 THEN 'PROMOTED' WHEN 1 THEN 'DISMISSED' ELSE 'other' END AS mark FROM orders WHERE o_orderkey % 10 = 1)
+@query("""+ k AS (SELECT o_orderkey AS corridor_id, CASE o_custkey % 3 WHEN 0 THEN 'PROMOTED' WHEN 1 THEN 'DISMISSED' ELSE 'other' END AS mark FROM orders)
 SELECT corridor_id, CASE WHEN mark IN ('PROMOTED', 'DISMISSED') THEN mark ELSE 'DISCOVERED' END AS status FROM corridors LEFT JOIN k USING (corridor_id)""", "corridors")
 def marks_overlay(spark, sf_dir, corridors):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 10 = 1")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     mark = F.when(F.col("o_custkey") % 3 == 0, "PROMOTED").when(F.col("o_custkey") % 3 == 1, "DISMISSED")
     return corridors.join(o.select(F.col("o_orderkey").alias("corridor_id"), mark.alias("mark")), "corridor_id", "left").select("corridor_id", F.coalesce("mark", F.lit("DISCOVERED")).alias("status"))
 
@@ -227,11 +227,11 @@ def growth_curve(spark, sf_dir, corridors):
     return g.select(F.col("first_id").alias("promotion"), F.sum("cells").over(upto).alias("cells"), F.sum("bytes").over(upto).alias("bytes"))
 
 
-@query(f"""+ r AS (SELECT DISTINCT x, y FROM ({sql_cells('corridors')}) WHERE corridor_id % 50 = 1), p AS (SELECT DISTINCT x, y, k.region FROM r, (VALUES ('west'), ('east'), ('all')) k(region) WHERE (k.region = 'west' AND x < -608) OR (k.region = 'east' AND x >= -609) OR (k.region = 'all' AND (x + y) % 5 <> 0)),
+@query(f"""+ r AS (SELECT DISTINCT x, y FROM ({sql_cells('corridors')})), p AS (SELECT DISTINCT x, y, k.region FROM r, (VALUES ('west'), ('east'), ('all')) k(region) WHERE (k.region = 'west' AND x < -608) OR (k.region = 'east' AND x >= -609) OR (k.region = 'all' AND (x + y) % 5 <> 0)),
 n AS (SELECT k.region, count(*) AS required, count(p.x) AS published FROM r CROSS JOIN (VALUES ('west'), ('east'), ('all')) k(region) LEFT JOIN p ON p.x = r.x AND p.y = r.y AND p.region = k.region GROUP BY k.region)
 SELECT region, required, published, CASE WHEN published = required THEN 'complete' ELSE 'partial' END AS state, row_number() OVER (ORDER BY published DESC, region) = 1 AS chosen FROM n""", "corridors")
 def raw_availability(spark, sf_dir, corridors):
-    r = rel.member_cells(corridors.where("corridor_id % 50 = 1")).select("x", "y").distinct()
+    r = rel.member_cells(corridors).select("x", "y").distinct()
     regions = F.array(F.lit("west"), F.lit("east"), F.lit("all"))
     x = r.withColumn("region", F.explode(regions))
     held = F.when(F.col("region") == "west", F.col("x") < -608).when(F.col("region") == "east", F.col("x") >= -609).otherwise((F.col("x") + F.col("y")) % 5 != 0)

@@ -1,378 +1,17 @@
-"""Registered queries of the corridor operators and their oracle SQL."""
-
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
-
-from fieldsift.functions import geo
-from fieldsift.operators import relations as rel
-from fieldsift.plans.views import view, with_views
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-#: The search that the queries run: centre and radius in miles.
-LON, LAT, MILES = -121.5, 45.25, 25.0
-BOX = geo.radius_bounds(LON, LAT, MILES)
-
-_HAVERSINE = "(CASE WHEN ({a}) + ({b}) + ({c}) + ({d}) IS NOT NULL THEN 12742000.0e0 * asin(least(1e0, sqrt(pow(sin((radians({d}) - radians({b}))/2), 2) + cos(radians({b})) * cos(radians({d})) * pow(sin(radians({c} - {a})/2), 2)))) END)"
-
-
-def sql_haversine(a: str, b: str, c: str, d: str) -> str:
-    return _HAVERSINE.format(a=a, b=b, c=c, d=d)
-
-
-def query(oracle: str, *views: str):
-    """Registers a function (spark, sf_dir, *views' DataFrames) with its oracle over the same views."""
-
-    def register(f):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(spark, sf_dir, *(view(spark, sf_dir, v) for v in views))
-
-        QUERIES[f.__name__] = run
-        ORACLES[f.__name__] = with_views(oracle, *views) if views else oracle
-        return f
-
-    return register
-
-
-def rows_only(*views: str):
-    """Registers a query that SQL can't say here; tests hold it to brute force."""
-
-    def register(f):
-        query("", *views)(f)
-        del ORACLES[f.__name__]
-        return f
-
-    return register
-
-
-def interest(c: DataFrame) -> DataFrame:
-    """Interest score of corridors: mean of the covered components, by weight; missing components are left out."""
-    wet = F.when(F.col("coverage") != "UNKNOWN", geo.proximity(F.col("wetland_m"), 1000.0))
-    cross = F.when(F.col("coverage").isin("FULL", "PARTIAL"), geo.saturate(F.col("crossings") / (F.col("length_m") / geo.MILE), 2.0))
-    eco = geo.saturate(F.coalesce("eco_count", F.lit(1)) - 1.0, 1.5)
-    parts = [(0.45, wet), (0.35, cross), (0.2, eco)]
-    total = sum(F.coalesce(w * x, F.lit(0.0)) for w, x in parts)
-    weight = sum(F.when(x.isNotNull(), F.lit(w)).otherwise(F.lit(0.0)) for w, x in parts)
-    return c.withColumn("evidence", weight).withColumn("score", geo.half_up(100 * total / weight, 3))
-
-
-_WET = "CASE WHEN coverage <> 'UNKNOWN' THEN coalesce(greatest(0e0, 1 - wetland_m/1000e0), 0e0) END"
-_CROSS = "CASE WHEN coverage IN ('FULL','PARTIAL') THEN (crossings/(length_m/1609.344e0)) / ((crossings/(length_m/1609.344e0)) + 2e0) END"
-_ECO = "(coalesce(eco_count,1) - 1e0) / ((coalesce(eco_count,1) - 1e0) + 1.5e0)"
-SCORED = f"""SELECT *, (CASE WHEN w IS NULL THEN 0e0 ELSE 0.45e0 END + CASE WHEN x IS NULL THEN 0e0 ELSE 0.35e0 END + 0.2e0) AS evidence,
- floor(100 * (coalesce(0.45e0*w,0e0) + coalesce(0.35e0*x,0e0) + 0.2e0*e) / (CASE WHEN w IS NULL THEN 0e0 ELSE 0.45e0 END + CASE WHEN x IS NULL THEN 0e0 ELSE 0.35e0 END + 0.2e0) * 1000 + 0.5)/1000 AS score
- FROM (SELECT *, {_WET} AS w, {_CROSS} AS x, {_ECO} AS e FROM corridors)"""
-_NEAR = f"west <= {BOX[2]!r} AND east >= {BOX[0]!r} AND south <= {BOX[3]!r} AND north >= {BOX[1]!r}"
-_DIST = sql_haversine(f"({LON}e0)", f"({LAT}e0)", "lon", "lat")
-
-
-def search(corridors: DataFrame) -> DataFrame:
-    """Corridors within the radius, by box and then by true distance, with distance and score."""
-    near = corridors.where(geo.overlaps(*rel.bounds(), BOX)).withColumn("metres", geo.haversine(F.lit(LON), F.lit(LAT), F.col("lon"), F.col("lat")))
-    return interest(near.where(F.col("metres") <= MILES * geo.MILE))
-
-
-@query(f"""+ s AS ({SCORED}) SELECT corridor_id, name, floor({_DIST}*1000+0.5)/1000 AS metres, score FROM s WHERE {_NEAR} AND {_DIST} <= {MILES * geo.MILE!r}
-ORDER BY score DESC NULLS LAST, name, corridor_id LIMIT 5""", "corridors")
-def radius_search(spark, sf_dir, corridors):
-    top = search(corridors).orderBy(F.desc_nulls_last("score"), "name", "corridor_id").limit(5)
-    return top.select("corridor_id", "name", geo.half_up(F.col("metres")).alias("metres"), "score")
-
-
-@query(f"+ s AS ({SCORED}) SELECT corridor_id, floor(evidence*1000+0.5)/1000 AS evidence, score, CASE WHEN score >= 60 THEN 'high' WHEN score >= 30 THEN 'medium' ELSE 'low' END AS label FROM s", "corridors")
-def interest_score(spark, sf_dir, corridors):
-    label = F.when(F.col("score") >= 60, "high").when(F.col("score") >= 30, "medium").otherwise("low")
-    return interest(corridors).select("corridor_id", geo.half_up(F.col("evidence")).alias("evidence"), "score", label.alias("label"))
-
-
-@query(f"""+ s AS ({SCORED}) SELECT corridor_id, floor((score - least(30e0, {_DIST}/1609.344e0*0.4e0))*1000+0.5)/1000 AS explore,
-CAST(row_number() OVER (ORDER BY score - least(30e0, {_DIST}/1609.344e0*0.4e0) DESC NULLS LAST, corridor_id) AS INTEGER) AS place FROM s WHERE {_NEAR} ORDER BY place LIMIT 100""", "corridors")
-def exploration_order(spark, sf_dir, corridors):
-    near = interest(corridors.where(geo.overlaps(*rel.bounds(), BOX)))
-    miles = geo.haversine(F.lit(LON), F.lit(LAT), F.col("lon"), F.col("lat")) / geo.MILE
-    top = near.withColumn("raw", F.col("score") - F.least(F.lit(30.0), miles * 0.4)).orderBy(F.desc_nulls_last("raw"), "corridor_id").limit(100)
-    place = F.row_number().over(W.orderBy(F.desc_nulls_last("raw"), "corridor_id"))  # one hundred rows: the feature's own limit
-    return top.select("corridor_id", geo.half_up(F.col("raw")).alias("explore"), place.alias("place"))
-
-
-@query(f"SELECT corridor_id, floor(b*1000+0.5)/1000 AS bearing, ['N','NE','E','SE','S','SW','W','NW'][CAST(floor(b/45+0.5) AS INTEGER) % 8 + 1] AS compass FROM (SELECT corridor_id, CASE WHEN a < 0 THEN a + 360 ELSE a END AS b FROM (SELECT corridor_id, degrees(atan2(sin(radians(lon - ({LON}e0)))*cos(radians(lat)), cos(radians({LAT}e0))*sin(radians(lat)) - sin(radians({LAT}e0))*cos(radians(lat))*cos(radians(lon - ({LON}e0))))) AS a FROM corridors))", "corridors")
-def bearing_compass(spark, sf_dir, corridors):
-    b = geo.bearing(F.lit(LON), F.lit(LAT), F.col("lon"), F.col("lat"))
-    return corridors.select("corridor_id", geo.half_up(b).alias("bearing"), geo.compass(b).alias("compass"))
-
-
-_CELLS = "SELECT *, unnest(range(CAST(floor(west/0.2e0) AS BIGINT), CAST(floor(east/0.2e0) AS BIGINT)+1)) AS x FROM {t}"
-_CELLS2 = "SELECT *, unnest(range(CAST(floor(south/0.2e0) AS BIGINT), CAST(floor(north/0.2e0) AS BIGINT)+1)) AS y FROM ({c})"
-
-
-def sql_cells(table: str) -> str:
-    return _CELLS2.format(c=_CELLS.format(t=table))
-
-
-@query(f"+ m AS ({sql_cells('corridors')}) SELECT x, y, count(*) AS n, min(corridor_id) AS first_id FROM m GROUP BY ALL", "corridors")
-def cell_membership(spark, sf_dir, corridors):
-    return rel.member_cells(corridors).groupBy("x", "y").agg(F.count("*").alias("n"), F.min("corridor_id").alias("first_id"))
-
-
-@query(f"""+ m AS ({sql_cells('corridors')}), g AS (SELECT x, y FROM range(-620, -594) t(x), range(220, 233) u(y))
-SELECT g.x, g.y, CASE WHEN count(m.x) > 0 THEN 'present' ELSE 'empty' END AS state, count(m.x) AS row_count FROM g LEFT JOIN m USING (x, y) GROUP BY ALL""", "corridors")
-def cell_manifest(spark, sf_dir, corridors):
-    xs, ys = (spark.range(a, b).withColumnRenamed("id", c) for a, b, c in ((-620, -594, "x"), (220, 233, "y")))
-    grid = xs.withColumn("y", F.explode(F.sequence(F.lit(220).cast("long"), F.lit(232).cast("long"))))
-    return rel.manifest(grid, rel.member_cells(corridors))
-
-
-@query(f"+ m AS ({sql_cells('corridors')}) SELECT corridor_id, x, y FROM m QUALIFY row_number() OVER (PARTITION BY corridor_id ORDER BY x, y) = 1", "corridors")
-def replica_dedupe(spark, sf_dir, corridors):
-    return rel.dedupe_replicas(rel.member_cells(corridors).select("corridor_id", "x", "y"), ["corridor_id"], ["x", "y"])
-
-
-@query("""SELECT corridor_id, count(*) AS habitats, min(habitat_id) AS first_habitat FROM corridors c JOIN habitats h ON
- c.west - 1100e0/(111320e0*greatest(cos(radians((c.south+c.north)/2)),0.1e0)) <= h.east AND c.east + 1100e0/(111320e0*greatest(cos(radians((c.south+c.north)/2)),0.1e0)) >= h.west
- AND c.south - 1100e0/110000e0 <= h.north AND c.north + 1100e0/110000e0 >= h.south GROUP BY ALL""", "corridors", "habitats")
-def padded_box_join(spark, sf_dir, corridors, habitats):
-    pairs = rel.pad_join(corridors, habitats, "corridor_id", "habitat_id", 1000.0)
-    return pairs.groupBy("corridor_id").agg(F.count("*").alias("habitats"), F.min("habitat_id").alias("first_habitat"))
-
-
-@query(f"""SELECT corridor_id, place_id, floor(m*1000+0.5)/1000 AS metres FROM (SELECT *, min(m) OVER (PARTITION BY corridor_id) AS least FROM (SELECT corridor_id, place_id, p.name, state, {sql_haversine('c.lon', 'c.lat', 'p.lon', 'p.lat')} AS m FROM corridors c JOIN places p
- ON abs(c.lat - p.lat) < 0.3 AND abs(c.lon - p.lon) < 0.4) WHERE m <= 16093.44) WHERE m <= least + 1 QUALIFY row_number() OVER (PARTITION BY corridor_id ORDER BY name, state, place_id) = 1""", "corridors", "places")
-def nearest_place(spark, sf_dir, corridors, places):
-    near = rel.nearest(corridors, places, "corridor_id", "place_id", 10 * geo.MILE, tie_order=("name", "state"), tie=1.0)
-    return near.withColumn("metres", geo.half_up(F.col("metres")))
-
-
-@query("""SELECT eligibility, reason, count(*) AS n FROM (SELECT CASE WHEN class_code < 7 THEN 'ELIGIBLE' WHEN class_code < 11 THEN 'SEPARATE' ELSE 'EXCLUDED' END AS eligibility,
- CASE WHEN class_code < 7 THEN NULL WHEN class_code < 11 THEN 'other use' WHEN class_code < 14 THEN 'not a road' ELSE 'unknown class' END AS reason FROM corridors) GROUP BY ALL""", "corridors")
-def eligibility_histogram(spark, sf_dir, corridors):
-    k = F.col("class_code")
-    state = F.when(k < 7, "ELIGIBLE").when(k < 11, "SEPARATE").otherwise("EXCLUDED")
-    reason = F.when(k < 7, None).when(k < 11, "other use").when(k < 14, "not a road").otherwise("unknown class")
-    return corridors.groupBy(state.alias("eligibility"), reason.alias("reason")).agg(F.count("*").alias("n"))
-
-
-@query("SELECT corridor_id, length_m FROM corridors WHERE length_m BETWEEN 3000 AND 9000 AND class_code IN (1,2,3,4) AND wetland_m <= 200 AND crossings >= 2 AND eco_count >= 1", "corridors")
-def filter_results(spark, sf_dir, corridors):
-    return corridors.where(F.col("length_m").between(3000, 9000) & F.col("class_code").isin(1, 2, 3, 4) & (F.col("wetland_m") <= 200) & (F.col("crossings") >= 2) & (F.col("eco_count") >= 1)).select("corridor_id", "length_m")
-
-
-@query("SELECT corridor_id FROM corridors WHERE coverage <> 'UNKNOWN' AND (wetland_m IS NULL OR wetland_m > 200)", "corridors")
-def filter_none_nearby(spark, sf_dir, corridors):
-    return corridors.where((F.col("coverage") != "UNKNOWN") & (F.col("wetland_m").isNull() | (F.col("wetland_m") > 200))).select("corridor_id")
-
-
-@query("SELECT corridor_id, wetland_m FROM corridors ORDER BY wetland_m ASC NULLS LAST, name, corridor_id LIMIT 400", "corridors")
-def sort_nulls_last(spark, sf_dir, corridors):
-    return corridors.orderBy(F.asc_nulls_last("wetland_m"), "name", "corridor_id").limit(400).select("corridor_id", "wetland_m")
-
-
-@query(f"SELECT corridor_id, CASE WHEN west >= {BOX[0]!r} AND east <= {BOX[2]!r} AND south >= {BOX[1]!r} AND north <= {BOX[3]!r} THEN 'FULL' WHEN {_NEAR} THEN 'PARTIAL' ELSE 'NONE' END AS in_box FROM corridors", "corridors")
-def bounds_coverage(spark, sf_dir, corridors):
-    b = rel.bounds()
-    return corridors.select("corridor_id", F.when(geo.inside(*b, BOX), "FULL").when(geo.overlaps(*b, BOX), "PARTIAL").otherwise("NONE").alias("in_box"))
-
-
-@query("""SELECT name, ['FULL','PARTIAL','NONE','UNKNOWN'][CAST(max(CASE coverage WHEN 'FULL' THEN 1 WHEN 'PARTIAL' THEN 2 WHEN 'NONE' THEN 3 ELSE 4 END) AS INTEGER)] AS worst,
- count(*) FILTER (coverage = 'FULL') AS n_full, count(*) AS n FROM corridors GROUP BY name""", "corridors")
-def worst_coverage(spark, sf_dir, corridors):
-    states = ["FULL", "PARTIAL", "NONE", "UNKNOWN"]
-    rank = F.array_position(F.array(*map(F.lit, states)), F.col("coverage")).cast("int")
-    out = corridors.groupBy("name").agg(F.max(rank).alias("r"), F.count_if(F.col("coverage") == "FULL").alias("n_full"), F.count("*").alias("n"))
-    return out.select("name", F.element_at(F.array(*map(F.lit, states)), F.col("r")).alias("worst"), "n_full", "n")
-
-
-_COPIES = "SELECT CASE WHEN habitat_id % 23 = 0 THEN NULL ELSE habitat_id % 701 END AS source_id, concat('package ', CAST(habitat_id % 5 AS VARCHAR(20))) AS package, CASE WHEN habitat_id % 3 = 0 THEN code ELSE 'same' END AS signature, habitat_id FROM {t}"
-
-
-@query(f"+ r AS ({_COPIES.format(t='habitats')}), g AS (SELECT source_id, count(*) AS n, count(DISTINCT signature) AS k, min(habitat_id) AS f FROM (SELECT *, habitat_id % 5 AS p FROM r) WHERE source_id IS NOT NULL GROUP BY source_id) SELECT habitat_id, CASE WHEN r.source_id IS NULL THEN 'blank' WHEN n = 1 THEN 'unique' WHEN k > 1 THEN 'ambiguous' WHEN row_number() OVER (PARTITION BY r.source_id ORDER BY package, habitat_id) = 1 THEN 'canonical' ELSE 'duplicate' END AS identity FROM r LEFT JOIN g ON r.source_id = g.source_id", "habitats")
-def identity_resolution(spark, sf_dir, habitats):
-    habitats.createOrReplaceTempView("fieldsift_habitats")
-    rows = spark.sql(_COPIES.format(t="fieldsift_habitats").replace("VARCHAR(20)", "STRING"))
-    return rel.resolve_identity(rows, "source_id", "package", "signature", ["package", "habitat_id"]).select("habitat_id", "identity")
-
-
-@query(f"+ r AS (SELECT DISTINCT source_id, package FROM ({_COPIES.format(t='habitats')}) WHERE source_id IS NOT NULL) SELECT a.package AS package_a, b.package AS package_b, count(*) AS shared FROM r a JOIN r b ON a.source_id = b.source_id AND a.package < b.package GROUP BY ALL", "habitats")
-def border_pairs(spark, sf_dir, habitats):
-    habitats.createOrReplaceTempView("fieldsift_habitats")
-    rows = spark.sql(_COPIES.format(t="fieldsift_habitats").replace("VARCHAR(20)", "STRING")).where("source_id IS NOT NULL")
-    sets = rows.groupBy("source_id").agg(F.array_sort(F.collect_set("package")).alias("p"))  # packages are few
-    pairs = sets.select(F.posexplode("p").alias("i", "package_a"), "p").select("package_a", F.explode(F.slice("p", F.col("i") + 2, F.greatest(F.size("p") - F.col("i") - 1, F.lit(0)))).alias("package_b"))
-    return pairs.groupBy("package_a", "package_b").agg(F.count("*").alias("shared"))
-
-
-@query(f"""+ e AS (SELECT a.corridor_id AS a, b.corridor_id AS b FROM corridors a JOIN corridors b ON a.name = b.name AND abs(a.lat-b.lat) < 0.09 AND abs(a.lon-b.lon) < 0.12 WHERE {sql_haversine('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 5000),
- r(n, c) AS (SELECT corridor_id, corridor_id FROM corridors UNION SELECT e.a, r.c FROM r JOIN e ON e.b = r.n), l AS (SELECT n AS corridor_id, min(c) AS component FROM r GROUP BY n) SELECT * FROM l""", "corridors")
-def name_components(spark, sf_dir, corridors):
-    edges = rel.endpoint_edges(corridors, "corridor_id", "name", 5000.0)
-    return rel.connected_components(corridors, "corridor_id", edges)
-
-
-@query("""SELECT name, spelling AS display FROM (SELECT name, spelling, count(*) AS n FROM (SELECT name, CASE WHEN corridor_id % 3 = 0 THEN upper(name) ELSE name END AS spelling FROM corridors) GROUP BY ALL)
- QUALIFY row_number() OVER (PARTITION BY name ORDER BY n DESC, spelling) = 1""", "corridors")
-def display_name(spark, sf_dir, corridors):
-    spelling = F.when(F.col("corridor_id") % 3 == 0, F.upper("name")).otherwise(F.col("name"))
-    counted = corridors.groupBy("name", spelling.alias("spelling")).agg(F.count("*").alias("n"))
-    return counted.groupBy("name").agg(F.min(F.struct((-F.col("n")).alias("n"), "spelling")).alias("best")).select("name", F.col("best.spelling").alias("display"))
-
-
-@query("""SELECT name, array_to_string(list_transform(list_sort(list((-n, label)))[1:5], lambda x: concat(x[2], ' ', CAST(-x[1] AS VARCHAR))), ' | ') AS summary FROM
- (SELECT concat('size ', CAST(size % 10 AS VARCHAR)) AS name, label, count(*) AS n FROM habitats GROUP BY ALL) GROUP BY name""", "habitats")
-def type_summary(spark, sf_dir, habitats):
-    counted = habitats.groupBy(F.concat(F.lit("size "), (F.col("size") % 10).cast("string")).alias("name"), "label").agg(F.count("*").alias("n"))
-    top = counted.withColumn("at", F.row_number().over(W.partitionBy("name").orderBy(F.desc("n"), "label"))).where("at <= 5")
-    listed = top.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("at", F.concat("label", F.lit(" "), F.col("n").cast("string")).alias("s")))).alias("x"))
-    return listed.select("name", F.array_join(F.transform("x", lambda v: v["s"]), " | ").alias("summary"))
-
-
-@query("SELECT code, array_to_string(list_sort(list(DISTINCT label))[1:40], ' | ') AS names FROM habitats GROUP BY code", "habitats")
-def named_list(spark, sf_dir, habitats):
-    return habitats.groupBy("code").agg(F.array_join(F.slice(F.array_sort(F.collect_set("label")), 1, 40), " | ").alias("names"))
-
-
-@query("""SELECT c.name, d.distance, CAST(count(c.wetland_m) FILTER (c.wetland_m <= d.distance) AS BIGINT) AS near, coalesce(sum(c.length_m) FILTER (c.wetland_m <= d.distance), 0) AS metres
- FROM corridors c, (VALUES (250),(500),(1000)) d(distance) GROUP BY ALL""", "corridors")
-def distance_rollup(spark, sf_dir, corridors):
-    out = corridors.withColumn("distance", F.explode(F.array(F.lit(250), F.lit(500), F.lit(1000))))
-    hit = F.col("wetland_m") <= F.col("distance")
-    return out.groupBy("name", "distance").agg(F.count_if(hit).alias("near"), F.coalesce(F.sum(F.when(hit, F.col("length_m"))), F.lit(0.0)).alias("metres"))
-
-
-@query("SELECT name, class_code, count(*) AS n, count(DISTINCT coverage) AS kinds FROM corridors GROUP BY ALL HAVING count(DISTINCT coverage) > 1", "corridors")
-def id_collisions(spark, sf_dir, corridors):
-    return corridors.groupBy("name", "class_code").agg(F.count("*").alias("n"), F.count_distinct("coverage").alias("kinds")).where("kinds > 1")
-
-
-@query("""SELECT class_code, v[CAST(ceil(0.5*n) AS BIGINT)] AS median, v[CAST(ceil(0.95*n) AS BIGINT)] AS p95, v[n] AS most FROM (SELECT class_code, list_sort(list(length_m)) AS v, count(*) AS n FROM corridors GROUP BY class_code)""", "corridors")
-def length_percentiles(spark, sf_dir, corridors):
-    ordered = W.partitionBy("class_code").orderBy("length_m")
-    ranked = corridors.groupBy("class_code", "length_m").agg(F.count("*").alias("k")).withColumn("upto", F.sum("k").over(ordered)).withColumn("n", F.sum("k").over(W.partitionBy("class_code")))
-    at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.lit(q) * F.col("n")), F.col("length_m")))
-    return ranked.groupBy("class_code").agg(at(0.5).alias("median"), at(0.95).alias("p95"), F.max("length_m").alias("most"))
-
-
-@query("""SELECT corridor_id, seg, min(upto - leg) AS begins, sum(leg) AS metres, count(*) AS vertices FROM (SELECT corridor_id, leg, upto, floor((upto - leg)/50) AS seg FROM
- (SELECT l_orderkey AS corridor_id, l_quantity AS leg, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING) AS upto FROM lineitem)) GROUP BY ALL""")
-def line_segments(spark, sf_dir):
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    run = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").rowsBetween(W.unboundedPreceding, 0)
-    rows = li.select(F.col("l_orderkey").alias("corridor_id"), F.col("l_quantity").alias("leg"), F.sum("l_quantity").over(run).alias("upto"))
-    seg = F.floor((F.col("upto") - F.col("leg")) / 50).cast("double")
-    return rows.groupBy("corridor_id", seg.alias("seg")).agg(F.min(F.col("upto") - F.col("leg")).alias("begins"), F.sum("leg").alias("metres"), F.count("*").alias("vertices"))
-
-
-@query("""SELECT event_type, count(*) AS observations, count(DISTINCT user_id) AS taxa, count(*) FILTER (value > 50) AS precise, CAST(max(ts) AS VARCHAR) AS latest,
- count(*) FILTER (date_diff('day', CAST(ts AS DATE), DATE '2024-01-31') <= 7) AS last_week FROM events GROUP BY event_type""")
-def occurrence_summary(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    days = F.datediff(F.lit("2024-01-31").cast("date"), F.col("ts").cast("date"))
-    return e.groupBy("event_type").agg(
-        F.count("*").alias("observations"), F.count_distinct("user_id").alias("taxa"), F.count_if(F.col("value") > 50).alias("precise"), F.max("ts").cast("string").alias("latest"), F.count_if(days <= 7).alias("last_week")
-    )
-
-
-@query("""SELECT bucket, count(*) AS observations, count(DISTINCT user_id) AS taxa FROM (SELECT user_id, CASE WHEN d <= 3 THEN '0-3' WHEN d <= 9 THEN '4-9' WHEN d <= 36 THEN '10-36' ELSE 'older' END AS bucket FROM
- (SELECT user_id, date_diff('day', CAST(ts AS DATE), DATE '2024-01-31') AS d FROM events)) GROUP BY bucket""")
-def recency_buckets(spark, sf_dir):
-    d = F.datediff(F.lit("2024-01-31").cast("date"), F.col("ts").cast("date"))
-    bucket = F.when(d <= 3, "0-3").when(d <= 9, "4-9").when(d <= 36, "10-36").otherwise("older")
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("observations"), F.count_distinct("user_id").alias("taxa"))
-
-
-@query("""SELECT user_id, CAST(round(sum(leg), 0) AS BIGINT) AS metres, count(*) FILTER (skipped) AS skipped, count(*) AS points FROM (SELECT user_id, CASE WHEN skipped THEN 0 ELSE leg END AS leg, skipped FROM
- (SELECT user_id, coalesce(abs(value - p)*10, 0) AS leg, coalesce(abs(value - p)*10 > 1000 AND epoch_us(ts) - epoch_us(q) <= abs(value - p)*10*10000, false) AS skipped FROM
- (SELECT *, lag(value) OVER w AS p, lag(ts) OVER w AS q FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)))) GROUP BY user_id""")
-def trip_legs(spark, sf_dir):
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    leg = F.coalesce(F.abs(F.col("value") - F.lag("value").over(w)) * 10, F.lit(0.0))
-    took = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))
-    rows = e.select("user_id", leg.alias("leg"), took.alias("took")).withColumn("skipped", F.coalesce((F.col("leg") > 1000) & (F.col("took") <= F.col("leg") * 10000), F.lit(False)))
-    return rows.groupBy("user_id").agg(F.round(F.sum(F.when(F.col("skipped"), 0.0).otherwise(F.col("leg"))), 0).cast("long").alias("metres"), F.count_if("skipped").alias("skipped"), F.count("*").alias("points"))
-
-
-@query("""SELECT q AS query, place_id, tier FROM (SELECT q, place_id, tier, min(tier) OVER (PARTITION BY q) AS best, row_number() OVER (PARTITION BY q ORDER BY tier, population DESC, place_id) AS rn FROM
- (SELECT q, place_id, population, CASE WHEN k = q THEN 1 WHEN starts_with(k, q) THEN 2 WHEN contains(k, concat(' ', q)) THEN 3 WHEN length(q) >= 5 AND levenshtein(k, q) <= 1 AND k[1] = q[1] THEN 4 END AS tier FROM
- (SELECT place_id, population, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS k FROM places), (VALUES ('customer 000000007'),('customer 00000001'),('00000009'),('customer 00000042x')) v(q)) WHERE tier IS NOT NULL) WHERE tier = best AND rn <= 8""", "places")
-def place_search(spark, sf_dir, places):
-    asked = F.explode(F.array(*map(F.lit, ("customer 000000007", "customer 00000001", "00000009", "customer 00000042x"))))
-    rows = places.select("place_id", "population", geo.name_key(F.col("name")).alias("k"), asked.alias("query"))
-    k, q = F.col("k"), F.col("query")
-    typo = (F.length(q) >= 5) & (F.levenshtein(k, q) <= 1) & (F.substring(k, 1, 1) == F.substring(q, 1, 1))
-    tier = F.when(k == q, 1).when(k.startswith(q), 2).when(k.contains(F.concat(F.lit(" "), q)), 3).when(typo, 4)
-    hits = rows.withColumn("tier", tier).where("tier is not null")
-    ranked = hits.withColumn("at", F.row_number().over(W.partitionBy("query").orderBy("tier", F.desc("population"), "place_id"))).where("at <= 8")
-    return ranked.withColumn("best", F.min("tier").over(W.partitionBy("query"))).where("tier = best").select("query", "place_id", "tier")
-
-
-@query("SELECT place_id, floor(sum(1) OVER (PARTITION BY state ORDER BY population DESC, place_id)) AS place_in_state, sum(population) OVER (PARTITION BY state ORDER BY population DESC, place_id ROWS UNBOUNDED PRECEDING) > 0 AS positive FROM places", "places")
-def state_ranking(spark, sf_dir, places):
-    w = W.partitionBy("state").orderBy(F.desc("population"), "place_id")
-    return places.select("place_id", F.row_number().over(w).cast("double").alias("place_in_state"), (F.sum("population").over(w.rowsBetween(W.unboundedPreceding, 0)) > 0).alias("positive"))
-
-
-@query(f"""+ s AS ({SCORED}), r AS (SELECT corridor_id, class_code, row_number() OVER (PARTITION BY class_code ORDER BY score DESC, corridor_id) AS a, row_number() OVER (PARTITION BY class_code ORDER BY length_m DESC, corridor_id) AS b FROM s)
-SELECT class_code, count(*) FILTER (a <= 10 AND b <= 10) AS overlap, count(*) FILTER (a <= 10 AND b > 10) AS promoted, count(*) FILTER (b <= 10 AND a > 10) AS demoted FROM r GROUP BY class_code""", "corridors")
-def ranking_overlap(spark, sf_dir, corridors):
-    by = lambda c: F.row_number().over(W.partitionBy("class_code").orderBy(F.desc(c), "corridor_id"))
-    r = interest(corridors).select("class_code", by("score").alias("a"), by("length_m").alias("b"))
-    a, b = F.col("a") <= 10, F.col("b") <= 10
-    return r.groupBy("class_code").agg(F.count_if(a & b).alias("overlap"), F.count_if(a & ~b).alias("promoted"), F.count_if(~a & b).alias("demoted"))
-
-
-@query(f"""+ m AS ({sql_cells('corridors')}), n AS (SELECT x, y, corridor_id, name, length_m FROM m WHERE NOT (x = -615 AND y = 226)),
-p AS (SELECT x, y, corridor_id, CASE WHEN corridor_id % 41 = 3 THEN upper(name) ELSE name END AS name, length_m FROM m WHERE corridor_id % 50 <> 7),
-d AS ((SELECT * FROM n EXCEPT SELECT * FROM p) UNION ALL (SELECT * FROM p EXCEPT SELECT * FROM n)), a AS (SELECT DISTINCT x, y FROM n), b AS (SELECT DISTINCT x, y FROM p)
-SELECT DISTINCT d.x, d.y, CASE WHEN b.x IS NULL THEN 'new' WHEN a.x IS NULL THEN 'lost' ELSE 'changed' END AS state FROM d LEFT JOIN a ON a.x = d.x AND a.y = d.y LEFT JOIN b ON b.x = d.x AND b.y = d.y""", "corridors")
-def stale_cells(spark, sf_dir, corridors):
-    m = rel.member_cells(corridors).select("x", "y", "corridor_id", "name", "length_m")
-    now = m.where("NOT (x = -615 AND y = 226)")
-    before = m.where("corridor_id % 50 <> 7").withColumn("name", F.when(F.col("corridor_id") % 41 == 3, F.upper("name")).otherwise(F.col("name")))  # a prior build
-    return rel.changed_groups(now, before, ["x", "y"])
-
-
-@query(f"""+ m AS ({sql_cells('corridors')}), b AS (SELECT DISTINCT name FROM m WHERE x BETWEEN -610 AND -608 AND y BETWEEN 225 AND 226) SELECT DISTINCT x, y FROM m JOIN b USING (name) WHERE NOT (x BETWEEN -610 AND -608 AND y BETWEEN 225 AND 226)""", "corridors")
-def component_closure(spark, sf_dir, corridors):
-    m = rel.member_cells(corridors).select("name", "x", "y").distinct()
-    base = F.col("x").between(-610, -608) & F.col("y").between(225, 226)
-    return m.where(~base).join(m.where(base).select("name"), "name", "left_semi").select("x", "y").distinct()
-
-
-@query("""SELECT a.doc_id, b.item_id FROM documents a, benchmark b WHERE length(b.text) > 0 AND contains(a.text, b.text)""")
-def declared_phrases(spark, sf_dir):
-    d, b = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    words = lambda c: F.array_distinct(F.split(c, r"\s+"))
-    inner = F.filter(F.slice(F.split("text", r"\s+"), 2, 1000), lambda w: F.length(w) > 0)
-    whole = F.slice(inner, 1, F.greatest(F.size(inner) - 1, F.lit(0)))  # the last word may end inside a longer one
-    longest = F.try_element_at(F.array_sort(F.transform(whole, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(1))["w"]
-    keyed = b.where(F.length("text") > 0).select("item_id", F.col("text").alias("phrase"), longest.alias("word"))
-    rows = d.select("doc_id", F.explode(words("text")).alias("word")).join(keyed, "word")
-    found = d.select("doc_id", "text").join(rows, "doc_id").where(F.col("text").contains(F.col("phrase"))).select("doc_id", "item_id")
-    short = keyed.where("word is null").select("item_id", "phrase")  # no inner word to meet by: every document is read for these few
-    return found.union(d.join(short, F.col("text").contains(F.col("phrase"))).select("doc_id", "item_id")).distinct()
-
-
-@query("SELECT event_type, array_to_string(list_sort(list(DISTINCT k)), ',') AS facts, sha256(array_to_string(list_sort(list(DISTINCT k)), ',')) AS signature FROM (SELECT event_type, json_extract_string(props, '$.k') AS k FROM events) GROUP BY event_type")
-def fact_signature(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", F.get_json_object("props", "$.k").alias("k"))
-    facts = e.groupBy("event_type").agg(F.array_join(F.array_sort(F.collect_set("k")), ",").alias("facts"))
-    return facts.withColumn("signature", F.sha2("facts", 256))
-
-
-@query("SELECT page_id, length(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS n_chars FROM pages")
-def page_text_length(spark, sf_dir):
-    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return p.select("page_id", F.length(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), r"\s+", " ")).cast("long").alias("n_chars"))
-
-
-@query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")
-def redelivered(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).where("n > 1")
-
-
-from fieldsift import evidence_queries, field_queries, habitat_queries, line_queries, occurrence_queries, plane_queries, polygon_queries, repair_queries, research_queries, road_queries, search_queries, stream_queries  # noqa: E402, F401  register further queries
+"""All registered corridor queries: importing their modules registers them."""
+
+from fieldsift import (  # noqa: F401
+    evidence_queries,
+    field_queries,
+    habitat_queries,
+    line_queries,
+    occurrence_queries,
+    plane_queries,
+    polygon_queries,
+    repair_queries,
+    research_queries,
+    road_queries,
+    search_queries,
+    stream_queries,
+)
+from fieldsift.first_queries import ORACLES, QUERIES  # noqa: F401

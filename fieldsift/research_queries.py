@@ -12,7 +12,7 @@ from fieldsift.operators import access, lines
 from fieldsift.operators import relations as rel
 from fieldsift.line_queries import _G, _O, sql_foot
 from fieldsift.operators.access import EFFECTS, SCOPES
-from fieldsift.registry import BOX, LAT, LON, MILES, _DIST, _NEAR, SCORED, interest, query, sql_haversine
+from fieldsift.first_queries import BOX, LAT, LON, MILES, _DIST, _NEAR, SCORED, interest, query, sql_haversine
 
 _ROAD = "CASE WHEN p_partkey % 5 = 0 THEN 'Northwest ' ELSE '' END || p_name || CASE WHEN p_partkey % 7 = 0 THEN ' Rd' ELSE ' road' END"
 _WAY = """CASE p_partkey % 9 WHEN 0 THEN upper(p_name) || ' Road' WHEN 1 THEN 'North ' || p_name || ' Road' WHEN 2 THEN split_part(p_name, ' ', 1) || ' lane' WHEN 3 THEN 'W. Elm Street' WHEN 4 THEN '' WHEN 5 THEN split_part(p_name, ' ', 1) || ' river road'
@@ -162,11 +162,11 @@ def adversarial_review(spark, sf_dir):
     return access.adversarial_review(access.findings(_roads(spark, sf_dir), evidence(spark, sf_dir), CHECKED)).withColumnRenamed("corridor", "corridor_id")
 
 
-@query("""WITH p AS (SELECT user_id AS run, list_extract(['EVIDENCE', 'NO_RELEVANT_EVIDENCE', 'FAILED', 'OPERATOR_ONLY', 'NOT_RUN'], CAST((event_id * 3 + user_id) % CASE WHEN user_id % 3 = 0 THEN 2 ELSE 5 END AS INTEGER) + 1) AS outcome, list_extract(['OK', 'FAILED', 'PARTIAL', 'NOT_RUN'], CAST(user_id % 4 AS INTEGER) + 1) AS ways FROM events WHERE event_id % 50 = 0)
+@query("""WITH p AS (SELECT user_id AS run, list_extract(['EVIDENCE', 'NO_RELEVANT_EVIDENCE', 'FAILED', 'OPERATOR_ONLY', 'NOT_RUN'], CAST((event_id * 3 + user_id) % CASE WHEN user_id % 3 = 0 THEN 2 ELSE 5 END AS INTEGER) + 1) AS outcome, list_extract(['OK', 'FAILED', 'PARTIAL', 'NOT_RUN'], CAST(user_id % 4 AS INTEGER) + 1) AS ways FROM events)
 SELECT run, count(*) AS asked, count(*) FILTER (outcome IN ('EVIDENCE', 'NO_RELEVANT_EVIDENCE')) AS answered, count(*) FILTER (outcome = 'FAILED') AS failed, CASE WHEN count(*) FILTER (outcome = 'FAILED') > 0 AND count(*) FILTER (outcome IN ('EVIDENCE', 'NO_RELEVANT_EVIDENCE')) = 0 AND ways <> 'OK' THEN 'UNKNOWN'
 WHEN count(*) FILTER (outcome IN ('FAILED', 'OPERATOR_ONLY', 'NOT_RUN')) > 0 OR ways <> 'OK' THEN 'PARTIAL' ELSE 'FULL' END AS coverage FROM p GROUP BY run, ways""")
 def research_coverage(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 50 = 0")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
     outcomes = F.array(*map(F.lit, ("EVIDENCE", "NO_RELEVANT_EVIDENCE", "FAILED", "OPERATOR_ONLY", "NOT_RUN")))
     at = (F.col("event_id") * 3 + F.col("user_id")) % F.when(F.col("user_id") % 3 == 0, 2).otherwise(5)
     rows = e.select(F.col("user_id").alias("run"), F.get(outcomes, at.cast("int")).alias("outcome"), F.get(F.array(*map(F.lit, ("OK", "FAILED", "PARTIAL", "NOT_RUN"))), (F.col("user_id") % 4).cast("int")).alias("ways"))

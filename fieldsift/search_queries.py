@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fieldsift.functions import geo
 from fieldsift.operators import relations as rel
-from fieldsift.registry import _DIST, _NEAR, BOX, MILES, SCORED, interest, query, search
+from fieldsift.first_queries import _DIST, _NEAR, BOX, MILES, SCORED, interest, query, search
 
 #: Road classes with their disposition and label.
 CLASSES = [

@@ -9,7 +9,7 @@ from fieldsift.functions import geo
 from fieldsift.operators import lines
 from fieldsift.field_queries import _FIXES, _LEG, _MOVED
 from fieldsift.line_queries import _G, _O, sql_foot
-from fieldsift.registry import query, sql_haversine
+from fieldsift.first_queries import query, sql_haversine
 from fieldsift.streaming import recordings as rec
 
 _KIND = "CASE WHEN event_id % 41 = 0 THEN 'stop' WHEN event_id % 17 = 0 THEN 'note' WHEN event_id % 19 = 0 THEN 'sighting' ELSE 'fix' END"

@@ -1,14 +1,20 @@
-"""Registered queries of habitat measures. Buffers and polygon clips are no SQL of the oracle: tests hold them to brute force."""
+"""Registered queries of habitat measures. Buffers and polygon clips are no SQL of the oracle: tests hold them to brute force.
+
+What vertices, distances and counts decide has oracle SQL of its own: the projection, segment distances and coverage.
+"""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldsift.functions import geo, kernels
 from fieldsift.operators import habitat as hab
 from fieldsift.operators import lines
-from fieldsift.first_queries import rows_only
+from fieldsift.first_queries import query, rows_only
+from fieldsift.line_queries import _O
 
 DISTANCES = [250, 500, 1000]
 
@@ -48,7 +54,56 @@ def water_type_inventory(spark, sf_dir, vertices):
     return rows.groupBy("code").agg(F.count_distinct("feature_id").alias("features"), F.count_distinct("line_id").alias("lines"))
 
 
-@rows_only("vertices", "habitats")
+def _projection() -> tuple[float, float, float, float]:
+    """Cone constant, C, radius of the origin and first eccentricity of EPSG:5070."""
+    f = 1 / 298.257222101
+    e = math.sqrt(2 * f - f * f)
+    south, north, origin = (math.sin(math.radians(d)) for d in (29.5, 45.5, 23.0))
+    q = lambda s: (1 - e * e) * (s / (1 - (e * s) ** 2) + math.atanh(e * s) / e)
+    m2 = lambda s: (1 - s * s) / (1 - (e * s) ** 2)
+    n = (m2(south) - m2(north)) / (q(north) - q(south))
+    c = m2(south) + n * q(south)
+    return n, c, math.sqrt(c - n * q(origin)) / n, e
+
+
+def sql_albers(lon: str, lat: str) -> tuple[str, str]:
+    """Oracle SQL of EPSG:5070 metres."""
+    n, c, origin, e = _projection()
+    s = f"sin(radians({lat}))"
+    q = f"({1 - e * e!r}e0*({s}/(1 - {e * e!r}e0*{s}*{s}) + ln((1 + {e!r}e0*{s})/(1 - {e!r}e0*{s}))/{2 * e!r}e0))"
+    rho, theta = f"(6378137e0*sqrt({c!r}e0 - {n!r}e0*{q})/{n!r}e0)", f"({n!r}e0*(radians({lon}) + {math.radians(96.0)!r}e0))"
+    return f"{rho}*sin({theta})", f"{6378137.0 * origin!r}e0 - {rho}*cos({theta})"
+
+
+def _xy(lon: str, lat: str) -> str:
+    x, y = sql_albers(lon, lat)
+    return f"{{'x': {x}, 'y': {y}}}"
+
+
+def _to_segment(px: str, py: str, a: str, b: str) -> str:
+    """Oracle SQL of a point's distance to the segment of the columns {a}x, {a}y, {b}x, {b}y."""
+    dx, dy = f"({b}x-{a}x)", f"({b}y-{a}y)"
+    t = f"greatest(0e0, least(1e0, coalesce((({px}-{a}x)*{dx} + ({py}-{a}y)*{dy})/nullif({dx}*{dx} + {dy}*{dy}, 0), 0e0)))"
+    return f"sqrt(pow({px}-{a}x-{t}*{dx}, 2) + pow({py}-{a}y-{t}*{dy}, 2))"
+
+
+_ROADS = f"{_O}, pv AS MATERIALIZED (SELECT line_id, k, p.x AS x, p.y AS y FROM (SELECT line_id, k, {_xy('lon', 'lat')} AS p FROM o WHERE line_id % 2 = 1))"
+
+
+@query(
+    f"""+ {_ROADS}, s AS (SELECT line_id, x AS ax, y AS ay, coalesce(lead(x) OVER w, x) AS bx, coalesce(lead(y) OVER w, y) AS by_, lead(k) OVER w IS NULL AND k > 1 AS over FROM pv WINDOW w AS (PARTITION BY line_id ORDER BY k)),
+c AS MATERIALIZED (SELECT habitat_id, CASE WHEN code IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5') THEN 'flowing' ELSE 'standing' END AS code, [{_xy('west', '(south+north)/2')}, {_xy('(west+east)/2', 'south')}, {_xy('east', '(south+north)/2')}, {_xy('(west+east)/2', 'north')}] AS r FROM habitats),
+b AS (SELECT *, list_min([v.x for v in r]) AS x0, list_max([v.x for v in r]) AS x1, list_min([v.y for v in r]) AS y0, list_max([v.y for v in r]) AS y1 FROM c),
+m AS MATERIALIZED (SELECT line_id, ax, ay, bx, by_ AS by1, habitat_id, code, unnest([{{'p': r[1], 'q': r[2]}}, {{'p': r[2], 'q': r[3]}}, {{'p': r[3], 'q': r[4]}}, {{'p': r[4], 'q': r[1]}}]) AS e FROM s JOIN b ON NOT over AND least(ax, bx) <= x1 + 1000 AND greatest(ax, bx) >= x0 - 1000 AND least(ay, by_) <= y1 + 1000 AND greatest(ay, by_) >= y0 - 1000),
+g AS MATERIALIZED (SELECT line_id, habitat_id, code, ax, ay, bx, by1 AS "by", e.p.x AS cx, e.p.y AS cy, e.q.x AS dx, e.q.y AS dy FROM m),
+h AS (SELECT line_id, habitat_id, code, ax, ay, bx, "by", count(*) FILTER ((cy > ay) <> (dy > ay) AND ax < (dx-cx)*(ay-cy)/(dy-cy) + cx) % 2 = 1 OR count(*) FILTER ((cy > "by") <> (dy > "by") AND bx < (dx-cx)*("by"-cy)/(dy-cy) + cx) % 2 = 1 AS holds,
+bool_or(sign((bx-ax)*(cy-ay) - ("by"-ay)*(cx-ax)) * sign((bx-ax)*(dy-ay) - ("by"-ay)*(dx-ax)) < 0 AND sign((dx-cx)*(ay-cy) - (dy-cy)*(ax-cx)) * sign((dx-cx)*("by"-cy) - (dy-cy)*(bx-cx)) < 0) AS meets,
+min(least({_to_segment('ax', 'ay', 'c', 'd')}, {_to_segment('bx', '"by"', 'c', 'd')}, {_to_segment('cx', 'cy', 'a', 'b').replace('by', '"by"')}, {_to_segment('dx', 'dy', 'a', 'b').replace('by', '"by"')})) AS far FROM g GROUP BY ALL),
+d AS (SELECT line_id, habitat_id, code, min(CASE WHEN holds OR meets THEN 0e0 ELSE far END) AS metres FROM h GROUP BY ALL)
+SELECT line_id, code, arg_min(habitat_id, (metres, habitat_id)) AS feature_id, floor(min(metres)*100+0.5)/100 AS metres FROM d WHERE metres <= 1000 GROUP BY line_id, code""",
+    "vertices",
+    "habitats",
+)
 def nearest_by_class(spark, sf_dir, vertices, habitats):
     flowing = F.when(F.col("code").isin("Brand#1", "Brand#2", "Brand#3", "Brand#4", "Brand#5"), "flowing").otherwise("standing")
     near = hab.nearest_polygons(roads(vertices), wetlands(habitats).withColumn("code", flowing), 1000.0)
@@ -65,7 +120,14 @@ def overlay_features(spark, sf_dir, vertices, habitats):
 EXTENT = [(-2_130_000.0, 2_640_000.0), (-1_830_000.0, 2_560_000.0), (-1_780_000.0, 2_790_000.0), (-2_080_000.0, 2_870_000.0)]
 
 
-@rows_only("vertices")
+def _gap(p: tuple[float, float], q: tuple[float, float]) -> str:
+    return f"(({q[0] - p[0]!r}e0)*(y - ({p[1]!r}e0)) - ({q[1] - p[1]!r}e0)*(x - ({p[0]!r}e0)))/{math.dist(p, q)!r}e0"
+
+
+_GAPS = f"least({', '.join(_gap(p, q) for p, q in zip(EXTENT, EXTENT[1:] + EXTENT[:1]))})"
+
+
+@query(f"+ {_ROADS}, g AS (SELECT line_id, min({_GAPS}) AS gap FROM pv GROUP BY line_id) SELECT line_id, gap >= 0 AS inside, gap >= 250 AS covered_250, gap >= 500 AS covered_500, gap >= 1000 AS covered_1000 FROM g", "vertices")
 def buffer_coverage(spark, sf_dir, vertices):
     return hab.inside_extent(roads(vertices), EXTENT, DISTANCES)
 
@@ -77,7 +139,11 @@ def serving_tiles(spark, sf_dir, habitats):
     return hab.tiles(habitats.select(F.col("habitat_id").alias("feature_id"), "west", "south", "east", "north", ring.alias("ring")), 0.01)
 
 
-@rows_only("vertices")
+@query(
+    f"""+ {_O}, g AS (SELECT line_id, count(*) AS points, min(lon) AS west, min(lat) AS south, max(lon) AS east, max(lat) AS north, CASE WHEN line_id % 101 = 1 THEN 'broken WKB' WHEN line_id % 103 = 1 THEN 'no geometry' END AS problem FROM o GROUP BY line_id)
+SELECT line_id, CASE WHEN problem IS NULL THEN 2 ELSE 0 END AS kind, CASE WHEN problem IS NULL THEN CAST(1 AS BIGINT) ELSE 0 END AS parts, CASE WHEN problem IS NULL THEN points ELSE 0 END AS points, {', '.join(f"CASE WHEN problem IS NULL THEN {c} END AS {c}" for c in ('west', 'south', 'east', 'north'))}, problem FROM g""",
+    "vertices",
+)
 def geometry_decode(spark, sf_dir, vertices):
     listed = lines.ordered(vertices).groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct("k", "lon", "lat"))).alias("p"))
     flat = listed.select("line_id", F.flatten(F.transform("p", lambda v: F.array(v["lon"], v["lat"]))).alias("xy"))
@@ -87,7 +153,8 @@ def geometry_decode(spark, sf_dir, vertices):
 
     stored = hab._measured(flat, ["line_id"], ["xy"], "wkb binary", encoded)
     broken = F.when(F.col("line_id") % 101 == 1, F.substring("wkb", 1, 12)).when(F.col("line_id") % 103 == 1, None).otherwise(F.col("wkb"))
-    return hab.decode(stored.withColumn("wkb", broken), "line_id", "wkb")
+    told = hab.decode(stored.withColumn("wkb", broken), "line_id", "wkb")
+    return told.fillna(0, ["kind", "parts", "points"])  # what can't be read has no parts
 
 
 @rows_only("vertices", "habitats")

@@ -105,6 +105,26 @@ def albers(lon: Column, lat: Column) -> tuple[Column, Column]:
     return rho * F.sin(theta), F.lit(rho0) - rho * F.cos(theta)
 
 
+def albers_inverse(x: Column, y: Column) -> tuple[Column, Column]:
+    """Lon and lat of EPSG:5070 metres: latitude from the authalic series, then one Newton step."""
+    a, f = 6378137.0, 1 / 298.257222101
+    e2 = f * (2 - f)
+    e = math.sqrt(e2)
+    q = lambda s: (1 - e2) * (s / (1 - e2 * s * s) + math.atanh(e * s) / e)
+    m2 = lambda s: (1 - s * s) / (1 - e2 * s * s)
+    south, north, origin = (math.sin(math.radians(d)) for d in (29.5, 45.5, 23.0))
+    n = (m2(south) - m2(north)) / (q(north) - q(south))
+    c = m2(south) + n * q(south)
+    down = F.lit(a * math.sqrt(c - n * q(origin)) / n) - y
+    authalic = (c - F.pow(F.sqrt(x * x + down * down) * n / a, F.lit(2))) / n
+    b = F.asin(authalic / q(1.0))
+    series = b + (e2 / 3 + 31 * e2**2 / 180 + 517 * e2**3 / 5040) * F.sin(2 * b) + (23 * e2**2 / 360 + 251 * e2**3 / 3780) * F.sin(4 * b) + 761 * e2**3 / 45360 * F.sin(6 * b)
+    s = F.sin(series)
+    rest = authalic / (1 - e2) - s / (1 - e2 * s * s) + F.log((1 - e * s) / (1 + e * s)) / (2 * e)
+    lat = series + F.pow(1 - e2 * s * s, F.lit(2)) / (2 * F.cos(series)) * rest
+    return F.degrees(F.atan2(x, down) / n) - 96.0, F.degrees(lat)
+
+
 def saturate(value: Column, scale: float) -> Column:
     """0 at 0, toward 1 as the value grows past scale."""
     return value / (value + scale)

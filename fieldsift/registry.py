@@ -12,6 +12,7 @@ from fieldsift import (  # noqa: F401
     research_queries,
     road_queries,
     search_queries,
+    source_queries,
     stream_queries,
 )
 from fieldsift.first_queries import ORACLES, QUERIES  # noqa: F401

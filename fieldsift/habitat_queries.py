@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldsift.functions import geo, kernels
+from fieldsift.operators import comparison
 from fieldsift.operators import habitat as hab
 from fieldsift.operators import lines
 from fieldsift.first_queries import query, rows_only
 from fieldsift.line_queries import _O
+from fieldsift.sources.tables import as_table
 
 DISTANCES = [250, 500, 1000]
 
@@ -157,10 +159,8 @@ def geometry_decode(spark, sf_dir, vertices):
     return told.fillna(0, ["kind", "parts", "points"])  # what can't be read has no parts
 
 
-@rows_only("vertices", "habitats")
-def corridor_metrics(spark, sf_dir, vertices, habitats):
-    """The metrics row of every road: wetland area and water length by distance, nearest wetland, coverage; zeros where measured."""
-    own = roads(vertices)
+def road_metrics(own: DataFrame, vertices: DataFrame, habitats: DataFrame) -> DataFrame:
+    """The metrics row of each of these roads: wetland area and water length by distance, nearest wetland, coverage; zeros where measured."""
     areas = hab.polygon_overlay(own, wetlands(habitats), DISTANCES).groupBy("line_id").pivot("distance", DISTANCES).agg(F.sum("area"))
     water = hab.line_overlay(own, waters(vertices), DISTANCES).groupBy("line_id").pivot("distance", DISTANCES).agg(F.sum("metres"))
     near = hab.nearest_polygons(own, wetlands(habitats).withColumn("code", F.lit("wetland")), 1000.0).select("line_id", "metres")
@@ -171,3 +171,27 @@ def corridor_metrics(spark, sf_dir, vertices, habitats):
     return j.select(
         "line_id", *(zero(f"a{d}", 0).alias(f"wetland_area_{d}") for d in DISTANCES), *(zero(f"w{d}", 1).alias(f"water_metres_{d}") for d in DISTANCES), geo.half_up(F.col("metres"), 2).alias("nearest_wetland"), state.alias("coverage")
     )
+
+
+@rows_only("vertices", "habitats")
+def corridor_metrics(spark, sf_dir, vertices, habitats):
+    return road_metrics(roads(vertices), vertices, habitats)
+
+
+@rows_only("vertices", "habitats")
+def serving_layout(spark, sf_dir, vertices, habitats):
+    """Every road's wetland areas within 250 m from whole areas and from their parts on tiles of 2 km."""
+    own, areas = roads(vertices), wetlands(habitats)
+    served = comparison.parts_overlay(own, comparison.serving_parts(areas, 2000.0), [250])
+    out = comparison.serving_equivalence(hab.polygon_overlay(own, areas, [250], comparison.fine_area), served)
+    return out.select("line_id", "classes", "mismatches", "ids_equal", "status")
+
+
+@rows_only("vertices", "habitats")
+def sample_remeasure(spark, sf_dir, vertices, habitats):
+    """Five stored rows of each coverage and tenth of the ids, measured again from the raw planes (the sample is the feature)."""
+    own = roads(vertices)
+    stored = as_table(road_metrics(own, vertices, habitats), "metrics")
+    sample = comparison.seeded_sample(stored.withColumn("tenth", F.col("line_id") % 10), "line_id", ["coverage", "tenth"], 5, 17).drop("tenth")
+    again = road_metrics(own.join(sample.select("line_id"), "line_id", "left_semi"), vertices, habitats)
+    return comparison.remeasured(sample, again, "line_id").select("line_id", "state", F.array_join("differing", ",").alias("differing"))

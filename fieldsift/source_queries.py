@@ -11,11 +11,11 @@ import struct
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldsift.first_queries import query
+from fieldsift.first_queries import query, sql_haversine
 from fieldsift.functions import geo, kernels
 from fieldsift.habitat_queries import sql_albers
 from fieldsift.line_queries import _O
-from fieldsift.operators import lines, normalize
+from fieldsift.operators import comparison, lines, normalize
 from fieldsift.operators.habitat import _measured
 from fieldsift.sources.tables import as_table
 
@@ -140,3 +140,35 @@ def projection_round_trip(spark, sf_dir, places):
     lon, lat = geo.albers_inverse(F.col("px"), F.col("py"))
     out = places.select("place_id", x.alias("px"), y.alias("py"))
     return out.select("place_id", geo.half_up(F.col("px"), 3).alias("x"), geo.half_up(F.col("py"), 3).alias("y"), geo.half_up(lon, 9).alias("lon"), geo.half_up(lat, 9).alias("lat"))
+
+
+def _vintage(points: DataFrame) -> DataFrame:
+    """What one plane says of its lines: length, western end, number of different vertices, cell of the lower-left corner."""
+    length = lines.segments(points).groupBy("line_id").agg(F.sum(lines.leg()).alias("length_m"))
+    ends = points.groupBy("line_id").agg(F.min("lon").alias("west"), F.count_distinct("xu", "yu").alias("points"), F.concat_ws("_", geo.cell_index(F.min("lon")), geo.cell_index(F.min("lat"))).alias("cell"))
+    return ends.join(length, "line_id", "left")
+
+
+_PLANE = f"""SELECT line_id, any_value(length_m) AS length_m, min(lon) AS west, count(DISTINCT (xu, yu)) AS points, concat(CAST(floor(min(lon)/0.2e0) AS BIGINT), '_', CAST(floor(min(lat)/0.2e0) AS BIGINT)) AS cell
+FROM (SELECT *, sum(leg) OVER (PARTITION BY line_id) AS length_m FROM (SELECT *, {sql_haversine('lon', 'lat', 'b', 'c')} AS leg FROM (SELECT *, lead(lon) OVER w AS b, lead(lat) OVER w AS c FROM {{}} WINDOW w AS (PARTITION BY line_id ORDER BY k)))) GROUP BY line_id"""
+_DELTA = "CASE WHEN l.{f} IS NOT NULL AND r.{f} IS NOT NULL THEN abs(l.{f}-r.{f})/greatest(abs(l.{f}), abs(r.{f}), 1e-9) END"
+
+
+@query(
+    f"""+ {_O}, z AS (SELECT line_id, k, xu, yu, xu/1e6 AS lon, yu/1e6 AS lat FROM (SELECT line_id, k, CAST(floor((xu+250)/500e0)*500 AS BIGINT) AS xu, CAST(floor((yu+250)/500e0)*500 AS BIGINT) AS yu FROM o)),
+l AS ({_PLANE.format('o')}), r AS ({_PLANE.format('z')}),
+d AS (SELECT 'length_m' AS field, {_DELTA.format(f='length_m')} AS v, (l.length_m IS NULL) <> (r.length_m IS NULL) AS off FROM l JOIN r USING (line_id) UNION ALL SELECT 'west', {_DELTA.format(f='west')}, false FROM l JOIN r USING (line_id)
+ UNION ALL SELECT 'points', CAST(abs(l.points-r.points) AS DOUBLE), abs(l.points-r.points) > 1 FROM l JOIN r USING (line_id) UNION ALL SELECT 'cell', NULL, l.cell <> r.cell FROM l JOIN r USING (line_id)),
+s AS (SELECT field, count(*) AS n, count(*) FILTER (off) AS mismatches, count(v) AS m, list_sort(list(v) FILTER (v IS NOT NULL)) AS v FROM d GROUP BY field),
+q AS (SELECT field, n, mismatches, v[m//2+1] AS median, v[CAST(least(m-1, round_even(0.95e0*(m-1), 0)) AS BIGINT)+1] AS p95, v[m] AS most FROM s)
+SELECT field, n, mismatches, floor(median*1e9+0.5)/1e9 AS median, floor(p95*1e9+0.5)/1e9 AS p95, floor(most*1e9+0.5)/1e9 AS most,
+CASE field WHEN 'length_m' THEN mismatches = 0 AND p95 <= 0.05 WHEN 'west' THEN mismatches = 0 AND p95 <= 1e-9 WHEN 'cell' THEN mismatches/n <= 1 - 0.95e0 ELSE mismatches/n <= 1 - 0.995e0 END AS passed FROM q""",
+    "vertices",
+)
+def vintage_gates(spark, sf_dir, vertices):
+    """Lines against a coarser vintage of them, with vertices on half a thousandth of a degree: deltas per field and whether its gate holds."""
+    o = lines.ordered(vertices)
+    on = lambda c: (F.floor((F.col(c) + 250) / 500.0) * 500).cast("long")
+    coarse = o.withColumns({"xu": on("xu"), "yu": on("yu")}).withColumns({"lon": F.col("xu") / 1e6, "lat": F.col("yu") / 1e6})
+    out = comparison.plane_gates(_vintage(o), _vintage(coarse), "line_id", {"length_m": 0.05, "west": 1e-9}, {"cell": 0.95}, {"points": 1})
+    return out.select("field", "n", "mismatches", *(geo.half_up(F.col(c), 9).alias(c) for c in ("median", "p95", "most")), "passed")

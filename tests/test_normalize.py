@@ -119,3 +119,4 @@ def test_projection_comes_back(spark):
     assert max(max(abs(r.a - r.lon), abs(r.b - r.lat)) for r in back) < 1e-9
     mine = shapes.albers(np.array(data))
     assert np.abs(mine - np.array([(r.x, r.y) for r in back])).max() < 1e-6
+    assert np.abs(shapes.albers_inverse(mine) - np.array(data)).max() < 1e-9

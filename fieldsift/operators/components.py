@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldsift.sources.tables import as_table, drop_table
+from fieldsift.sources.tables import as_table, drop_table, shuffled
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -19,15 +19,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     plain = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     left = as_table(plain, "edges")
     labels: DataFrame | None = None
-    for _ in range(max_rounds):
+    for n in range(max_rounds):
+        dealt = shuffled if n < 2 else (lambda df: df)  # later rounds are small
         if left.isEmpty():
             break
         both = left.select(F.col("a").alias("node"), F.col("b").alias("to")).union(left.select(F.col("b"), F.col("a")))
         up = as_table(both.groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("up")), "pointers")
         jump = up.select(F.col("node").alias("up"), F.col("up").alias("up2"))
-        twice = up.join(jump, "up").select("node", F.col("up2").alias("up"))
+        twice = up.join(dealt(jump), "up").select("node", F.col("up2").alias("up"))
         jump4 = as_table(twice, "pointers")
-        four = jump4.join(jump4.select(F.col("node").alias("up"), F.col("up").alias("up4")), "up").select("node", F.col("up4").alias("up"))
+        four = jump4.join(dealt(jump4.select(F.col("node").alias("up"), F.col("up").alias("up4"))), "up").select("node", F.col("up4").alias("up"))
         pointers = as_table(four, "pointers")
         if labels is None:
             labels = pointers.select("node", F.col("up").alias("component"))
@@ -35,7 +36,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             moved = labels.join(pointers.select(F.col("node").alias("component"), "up"), "component", "left")
             labels = as_table(moved.select("node", F.coalesce("up", "component").alias("component")), "labels")
         p, q = (pointers.select(F.col("node").alias(x), F.col("up").alias(f"{x}2")) for x in "ab")
-        moved_edges = left.join(p, "a").join(q, "b").where("a2 <> b2")
+        moved_edges = left.join(dealt(p), "a").join(dealt(q), "b").where("a2 <> b2")
         nxt = as_table(moved_edges.select(F.greatest("a2", "b2").alias("a"), F.least("a2", "b2").alias("b")).distinct(), "edges")
         drop_table(left)
         drop_table(up)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from fieldsift.functions import geo
 from fieldsift.operators import relations as rel
 from fieldsift.operators.polygons import polygon_bounds
+from fieldsift.sources.tables import shuffled
 
 #: Edges of a strip at most, as long as a strip can be cut, and the share of a cell that is rounding.
 STRIP_EDGES, OPEN_SHARE = 256, 1e-9
@@ -90,7 +91,7 @@ def grid_cells(edges: DataFrame, size: float = geo.CELL) -> DataFrame:
     cells = rel.member_cells(polygon_bounds(edges), size).select("poly", "x", "y")
     low, high = (geo.cell_index(f("ax", "bx"), size) for f in (F.least, F.greatest))
     columns = edges.withColumn("x", F.explode(F.sequence(low, high)))
-    rows = cells.join(columns, ["poly", "x"]).select("x", "y", "poly", "ax", "ay", "bx", "by")
+    rows = cells.join(shuffled(columns), ["poly", "x"]).select("x", "y", "poly", "ax", "ay", "bx", "by")
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         x, y = int(batch["x"].iloc[0]), int(batch["y"].iloc[0])

@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 
 #: A space beside other white space or at an end of the text: there the plain split isn't safe.
-_ODD = re.compile(r"(?:\A|\s) | (?:\s|\Z)")
+_ODD = re.compile(r" (?:(?=\s)|\Z|(?<=\s )|(?<=\A ))")  # begins with the space, which the search then looks for alone
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 

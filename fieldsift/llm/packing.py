@@ -32,6 +32,8 @@ SHARD_BYTES = 8_000_000
 SHARD_ROWS = 4096
 #: BM25: term saturation and length normalisation. All terms that a seed shares with another tail make its query.
 K1, B = 1.2, 0.75
+#: Share of a shard's tails that must hold a term for it to have a dense row.
+DENSE_SHARE = 0.15
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -76,17 +78,27 @@ class Bm25Shard:
         self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.doc])
         self.n = n
         slot = np.repeat(np.arange(len(self.terms)), df)
-        shared = df[slot] > 1
-        order = np.argsort(self.doc[shared], kind="stable")
-        who, what = self.doc[shared][order], slot[shared][order]
-        begin = np.searchsorted(who, np.arange(n + 1))
-        self.query = [what[a:b] for a, b in zip(begin[:-1], begin[1:])]
+        # Terms of many tails have a row of all tails' weights; the others are lists.
+        common = df > max(n * DENSE_SHARE, 1)
+        row = np.cumsum(common) - 1
+        self.rows = np.zeros((int(common.sum()), n))
+        held = common[slot]
+        self.rows[row[slot[held]], self.doc[held]] = self.weight[held]
+        self.row_query = self._by_doc(held, row[slot])
+        self.query = self._by_doc((df[slot] > 1) & ~held, slot)
+
+    def _by_doc(self, which: np.ndarray, what: np.ndarray) -> list[np.ndarray]:
+        order = np.argsort(self.doc[which], kind="stable")
+        begin = np.searchsorted(self.doc[which][order], np.arange(self.n + 1))
+        found = what[which][order]
+        return [found[a:b] for a, b in zip(begin[:-1], begin[1:])]
 
     def scores(self, seed: int) -> np.ndarray:
+        out = self.rows[self.row_query[seed]].sum(axis=0)
         spans = [slice(self.bounds[s], self.bounds[s + 1]) for s in self.query[seed].tolist()]
-        if not spans:
-            return np.zeros(self.n)
-        return np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        if spans:
+            out += np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        return out
 
 
 def pack_shard(ids: list[np.ndarray], window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:

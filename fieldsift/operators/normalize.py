@@ -6,17 +6,18 @@ that nothing vanishes silently; `kept` rows are what is published and `unit_stat
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldsift.functions import geo, shapes
-from fieldsift.operators.habitat import _measured
+from fieldsift.operators.habitat import in_batches
 
 #: Feature types of water that flow and that stand.
 FLOWING, STANDING = (334, 336, 460, 558), (361, 378, 390, 436, 466)
+#: Vertices of a line or ring above which rows are measured one by one.
+MANY = 64
 _SHAPE = "state string, malformed int, parts long, points long, length_m double, area_m2 double, min_lon double, min_lat double, max_lon double, max_lat double, geometry_digest string, geometry binary"
 
 
@@ -27,27 +28,51 @@ def with_shape(rows: DataFrame, family: str, column: str) -> DataFrame:
     or 'broken' (no WKB, or coordinates that are no numbers).
     """
 
-    def measure(data: bytes | None, kind: str) -> Iterator[tuple]:
-        told = "no geometry"
-        if data:
-            try:
-                parts = shapes.family_parts(bytes(data), kind)
-                told = "kept" if parts else "other geometry"
-                if not all(np.isfinite(a).all() for p in parts for a in p):
-                    told = "broken"
-            except ValueError:
-                told = "broken"
-        if told != "kept":
-            yield (told, *[None] * 11)
-            return
+    fields = T.StructType.fromDDL(_SHAPE).names
+
+    def measure(data: bytes, kind: str) -> tuple:
+        try:
+            parts = shapes.family_parts(data, kind)
+        except ValueError:
+            return "broken", *[None] * 11
+        if not parts:
+            return "other geometry", *[None] * 11
+        if not all(np.isfinite(a).all() for p in parts for a in p):
+            return "broken", *[None] * 11
         every = np.concatenate([a for p in parts for a in p])
         low, high = every.min(axis=0), every.max(axis=0)
-        normal = shapes.normal_parts(parts)
         measures = (shapes.length(parts), None) if kind == "line" else (None, shapes.area(parts))
-        yield told, int(shapes.malformed(parts, kind)), len(parts), len(every), *measures, *map(float, (*low, *high)), shapes.digest(normal, kind), shapes.stored_wkb(parts, kind)
+        return "kept", int(shapes.malformed(parts, kind)), len(parts), len(every), *measures, *map(float, (*low, *high)), shapes.digest(shapes.normal_parts(parts), kind), shapes.stored_wkb(parts, kind)
+
+    def together(data: list, kinds: list) -> list[list]:
+        """Columns of fields: rows of one layout with one line or ring are measured at once, all others one by one."""
+        out = [["no geometry"] * len(data), *([None] * len(data) for _ in fields[1:])]
+
+        def put(places: list, columns: list) -> None:
+            for held, column in zip(out, columns):
+                for i, v in zip(places, column):
+                    held[i] = v
+
+        for kind in shapes.FAMILIES:
+            asked = [i for i, d in enumerate(data) if d and kinds[i] == kind]
+            groups, alone = shapes.alike([data[i] for i in asked], kind)
+            for places, parts, rows in groups:
+                if not parts:
+                    put([asked[i] for i in places], [["other geometry"] * len(places)])
+                elif len(parts) > 1 or len(parts[0]) > 1 or not 0 < parts[0][0][1] <= MANY:
+                    alone += places.tolist()
+                else:
+                    xy = shapes.stacked(rows, parts[0][0])
+                    whole = np.isfinite(xy).all(axis=(1, 2))
+                    put([asked[i] for i in places[~whole]], [["broken"] * len(places)])
+                    if whole.any():
+                        put([asked[i] for i in places[whole]], [["kept"] * len(places), *shapes.measured_stack(xy[whole], kind).values()])
+            for i in alone:
+                put([asked[i]], [[v] for v in measure(data[asked[i]], kind)])
+        return out
 
     keep = [c for c in rows.columns if c != column]
-    out = _measured(rows, keep, [column, family], _SHAPE, measure)
+    out = in_batches(rows, keep, [column, family], _SHAPE, together)
     return out.withColumn("malformed", F.col("malformed") == 1).withColumns({c: geo.half_up(F.col(c), 3) for c in ("length_m", "area_m2")})
 
 

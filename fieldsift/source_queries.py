@@ -7,7 +7,9 @@ heights, collections, turned copies, faults); the oracle measures the vertices t
 from __future__ import annotations
 
 import struct
+from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from fieldsift.functions import geo, kernels
 from fieldsift.habitat_queries import sql_albers
 from fieldsift.line_queries import _O
 from fieldsift.operators import comparison, lines, normalize
-from fieldsift.operators.habitat import _measured
+from fieldsift.operators.habitat import in_batches
 from fieldsift.sources.tables import as_table
 
 
@@ -37,6 +39,25 @@ def published_wkb(xy: list, ring: int, big: int, high: int, nested: int) -> byte
     return own
 
 
+def published_together(xy: list, *forms: list) -> list[list]:
+    """The column of published_wkb of many rows: rows of one form and length are written at once after a first one's header."""
+    out: list = [None] * len(xy)
+    groups = defaultdict(list)
+    for i, key in enumerate(zip(map(len, xy), *forms)):
+        groups[key].append(i)
+    for (size, ring, big, high, nested), at in groups.items():
+        points = np.array([xy[i] for i in at], float).reshape(len(at), size // 2, 2)
+        if ring:
+            points = np.concatenate([points, points[:, :1]], axis=1)
+        if high:
+            points = np.concatenate([points, np.full((*points.shape[:2], 1), 7.5)], axis=2)
+        data, wide = points.astype(">f8" if big else "<f8").tobytes(), points[0].size * 8
+        head = published_wkb(xy[at[0]], ring, big, high, nested)[:-wide]
+        for n, i in enumerate(at):
+            out[i] = head + data[n * wide : (n + 1) * wide]
+    return [out]
+
+
 def published(vertices: DataFrame) -> DataFrame:
     """Source rows of all lines; every sixth is published by a second unit, turned and in the other byte order."""
     listed = lines.ordered(vertices).groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct("k", "lon", "lat"))).alias("p"))  # one line's vertices
@@ -48,7 +69,7 @@ def published(vertices: DataFrame) -> DataFrame:
     own = rows.select("line_id", F.lit("own").alias("unit"), "ring", (F.col("line_id") % 2).cast("int").alias("big"), flat("p").alias("xy"))
     copy = rows.where("line_id % 6 = 0").select("line_id", F.lit("copy").alias("unit"), "ring", (1 - F.col("line_id") % 2).cast("int").alias("big"), flat(turned).alias("xy"))
     rows = own.union(copy).withColumns({"high": (F.col("line_id") % 3 == 0).cast("int"), "nested": F.when(F.col("line_id") % 7 == 0, 2).when(F.col("line_id") % 5 == 0, 1).otherwise(0)})
-    stored = _measured(rows, ["line_id", "unit", "ring"], ["xy", "ring", "big", "high", "nested"], "wkb binary", lambda *a: [(published_wkb(*a),)])
+    stored = in_batches(rows, ["line_id", "unit", "ring"], ["xy", "ring", "big", "high", "nested"], "wkb binary", published_together)
     i = F.col("line_id")
     point = F.unhex(F.lit("0101000000" + "00" * 16))
     wkb = F.when(i % 101 == 1, None).when(i % 103 == 1, F.substring("wkb", 1, 12)).when(i % 97 == 1, point).otherwise(F.col("wkb"))

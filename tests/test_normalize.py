@@ -1,5 +1,6 @@
 """Normal forms of shapes, faults of published rows, regions with several names, and batches in spatial order."""
 
+import random
 import struct
 
 import numpy as np
@@ -120,3 +121,48 @@ def test_projection_comes_back(spark):
     mine = shapes.albers(np.array(data))
     assert np.abs(mine - np.array([(r.x, r.y) for r in back])).max() < 1e-6
     assert np.abs(shapes.albers_inverse(mine) - np.array(data)).max() < 1e-9
+
+
+@pytest.mark.parametrize("family", ["line", "polygon"])
+def test_rows_of_one_layout_are_measured_as_one_by_one(spark, family):
+    r = random.Random(5)
+    rows = []
+    for i in range(600):
+        n = r.choice([1, 2, 3, 4, 5]) + (family == "polygon")
+        xy = [r.choice([-120.0, -120.001, -119.9995, 0.0, -0.0]) if r.random() < 0.5 else r.uniform(-121, -119) for _ in range(2 * n)]
+        if i % 7 == 0 and n > 2 and family == "line":
+            xy[-2:] = xy[:2]
+        if i % 50 == 1:
+            xy[1] = float("nan")
+        data = published_wkb(xy, int(family == "polygon"), i % 2, i // 2 % 2, i % 3)
+        if i % 40 == 2:
+            data = data[: 5 + i % 11]
+        if i % 40 == 3:
+            data = published_wkb(xy, int(family != "polygon"), 0, 0, 0)
+        rows.append((i, family, None if i % 60 == 4 else data))
+    table = spark.createDataFrame(rows, "key long, member string, wkb binary").coalesce(1)
+    held = [x[2] for x in rows if x[2]]
+    groups, alone = shapes.alike(held, family)
+    assert sum(len(g[0]) for g in groups) > 300 and sorted([*alone, *(i for g in groups for i in g[0])]) == list(range(len(held)))
+    got = {t.key: t for t in normalize.with_shape(table, "member", "wkb").collect()}
+    assert len(got) == 600 and {t.state for t in got.values()} == {"kept", "broken", "no geometry", "other geometry"}
+    for key, _, data in rows:
+        t, state, parts = got[key], "no geometry", []
+        if data:
+            try:
+                parts = shapes.family_parts(data, family)
+                state = "kept" if parts else "other geometry"
+            except ValueError:
+                state = "broken"
+        if state == "kept" and not all(np.isfinite(a).all() for p in parts for a in p):
+            state = "broken"
+        assert t.state == state, key
+        if state != "kept":
+            assert t.points is None and t.geometry is None and t.geometry_digest is None
+            continue
+        xy = np.concatenate([a for p in parts for a in p])
+        assert (t.malformed, t.parts, t.points) == (shapes.malformed(parts, family), len(parts), len(xy))
+        assert (t.min_lon, t.min_lat, t.max_lon, t.max_lat) == (*xy.min(axis=0), *xy.max(axis=0))
+        assert t.geometry_digest == shapes.digest(shapes.normal_parts(parts), family) and bytes(t.geometry) == shapes.stored_wkb(parts, family)
+        wanted = shapes.length(parts) if family == "line" else shapes.area(parts)
+        assert abs((t.length_m if family == "line" else t.area_m2) - wanted) <= 0.0011 + 1e-12 * wanted and (t.area_m2 if family == "line" else t.length_m) is None

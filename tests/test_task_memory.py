@@ -7,6 +7,9 @@ import pytest
 
 from fieldsift import registry
 from fieldsift.operators import lines, roads
+from fieldsift.plans.views import view
+from fieldsift.road_queries import source_lines
+from fieldsift.sources import tables
 
 
 def held(df):
@@ -73,3 +76,17 @@ def test_pieces_of_units_of_many_parts_are_those_of_a_walk(spark):
     assert {(m["unit"], m["piece"]): (m["parts"], m["legs"]) for m in made} == {k: v[:2] for k, v in want.items()}
     assert all(math.isclose(m["metres"], want[m["unit"], m["piece"]][2], rel_tol=1e-9) for m in made)
     assert max(v[0] for v in want.values()) >= 2 and sum(k > 1 for _, k in want) >= 100 and len({m["parts"] for m in made}) >= 2
+
+
+def test_roads_are_dealt_by_the_number_of_their_vertices(spark, monkeypatch):
+    some = view(spark, "/root/testdata/sf0.001", "vertices").where("line_id < 90")
+    told = []
+    for rows in (tables.TASK_ROWS, 40):
+        asked = []
+        monkeypatch.setattr(roads, "dealt", lambda df, key, n=None, rows=rows, asked=asked: asked.append((key, n)) or tables.dealt(df, key, rows, n))
+        _, points = roads.compose(source_lines(some))
+        assert (points._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 2) is (rows == 40)
+        told.append((asked, sorted(map(tuple, points.collect()))))
+    n = source_lines(some).count()
+    assert told[0] == told[1] and told[0][0] == [("line_id", n), ("component", n)] and n > 400
+    assert tables.dealt(some, "line_id", 10, n=10) is some

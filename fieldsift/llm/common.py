@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from fieldsift.sources.tables import as_table, drop_table, shared_dir  # noqa: F401  shared with the corridor operators
+from fieldsift.sources.tables import as_table, drop_table, shared_dir, shuffled  # noqa: F401  shared with the corridor operators
 
 
 def tokenizer_path(name: str) -> str:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_table, blocks, texts, whole_row
+from .common import as_table, blocks, shuffled, texts, whole_row
 from .components import components
 from .runs import whole_groups
 
@@ -123,11 +123,11 @@ def _postings(classes: DataFrame, match: int) -> DataFrame:
     """token, node, size of the prefix list: the rarest shared postings of each class, where two or more meet."""
     posted = classes.select("node", F.posexplode("sig")).select("node", F.xxhash64("pos", "col").alias("token"))
     shared = posted.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    mine = posted.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("rare"))  # COORDINATES at most
+    mine = posted.join(shuffled(shared), "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("rare"))  # COORDINATES at most
     room = COORDINATES - match + 1 - (COORDINATES - F.size("rare"))  # postings that nobody shares are the rarest
     prefix = mine.where(room > 0).select("node", F.explode(F.slice("rare", F.lit(1), room)).alias("x")).select("node", "x.token")
     sizes = prefix.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
-    return prefix.join(sizes, "token")
+    return prefix.join(shuffled(sizes), "token")
 
 
 def _work_lists(rows: DataFrame, link: int, cover: int, n: int) -> DataFrame:
@@ -196,14 +196,14 @@ def families(classes: DataFrame, percent: int) -> DataFrame:
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cover = round(COVER * COORDINATES)
     link = max(6, math.floor((COVER - (1 - percent / 100) - 0.1) * COORDINATES))
-    listed = _postings(classes.select("node", "sig"), match_threshold(percent)).join(classes.select("node", "packed"), "node")
+    listed = _postings(classes.select("node", "sig"), match_threshold(percent)).join(shuffled(classes.select("node", "packed")), "node")
     salt = F.pmod(F.xxhash64("node", "token"), F.ceil(F.col("size") / LIST_BLOCK))
     rows = listed.select(F.xxhash64("token", salt).alias("list_id"), "token", "node", F.col("packed").alias("sig"), (F.col("size") > LIST_BLOCK).alias("split"))
     found = as_table(_work_lists(rows, link, cover, n), "lists")
     edges = found.where("b is not null").select("a", "b")
     leaders = found.where("b is null").select(F.col("a").alias("node"), "token", "sig")
     sizes = leaders.groupBy("token").agg(F.count("*").alias("size"))
-    paired = _block_pairs(leaders.join(sizes, "token"), "size", LIST_BLOCK, "token", "node")
+    paired = _block_pairs(leaders.join(shuffled(sizes), "token"), "size", LIST_BLOCK, "token", "node")
     again = _work_lists(paired.select("list_id", "token", "node", "sig", F.lit(False).alias("split")), link, cover, n)
     both = edges.union(again.where("b is not null").select("a", "b"))
     return components(both).select("node", F.col("component").alias("family"))
@@ -248,9 +248,9 @@ def links(docs: DataFrame, classes: DataFrame, members: DataFrame, words: int, p
     """Links between classes confirmed on full sets, as a spanning forest (a, b) within each family (or pair of its blocks)."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sizes = members.groupBy("family").agg(F.count("*").alias("size"))
-    dealt = _block_pairs(members.join(sizes, "family"), "size", FAMILY_BLOCK, "family", "node")
-    wanted = dealt.join(classes.select("node", "doc", "set_key"), "node")
-    rows = texts(docs).join(wanted.select(F.col("doc").alias("doc_id"), "node", "set_key", "list_id"), "doc_id").drop("doc_id")
+    dealt = _block_pairs(members.join(shuffled(sizes), "family"), "size", FAMILY_BLOCK, "family", "node")
+    wanted = dealt.join(shuffled(classes.select("node", "doc", "set_key")), "node")
+    rows = texts(docs).join(shuffled(wanted.select(F.col("doc").alias("doc_id"), "node", "set_key", "list_id")), "doc_id").drop("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -289,15 +289,15 @@ def linked_classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs."""
     signed, classes, linked, several = linked_classes(docs, words, percent)
-    shared = signed.join(several.where("low <> high"), "doc_id", "left_semi").join(classes, "set_key").select("doc_id", "node")
-    through = shared.join(shared.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b"))
+    shared = signed.join(shuffled(several.where("low <> high")), "doc_id", "left_semi").join(shuffled(classes), "set_key").select("doc_id", "node")
+    through = shared.join(shuffled(shared.groupBy("doc_id").agg(F.min("node").alias("a"))), "doc_id").select("a", F.col("node").alias("b"))
     joined = components(linked.union(through)).withColumnRenamed("component", "joined")
-    labelled = as_table(classes.join(joined, "node", "left"), "components")
+    labelled = as_table(classes.join(shuffled(joined), "node", "left"), "components")
     smallest = labelled.where("joined is not null").groupBy("joined").agg(F.min("doc").alias("smallest"))
-    of_class = labelled.join(smallest, "joined", "left").select("set_key", F.coalesce("smallest", "doc").alias("component_id"))
-    found = signed.join(of_class, "set_key", "left")
-    wordless = found.join(several.where("n_sets between 1 and n - 1"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("of_others"))
-    found = found.join(wordless, "doc_id", "left")
+    of_class = labelled.join(shuffled(smallest), "joined", "left").select("set_key", F.coalesce("smallest", "doc").alias("component_id"))
+    found = signed.join(shuffled(of_class), "set_key", "left")
+    wordless = found.join(shuffled(several.where("n_sets between 1 and n - 1")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("of_others"))
+    found = found.join(shuffled(wordless), "doc_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "of_others", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
@@ -311,17 +311,17 @@ def distinct_rows(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     """
     signed, classes, linked, several = linked_classes(docs, words, percent)
     joined = components(linked).withColumnRenamed("component", "joined")
-    labelled = classes.join(joined, "node", "left").withColumn("joined", F.coalesce("joined", "node"))
+    labelled = classes.join(shuffled(joined), "node", "left").withColumn("joined", F.coalesce("joined", "node"))
     keepers = as_table(labelled.groupBy("joined").agg(F.min(F.struct("doc", "set_key")).alias("k")).select(F.col("k.doc").alias("doc_id"), F.col("k.set_key").alias("set_key")), "keepers")
-    gone = signed.where("doc_id is not null and set_key is not null").join(keepers, ["doc_id", "set_key"], "left_anti").select("doc_id").union(several.select("doc_id"))
+    gone = signed.where("doc_id is not null and set_key is not null").join(shuffled(keepers), ["doc_id", "set_key"], "left_anti").select("doc_id").union(several.select("doc_id"))
     gone = gone.select(F.col("doc_id").alias("gone")).distinct()
     doc_id = docs["doc_id"].cast("long")
-    alone = docs.join(gone, doc_id == gone["gone"], "left_anti")
+    alone = docs.join(shuffled(gone), doc_id == gone["gone"], "left_anti")
     names = several.select(F.col("doc_id").alias("gone"))
-    row = docs.select(whole_row(docs), doc_id.alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")).join(names, F.col("doc_id") == names["gone"], "left_semi")
+    row = docs.select(whole_row(docs), doc_id.alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")).join(shuffled(names), F.col("doc_id") == names["gone"], "left_semi")
     keyed = row.withColumn("set_key", _set_key(words)("text")).drop("text")
     wordless = keyed.where("set_key is null").select("row.*")
-    once = keyed.where("set_key is not null").join(keepers, ["doc_id", "set_key"], "left_semi").select("row.*")
+    once = keyed.where("set_key is not null").join(shuffled(keepers), ["doc_id", "set_key"], "left_semi").select("row.*")
     return alone.union(wordless).union(once)
 
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from fieldsift.sources.tables import as_table, drop_table, shuffled
 
+#: Nodes of a round up to which Spark may broadcast them: a few MB, whatever the files' compression makes of them.
+SMALL = 100_000
+
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, component (smallest node reachable) of every node of edges (a, b: longs).
@@ -19,12 +22,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     plain = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     left = as_table(plain, "edges")
     labels: DataFrame | None = None
-    for n in range(max_rounds):
-        dealt = shuffled if n < 2 else (lambda df: df)  # later rounds are small
+    for _ in range(max_rounds):
         if left.isEmpty():
             break
         both = left.select(F.col("a").alias("node"), F.col("b").alias("to")).union(left.select(F.col("b"), F.col("a")))
         up = as_table(both.groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("up")), "pointers")
+        dealt = shuffled if up.count() > SMALL else (lambda df: df)
         jump = up.select(F.col("node").alias("up"), F.col("up").alias("up2"))
         twice = up.join(dealt(jump), "up").select("node", F.col("up2").alias("up"))
         jump4 = as_table(twice, "pointers")
@@ -33,7 +36,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if labels is None:
             labels = pointers.select("node", F.col("up").alias("component"))
         else:
-            moved = labels.join(pointers.select(F.col("node").alias("component"), "up"), "component", "left")
+            moved = labels.join(dealt(pointers.select(F.col("node").alias("component"), "up")), "component", "left")
             labels = as_table(moved.select("node", F.coalesce("up", "component").alias("component")), "labels")
         p, q = (pointers.select(F.col("node").alias(x), F.col("up").alias(f"{x}2")) for x in "ab")
         moved_edges = left.join(dealt(p), "a").join(dealt(q), "b").where("a2 <> b2")
